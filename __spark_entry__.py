@@ -295,6 +295,98 @@ def q_calinski_harabasz(spark, sf):
                   {"calinski_harabasz": 8})
 
 
+# ---------------------------------------------------------------- models, search, importance
+# Model fitting is not SQL-expressible: these are checked rows-only.  Search
+# budgets are parameters of the query (documented in README); data is whole.
+from tabtune.operators import importance as I  # noqa: E402
+from tabtune.operators import models as M  # noqa: E402
+from tabtune.plans import search as G  # noqa: E402
+
+LI_REG = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+          "l_linestatus", "l_extendedprice"]
+
+
+def _orders_prepared(spark, sf):
+    return P.transform(_t(spark, sf, "orders").select(*ORDERS_COLS), "classification",
+                       "o_orderstatus", key="o_orderkey")
+
+
+def _embeddings(spark, sf):
+    return _t(spark, sf, "embeddings")
+
+
+def q_fit_forest_regressor(spark, sf):
+    li = _t(spark, sf, "lineitem").select(*LI_REG)
+    prep, st = P.transform(li, "regression", "l_extendedprice", key=["l_orderkey", "l_linenumber"])
+    train = prep.where("split = 'train'")
+    model = M.fit_forest_regressor(train, st.features, st.label, {"n_estimators": 20, "max_depth": 10})
+    return M.predict(model, prep.where("split = 'test'")).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
+
+
+def q_fit_forest_classifier(spark, sf):
+    prep, st = _orders_prepared(spark, sf)
+    model = M.fit_forest_classifier(prep.where("split = 'train'"), st.features, st.label,
+                                    {"n_estimators": 20, "max_depth": 10})
+    return M.predict(model, prep.where("split = 'test'")).select("o_orderkey", "o_orderstatus",
+                                                                 "prediction")
+
+
+def q_fit_kmeans(spark, sf):
+    prep, st = P.transform(_t(spark, sf, "customer"), "clustering", key="c_custkey")
+    model = M.fit_kmeans(prep, st.features, k=5, max_iter=20, n_init=2)
+    return M.attach_clusters(prep, model).select("c_custkey", "Cluster")
+
+
+def q_cluster_views(spark, sf):
+    cust = _t(spark, sf, "customer")
+    return M.cluster_views(cust, ["c_custkey", "c_nationkey", "c_acctbal"], "c_mktsegment",
+                           dims=3, key="c_custkey")
+
+
+def q_search_classification(spark, sf):
+    prep, st = _orders_prepared(spark, sf)
+    board, _, _ = G.compare_strategies(prep, "classification", st.features, st.label, "o_orderkey",
+                                       strategies=("ga", "pso"), epochs=1, pop_size=2)
+    return board
+
+
+def _emb_search(spark, sf):
+    emb = _embeddings(spark, sf)
+    prep, st = P.transform(emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}")
+                                                  for i in range(64)]), "clustering", key="vec_id")
+    return prep, st
+
+
+def q_search_clustering(spark, sf):
+    prep, st = _emb_search(spark, sf)
+    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id",
+                                       epochs=1, pop_size=3)
+    return G.best_model(board, "clustering")
+
+
+def q_search_history(spark, sf):
+    prep, st = _emb_search(spark, sf)
+    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id",
+                                      strategies=("sa", "pso"), epochs=2, pop_size=3)
+    return G.search_history(hist, "clustering")
+
+
+def q_tree_importance(spark, sf):
+    prep, st = _orders_prepared(spark, sf)
+    model = M.fit_forest_classifier(prep.where("split = 'train'"), st.features, st.label,
+                                    {"n_estimators": 20, "max_depth": 10})
+    return I.rank_importance(I.tree_importance(model, st.features))
+
+
+def q_permutation_importance(spark, sf):
+    emb = _embeddings(spark, sf)
+    feats = [f"d{i}" for i in range(64)]
+    wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f)
+                                           for i, f in enumerate(feats)])
+    return I.rank_importance(I.permutation_importance(wide, feats, "label", key="vec_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_table": q_read_table,
     "preview": q_preview,
@@ -341,6 +433,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette": q_silhouette,
     "davies_bouldin": q_davies_bouldin,
     "calinski_harabasz": q_calinski_harabasz,
+    "fit_forest_regressor": q_fit_forest_regressor,
+    "fit_forest_classifier": q_fit_forest_classifier,
+    "fit_kmeans": q_fit_kmeans,
+    "cluster_views": q_cluster_views,
+    "search_classification": q_search_classification,
+    "search_clustering": q_search_clustering,
+    "search_history": q_search_history,
+    "tree_importance": q_tree_importance,
+    "permutation_importance": q_permutation_importance,
 }
 
 

@@ -1,0 +1,46 @@
+"""Applying fitted preparation state and models to streaming DataFrames.
+
+Everything the preparation *applies* is stateless per row (literal IQR
+bounds, literal or broadcast-joined label codes, literal scaling constants,
+a fitted Spark ML pipeline), so the same operators run unchanged on a
+Structured Streaming source: rows arriving later are cleaned, encoded,
+scaled and scored with the state fitted on the batch table.  No streaming
+state store is needed.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tabtune.functions.columns import nan_to_null, q
+from tabtune.operators.clean import drop_outliers
+from tabtune.operators.encode import apply_label_encoder
+from tabtune.operators.models import predict
+from tabtune.operators.scale import apply_scaler
+from tabtune.plans.prepare import PreparedState
+
+
+def filter_outliers(stream: DataFrame, bounds: DataFrame) -> DataFrame:
+    """B5 on a stream with bounds fitted on a batch table."""
+    return drop_outliers(stream, bounds=bounds)
+
+
+def prepare_stream(stream: DataFrame, state: PreparedState, unseen: str = "keep") -> DataFrame:
+    """C4 + C9 on a stream (label encoded too when present)."""
+    out = nan_to_null(stream)
+    if state.feature_mapping is not None and state.categorical:
+        out = apply_label_encoder(out, state.feature_mapping, state.categorical, unseen)
+    if state.target_mapping is not None and state.label in out.columns:
+        out = apply_label_encoder(out, state.target_mapping, [state.label], unseen)
+    scaler = {c: v for c, v in state.scaler.items() if c in out.columns}
+    return apply_scaler(out, scaler)
+
+
+def score_stream(stream: DataFrame, state: PreparedState, model: PipelineModel,
+                 output: str = "prediction") -> DataFrame:
+    """M4 on a stream: prepared rows plus the model's prediction."""
+    prepared = prepare_stream(stream, state)
+    keep = [c for c in prepared.columns]
+    return predict(model, prepared.select(*[F.col(q(c)) for c in keep]), output)

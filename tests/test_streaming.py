@@ -1,0 +1,19 @@
+from conftest import SF, table
+from tabtune.plans import prepare as P
+from tabtune.streaming.score import prepare_stream
+
+
+def test_stream_matches_batch(spark):
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    orders = table(spark, "orders").select(*cols)
+    batch, state = P.transform(orders, "classification", "o_orderstatus", key="o_orderkey")
+    stream = (spark.readStream.schema(table(spark, "orders").schema)
+              .option("pathGlobFilter", "orders.parquet").parquet(SF).select(*cols))
+    out = prepare_stream(stream, state)
+    q = (out.writeStream.format("memory").queryName("prepared_orders")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("prepared_orders")
+    assert got.count() == orders.count()
+    expected = batch.drop("split")
+    assert got.select(*expected.columns).exceptAll(expected).count() == 0
