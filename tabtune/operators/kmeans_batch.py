@@ -1,0 +1,208 @@
+"""Batched K-Means: all candidates (and restarts) of a search generation
+advance together, one Spark job per Lloyd iteration.
+
+* Initialisation: k-means++ (Arthur & Vassilvitskii 2007) on a bounded,
+  hash-selected sample collected to the driver (at most ``INIT_SAMPLE``
+  points), as Spark ML's k-means|| also finishes on the driver.
+* Iteration: the current centres of every run (runs x k x d numbers) are
+  broadcast; ``mapInPandas`` assigns each point of a partition to its
+  nearest centre for every run with numpy and emits only per-(run,
+  cluster) partial sums (map-side combine); a ``groupBy(run, cluster)``
+  adds the partials.  Runs stop individually when no centre moves more
+  than ``tol``.
+* Result: per candidate the restart with the lowest inertia.  A fitted
+  model is a ``CentroidModel``: ``transform`` adds the nearest-centre label
+  with JVM column expressions (no Python per row).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabtune.functions.columns import q
+from tabtune.operators.split import BUCKETS, hash_bucket
+
+INIT_SAMPLE = 10000
+SEED = 42
+
+
+@dataclass
+class CentroidModel:
+    centers: np.ndarray          # (k, d)
+    features: list | str
+    inertia: float
+    n_iter: int
+    prediction_col: str = "Cluster"
+
+    def clusterCenters(self):
+        return [c for c in self.centers]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from tabtune.operators.cluster_metrics import feature_array
+        f = feature_array(df, self.features)
+        d2 = []
+        for c in self.centers:
+            cl = F.array(*[F.lit(float(v)) for v in c])
+            d2.append(F.aggregate(F.zip_with(f, cl, lambda a, b: (a - b) * (a - b)),
+                                  F.lit(0.0), lambda acc, v: acc + v))
+        best = F.lit(0)
+        best_d = d2[0]
+        for j in range(1, len(d2)):
+            better = d2[j] < best_d
+            best = F.when(better, F.lit(j)).otherwise(best)
+            best_d = F.least(best_d, d2[j])
+        return df.withColumn(self.prediction_col, best.cast("int"))
+
+
+def _features_matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["f"].to_numpy()).astype(np.float64)
+
+
+def _kmeanspp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    n = len(x)
+    centers = [x[rng.integers(n)]]
+    d2 = ((x - centers[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = d2.sum()
+        if total <= 0:
+            centers.append(x[rng.integers(n)])
+            continue
+        idx = rng.choice(n, p=d2 / total)
+        centers.append(x[idx])
+        d2 = np.minimum(d2, ((x - x[idx]) ** 2).sum(1))
+    return np.asarray(centers)
+
+
+def _assign_partials(centers_bc, active):
+    def run(batches):
+        cents = centers_bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = _features_matrix(pdf)
+            xx = (x * x).sum(1)
+            rows = {"run": [], "cluster": [], "cnt": [], "cost": [], "s": []}
+            for r in active:
+                c = cents[r]
+                d2 = np.maximum(xx[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T, 0.0)
+                lab = d2.argmin(1)
+                k = len(c)
+                cnt = np.bincount(lab, minlength=k)
+                cost = np.bincount(lab, weights=d2[np.arange(len(x)), lab], minlength=k)
+                sums = np.zeros_like(c)
+                np.add.at(sums, lab, x)
+                for j in range(k):
+                    if cnt[j]:
+                        rows["run"].append(r)
+                        rows["cluster"].append(j)
+                        rows["cnt"].append(int(cnt[j]))
+                        rows["cost"].append(float(cost[j]))
+                        rows["s"].append(sums[j].tolist())
+            yield pd.DataFrame(rows)
+    return run
+
+
+PARTIAL_SCHEMA = T.StructType([
+    T.StructField("run", T.IntegerType()), T.StructField("cluster", T.IntegerType()),
+    T.StructField("cnt", T.LongType()), T.StructField("cost", T.DoubleType()),
+    T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+
+def fit_kmeans_batch(points: DataFrame, features, candidates: list[dict], key=None,
+                     tol: float = 1e-4, seed: int = SEED) -> list[CentroidModel]:
+    """Fit every candidate ``{"n_clusters", "max_iter", "n_init"}`` at once.
+
+    ``points`` should be persisted by the caller (it is scanned once per
+    iteration)."""
+    from tabtune.operators.cluster_metrics import feature_array
+    spark = points.sparkSession
+    pts = points.select(feature_array(points, features).alias("f"),
+                        *([F.col(q(key)).alias("_key")] if key else []))
+    n = pts.count()
+    frac = min(1.0, INIT_SAMPLE / max(n, 1))
+    sample = pts if frac >= 1.0 else pts.where(
+        hash_bucket(pts, "_key" if key else None, seed) < max(1, int(frac * BUCKETS)))
+    xs = np.asarray([r["f"] for r in sample.select("f").collect()], dtype=np.float64)  # bounded
+    runs = []  # (candidate index, k, max_iter, restart)
+    for ci, c in enumerate(candidates):
+        restarts = 1 if c.get("n_init") in (None, "auto") else int(c["n_init"])
+        for rr in range(max(1, restarts)):
+            runs.append((ci, int(c["n_clusters"]), int(c["max_iter"]), rr))
+    centers = []
+    for ci, k, _, rr in runs:
+        rng = np.random.default_rng([seed, ci, rr, k])
+        centers.append(_kmeanspp(xs, min(k, len(xs)), rng))
+    done = [False] * len(runs)
+    iters = [0] * len(runs)
+
+    def one_pass(active):
+        bc = spark.sparkContext.broadcast(centers)
+        part = pts.mapInPandas(_assign_partials(bc, active), PARTIAL_SCHEMA)
+        rows = (part.groupBy("run", "cluster")
+                .agg(F.sum("cnt").alias("cnt"), F.sum("cost").alias("cost"),
+                     F.aggregate(F.collect_list("s"),
+                                 F.array_repeat(F.lit(0.0), F.size(F.first("s"))),
+                                 lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("s"))
+                .collect())  # at most runs x k rows
+        bc.unpersist()
+        by_run: dict = {}
+        for row in rows:
+            by_run.setdefault(row["run"], []).append(row)
+        return by_run
+
+    while True:
+        active = [i for i in range(len(runs)) if not done[i]]
+        if not active:
+            break
+        by_run = one_pass(active)
+        for r in active:
+            new = centers[r].copy()
+            for x in by_run.get(r, []):  # an empty cluster keeps its centre
+                new[x["cluster"]] = np.asarray(x["s"]) / x["cnt"]
+            shift = np.sqrt(((new - centers[r]) ** 2).sum(1)).max()
+            centers[r] = new
+            iters[r] += 1
+            if shift <= tol or iters[r] >= runs[r][2]:
+                done[r] = True
+    final = one_pass(list(range(len(runs))))
+    cost = [float(sum(x["cost"] for x in final.get(r, []))) for r in range(len(runs))]
+    models = []
+    for ci in range(len(candidates)):
+        mine = [i for i, r in enumerate(runs) if r[0] == ci]
+        best = min(mine, key=lambda i: cost[i])
+        models.append(CentroidModel(centers[best], features, cost[best], iters[best]))
+    return models
+
+
+def _label_all(centers_list, names):
+    def run(batches):
+        for pdf in batches:
+            x = _features_matrix(pdf) if len(pdf) else np.zeros((0, 1))
+            out = {"_key": pdf["_key"].to_numpy()}
+            xx = (x * x).sum(1)
+            for name, c in zip(names, centers_list):
+                if len(x):
+                    d2 = xx[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T
+                    out[name] = d2.argmin(1).astype(np.int32)
+                else:
+                    out[name] = np.zeros(0, dtype=np.int32)
+            yield pd.DataFrame(out)
+    return run
+
+
+def label_many(points: DataFrame, features, key: str, models: list[CentroidModel],
+               prefix: str = "_cand") -> tuple[DataFrame, list[str]]:
+    """(key, label columns) for several fitted models in one numpy pass."""
+    from tabtune.operators.cluster_metrics import feature_array
+    names = [f"{prefix}{i}" for i in range(len(models))]
+    pts = points.select(F.col(q(key)).alias("_key"), feature_array(points, features).alias("f"))
+    schema = T.StructType([T.StructField("_key", points.schema[key].dataType)]
+                          + [T.StructField(nm, T.IntegerType()) for nm in names])
+    out = pts.mapInPandas(_label_all([m.centers for m in models], names), schema)
+    return out.withColumnRenamed("_key", key), names

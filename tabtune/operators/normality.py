@@ -12,10 +12,10 @@ algorithm behind the common Shapiro-Wilk implementations:
 
 Distribution: the order statistics come from ``ranks.column_value_ranks``
 (range partitioned, no single-task sort).  A value repeated ``cnt`` times
-occupies ranks ``start+1..start+cnt``; its contribution needs
-``sum m_i`` over that block, evaluated with a SQL ``aggregate`` over the
-rank sequence in chunks of at most ``CHUNK`` ranks, so a hot value (a third
-of all rows) is split into many small rows that are spread over tasks.
+occupies ranks ``start+1..start+cnt``; the block is cut into chunks of at
+most ``CHUNK`` ranks, so a hot value (a third of all rows) becomes many
+small rows spread over tasks, and each chunk expands to one row per rank
+for the (codegen'd) m_i expression.
 
 The summary per column (n, sum m_i x_(i), mm, x_(1), x_(2), x_(n-1), x_(n),
 sum of squares) turns into W, z and p with the SQL text of
@@ -90,7 +90,13 @@ def shapiro_summary_steps() -> list[tuple[str, str]]:
 
 
 def shapiro_summaries(ranked: DataFrame) -> DataFrame:
-    """Per-column summary (column, n, mm, sm, ss, x1, x2, xn1, xn) from ranks."""
+    """Per-column summary (column, n, mm, sm, ss, x1, x2, xn1, xn) from ranks.
+
+    Each value block is cut into chunks of at most ``CHUNK`` ranks (hot
+    values are spread over tasks when any block exceeds a chunk), then every
+    rank becomes a row so the normal-quantile expression runs in
+    whole-stage codegen; the partial aggregation collapses the rows again
+    before the shuffle."""
     means = (ranked.groupBy("column")
              .agg((F.sum(F.col("value") * F.col("cnt")) / F.first("n")).alias("mean")))
     max_cnt = ranked.agg(F.max("cnt")).first()[0] or 0
@@ -101,34 +107,23 @@ def shapiro_summaries(ranked: DataFrame) -> DataFrame:
               .withColumn("hi", F.least(F.col("start") + F.col("cnt"),
                                         F.col("lo") + (CHUNK - 1))))
     if max_cnt > CHUNK:
-        # hot values: spread their chunks over all tasks before the heavy math
+        # hot values: spread their chunks over all tasks before expanding ranks
         chunks = chunks.repartition("column", "value", "chunk")
-    mi = m_sql("i", "n")
-    msum = F.expr(
-        f"CASE WHEN lo = hi THEN {m_sql('lo', 'n')} ELSE "
-        f"aggregate(sequence(lo, hi), CAST(0 AS DOUBLE), (acc, i) -> acc + {mi}) END")
-    m2sum = F.expr(
-        f"CASE WHEN lo = hi THEN pow({m_sql('lo', 'n')}, 2) ELSE "
-        f"aggregate(sequence(lo, hi), CAST(0 AS DOUBLE), (acc, i) -> acc + {mi} * {mi}) END")
-    first_in = F.col("chunk") == 0
-
-    def at_rank(r):  # value whose block holds the 0-based rank r
-        return F.max(F.when(first_in & (F.col("start") <= r) & (r < F.col("start") + F.col("cnt")),
-                            F.col("value")))
-
-    summary = (chunks
-               .join(F.broadcast(means), "column")  # one row per column: bounded
-               .withColumn("msum", msum).withColumn("m2sum", m2sum)
+    ranks = (chunks.join(F.broadcast(means), "column")  # one row per column: bounded
+             .select("column", "value", "n", "mean",
+                     F.explode(F.sequence(F.col("lo"), F.col("hi"))).alias("i")))
+    m = F.expr(m_sql("i", "n"))
+    x, i, n = F.col("value"), F.col("i"), F.col("n")
+    summary = (ranks.withColumn("m", m)
                .groupBy("column")
                .agg(F.first("n").alias("n"),
-                    F.sum(F.col("value") * F.col("msum")).alias("sm"),
-                    F.sum("m2sum").alias("mm"),
-                    F.sum(F.when(first_in, F.col("cnt") * F.pow(F.col("value") - F.col("mean"), 2))
-                          ).alias("ss"),
-                    at_rank(F.lit(0)).alias("x1"),
-                    at_rank(F.lit(1)).alias("x2"),
-                    at_rank(F.col("n") - 2).alias("xn1"),
-                    at_rank(F.col("n") - 1).alias("xn")))
+                    F.sum(x * F.col("m")).alias("sm"),
+                    F.sum(F.col("m") * F.col("m")).alias("mm"),
+                    F.sum(F.pow(x - F.col("mean"), 2)).alias("ss"),
+                    F.max(F.when(i == 1, x)).alias("x1"),
+                    F.max(F.when(i == 2, x)).alias("x2"),
+                    F.max(F.when(i == n - 1, x)).alias("xn1"),
+                    F.max(F.when(i == n, x)).alias("xn")))
     return summary
 
 

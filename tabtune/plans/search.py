@@ -4,9 +4,11 @@ comparison, leaderboard, best model and search history.
 Scoring (G3): train/test rows are persisted once for the whole search.
 Forest candidates of one generation are fitted concurrently (a driver
 thread pool submits Spark ML jobs; the FAIR scheduler interleaves them on
-the executors).  K-Means candidates are fitted concurrently too, and the
+the executors).  The
 silhouette of the whole generation is computed in *one* job that shares
-the pairwise distance blocks between candidates.  Candidates that decode to
+the pairwise distance blocks between candidates.  K-Means candidates (and
+their restarts) are fitted together by ``kmeans_batch``: one Spark job per
+Lloyd iteration for the whole generation.  Candidates that decode to
 the same Spark ML parameters are scored once (memo).
 
 The objective follows the reference: test MSE (regression), macro F1 on
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
 from tabtune.operators import cluster_metrics as CM
+from tabtune.operators import kmeans_batch as KB
 from tabtune.operators import metrics as K
 from tabtune.operators import models as M
 from tabtune.plans.prepare import MODEL_OF_TASK, REFERENCE_METRIC
@@ -109,7 +112,7 @@ class Scorer:
             return M.fit_forest_regressor(self.train, self.features, self.label, p)
         if self.task == "classification":
             return M.fit_forest_classifier(self.train, self.features, self.label, p)
-        return M.fit_kmeans(self.data, self.features, p["n_clusters"], p["max_iter"], p.get("n_init"))
+        return KB.fit_kmeans_batch(self.data, self.features, [p], key=self.key)[0]
 
     def _score_supervised(self, p):
         model = self.fit(p)
@@ -136,14 +139,12 @@ class Scorer:
         return [self.memo[k] for k in keys]
 
     def _score_clustering(self, todo: dict):
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-            models = list(pool.map(self.fit, todo.values()))
-        labelled = self.data
-        names = []
-        for i, m in enumerate(models):
-            name = f"_cand{i}"
-            labelled = M.predict(m, labelled, name)
-            names.append(name)
+        # one job per Lloyd iteration for every candidate and restart, then
+        # one labelling pass and one silhouette job for the whole generation
+        self.n_fits += len(todo)
+        models = KB.fit_kmeans_batch(self.data, self.features, list(todo.values()), key=self.key)
+        labels, names = KB.label_many(self.data, self.features, self.key, models)
+        labelled = self.data.join(labels, self.key)
         sil = CM.silhouette_many(labelled, self.features, self.key, names,
                                  sample=self.silhouette_sample)
         got = {r["cand"]: r["silhouette"] for r in sil.collect()}  # one row per candidate
