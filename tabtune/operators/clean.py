@@ -8,6 +8,7 @@ that Catalyst pushes into the Parquet scan.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,9 +80,32 @@ def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5
     return out.withColumn("applies", applies)
 
 
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
 def _outside(c: str, lower: float, upper: float):
+    """Outlier flag; null and NaN are missing, never outliers."""
+    col = F.col(q(c))
+    out = (col < F.lit(lower)) | (col > F.lit(upper))
+    return F.coalesce(out & ~F.isnan(col.cast("double")), F.lit(False))
+
+
+def _keep(df: DataFrame, c: str, lower: float, upper: float, has_nan: bool):
+    """Row predicate 'not an outlier in c', written so that Parquet can take
+    it as a pushed filter: integral columns compare with integer literals,
+    and the NaN test is only added for columns that hold NaN."""
     col = F.col(q(c))
-    return F.coalesce((col < F.lit(lower)) | (col > F.lit(upper)), F.lit(False))
+    dt = df.schema[c].dataType.simpleString()
+    if dt in INTEGRAL:
+        lo, hi = math.ceil(lower), math.floor(upper)
+        inside = (col >= F.lit(lo).cast(dt)) & (col <= F.lit(hi).cast(dt))
+    elif dt in ("float", "double"):
+        inside = (col >= F.lit(lower).cast(dt)) & (col <= F.lit(upper).cast(dt))
+        if has_nan:
+            inside = inside | F.isnan(col)
+    else:
+        inside = (col.cast("double") >= F.lit(lower)) & (col.cast("double") <= F.lit(upper))
+    return col.isNull() | inside
 
 
 def _bounds_rows(bounds: DataFrame):
@@ -89,6 +113,16 @@ def _bounds_rows(bounds: DataFrame):
     return [r for r in bounds.select("column", "lower", "upper", "applies").collect()]
 
 
+def _nan_columns(df: DataFrame, cols) -> set:
+    """Floating columns that hold NaN (one pruned aggregation)."""
+    fl = [c for c in cols if df.schema[c].dataType.simpleString() in ("float", "double")]
+    if not fl:
+        return set()
+    row = df.agg(*[F.max(F.isnan(F.col(q(c))).cast("int")).alias(f"_n{i}")
+                   for i, c in enumerate(fl)]).first()
+    return {c for i, c in enumerate(fl) if row[f"_n{i}"]}
+
+
 def drop_outliers(df: DataFrame, alpha: float = 0.05, k: float = 1.5, gate: bool = True,
                   exclude=(), cols=None, bounds: DataFrame | None = None) -> DataFrame:
     """Drop every row that is an IQR outlier in at least one numeric
@@ -98,14 +132,15 @@ def drop_outliers(df: DataFrame, alpha: float = 0.05, k: float = 1.5, gate: bool
     """
     if bounds is None:
         bounds = outlier_bounds(df, cols, alpha=alpha, k=k, gate=gate, exclude=exclude)
-    conds = [_outside(r["column"], r["lower"], r["upper"])
-             for r in _bounds_rows(bounds) if r["applies"] and r["lower"] is not None]
-    if not conds:
+    rows = [r for r in _bounds_rows(bounds) if r["applies"] and r["lower"] is not None]
+    if not rows:
         return df
-    any_out = conds[0]
-    for c in conds[1:]:
-        any_out = any_out | c
-    return df.where(~any_out)
+    nan_cols = _nan_columns(df, [r["column"] for r in rows])
+    keep = None
+    for r in rows:
+        kc = _keep(df, r["column"], r["lower"], r["upper"], r["column"] in nan_cols)
+        keep = kc if keep is None else keep & kc
+    return df.where(keep)
 
 
 def outlier_flags(df: DataFrame, alpha: float = 0.05, k: float = 1.5, gate: bool = True,
@@ -207,7 +242,7 @@ def clean(df: DataFrame, task: str = "classification", label: str | None = None,
     still take part in the outlier rule, like every numeric column).
     """
     label = resolve_label(df, label)
-    out = nan_to_null(df)
+    out = df
     if drop_nulls:
         out = drop_null_rows(out)
     if drop_dups:

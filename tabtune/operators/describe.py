@@ -26,7 +26,7 @@ def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     spark = df.sparkSession
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     if len(pairs) <= MAX_PAIR_AGGS:
-        x = {c: F.col(q(c)).cast("double") for c in cols}
+        x = {c: F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")) for c in cols}
         row = df.agg(*[F.corr(x[cols[i]], x[cols[j]]).alias(f"_c{i}_{j}") for i, j in pairs])
         entries = []
         for i, j in pairs:
@@ -157,5 +157,6 @@ def fliers(df: DataFrame, cols=None, key=None, k: float = 1.5) -> DataFrame:
     wide = df.select(keycol.alias("key"), *[F.col(q(c)).cast("double").alias(c) for c in cols])
     long = wide.unpivot(["key"], [F.col(q(c)) for c in cols], "column", "value")
     return (long.join(F.broadcast(bounds), "column")  # one row per column
-            .where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
+            .where(((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
+                   & ~F.isnan("value"))
             .select("column", "key", "value"))

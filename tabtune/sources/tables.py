@@ -2,8 +2,8 @@
 
 CSV with a header row and inferred types is the reference's input format;
 Parquet is read with its own schema (and gets predicate/column pushdown).
-Missing values are null: NA-like tokens in CSV text and NaN in floating
-columns both become null on read.
+Missing values are null: NA-like tokens in CSV text become null on read; a
+floating NaN is treated as missing by every operator.
 """
 
 from __future__ import annotations
@@ -21,15 +21,20 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv",
-               schema: T.StructType | str | None = None, na_tokens=None) -> DataFrame:
-    """A1: read a table; CSV gets header + type inference unless a schema is given."""
-    if fmt == "parquet":
+               schema: T.StructType | str | None = None, na_tokens=None,
+               nan_as_null: bool | None = None) -> DataFrame:
+    """A1: read a table; CSV gets header + type inference unless a schema is given.
+
+    Columnar sources are returned as scanned (no projection on top), so
+    later filters and projections push into the scan; every operator treats
+    a floating NaN as missing itself.  ``nan_as_null=True`` rewrites NaN to
+    null on read instead (at the price of that pushdown)."""
+    if fmt != "csv":
         reader = spark.read
         if schema is not None:
             reader = reader.schema(schema)
-        return nan_to_null(reader.parquet(path))
-    if fmt != "csv":
-        return nan_to_null(spark.read.format(fmt).load(path))
+        df = reader.parquet(path) if fmt == "parquet" else reader.format(fmt).load(path)
+        return nan_to_null(df) if nan_as_null else df
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     if schema is not None:

@@ -71,4 +71,12 @@ def test_filter_pushes_down_to_parquet(spark):
     ev = table(spark, "events", "/root/testdata/sf0.01").select("event_id", "user_id", "value")
     out = C.drop_outliers(ev)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "value" in plan.split("PushedFilters")[1][:300]
+    scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln][0]
+    assert "PushedFilters: [Or(IsNull(event_id),And(GreaterThanOrEqual(event_id," in scan
+
+
+def test_nan_is_missing_not_outlier(spark):
+    rows = [(float(i),) for i in range(20)] + [(1000.0,), (float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    out = [r[0] for r in C.drop_outliers(df, gate=False).collect()]
+    assert 1000.0 not in out and len(out) == 22 and any(v != v for v in out if v is not None)
