@@ -175,20 +175,24 @@ def cardinality(df: DataFrame, label: str | None = None, threshold: float = 0.99
     ``n`` counts all rows (nulls too), ``n_distinct`` non-null distinct
     values, id-like means ``ratio > threshold`` (strict) and not the label.
     Exact counts use one unpivot and a two-level ``groupBy`` (both levels
-    partially aggregated map-side).  ``approx=True`` first estimates with
+    partially aggregated map-side) that also yields the row count, so the
+    table is scanned once.  ``approx=True`` first estimates with
     ``approx_count_distinct`` and counts exactly only near-unique columns.
     """
     label = resolve_label(df, label)
     cols = list(df.columns)
-    n = df.count()
-    exact_cols = cols
+    spark = df.sparkSession
     approx_ratio = {}
-    if approx and n > 0:
-        est = df.agg(*[F.approx_count_distinct(F.col(q(c)), 0.01).alias(f"_a{i}")
+    exact_cols = cols
+    n = None
+    if approx:
+        est = df.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.approx_count_distinct(F.col(q(c)), 0.01).alias(f"_a{i}")
                        for i, c in enumerate(cols)]).first()
-        approx_ratio = {c: est[f"_a{i}"] / n for i, c in enumerate(cols)}
+        n = int(est["_rows"])
+        approx_ratio = {c: (est[f"_a{i}"] / n if n else 0.0) for i, c in enumerate(cols)}
         exact_cols = [c for c in cols if approx_ratio[c] > threshold - approx_margin]
-    spark = df.sparkSession
+    present, rows_seen = {}, None
     if exact_cols:
         as_text = []
         for c in exact_cols:
@@ -199,21 +203,23 @@ def cardinality(df: DataFrame, label: str | None = None, threshold: float = 0.99
             as_text.append(col.cast("string").alias(c))
         wide = df.select(*as_text)
         long = wide.unpivot([], [F.col(q(c)) for c in exact_cols], "column", "value")
-        distinct = (long.where(F.col("value").isNotNull()).distinct()
-                    .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
-        present = {r[0]: r[1] for r in distinct.collect()}  # <= #columns rows
-    else:
-        present = {}
-    rows = []
+        # level 1 keeps null as a value so that sum(cnt) is the row count:
+        # rows and distinct values come out of the same pass
+        per = (long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+               .groupBy("column").agg(F.count("value").alias("n_distinct"),
+                                      F.sum("cnt").alias("rows")))
+        got = per.collect()  # <= #columns rows
+        present = {r[0]: r[1] for r in got}
+        rows_seen = max((int(r[2]) for r in got), default=0)
+    if n is None:
+        n = rows_seen if rows_seen is not None else df.count()
+    out = []
     for c in cols:
-        if c in exact_cols:
-            nd = int(present.get(c, 0))
-        else:
-            nd = int(round(approx_ratio[c] * n))
+        nd = int(present.get(c, 0)) if c in exact_cols else int(round(approx_ratio[c] * n))
         ratio = nd / n if n else 0.0
-        rows.append((c, int(n), nd, float(ratio), bool(ratio > threshold and c != label)))
+        out.append((c, int(n), nd, float(ratio), bool(ratio > threshold and c != label)))
     return spark.createDataFrame(
-        rows, "column string, n long, n_distinct long, ratio double, is_id_like boolean")
+        out, "column string, n long, n_distinct long, ratio double, is_id_like boolean")
 
 
 def drop_id_like(df: DataFrame, label: str | None = None, threshold: float = 0.99999,

@@ -97,9 +97,13 @@ def shapiro_summaries(ranked: DataFrame) -> DataFrame:
     rank becomes a row so the normal-quantile expression runs in
     whole-stage codegen; the partial aggregation collapses the rows again
     before the shuffle."""
-    means = (ranked.groupBy("column")
-             .agg((F.sum(F.col("value") * F.col("cnt")) / F.first("n")).alias("mean")))
-    max_cnt = ranked.agg(F.max("cnt")).first()[0] or 0
+    stats = (ranked.groupBy("column")
+             .agg((F.sum(F.col("value") * F.col("cnt")) / F.first("n")).alias("mean"),
+                  F.max("cnt").alias("max_cnt"))
+             .collect())  # one row per column
+    max_cnt = max((r["max_cnt"] for r in stats), default=0)
+    means = ranked.sparkSession.createDataFrame(
+        [(r["column"], r["mean"]) for r in stats], "column string, mean double")
     chunks = (ranked
               .withColumn("chunk", F.explode(F.sequence(
                   F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / CHUNK).cast("long"))))

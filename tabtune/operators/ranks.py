@@ -14,7 +14,9 @@ all rows, that task does not finish.  Instead:
 4. per (group, partition) totals - at most ``partitions x groups`` rows -
    become exclusive offsets with a window over that tiny table;
 5. a per-partition running sum (``mapInPandas`` over the sorted partition,
-   no shuffle) plus the broadcast offset gives each value its first rank.
+   no shuffle) plus the broadcast offset gives each value its first rank;
+6. the ranked table is checkpointed too, so its several consumers do not
+   recompute step 5.
 
 Result columns: ``group, value, cnt, start`` where ranks ``start+1 ..
 start+cnt`` (1-based) hold ``value``; ``n`` = rows of the group.
@@ -77,7 +79,9 @@ def value_ranks(counts: DataFrame, group: str, value: str,
     out = (local.join(F.broadcast(offsets), ["grp", "pid"])
            .select(F.col("grp").alias(group), F.col("val").alias(value), "cnt",
                    (F.col("part_start") + F.col("local_start")).alias("start"), "n"))
-    return out
+    # consumers (quantiles, moments, rank expansion) read the ranks several
+    # times: materialise them once, reliably
+    return checkpoint(out)
 
 
 def column_value_ranks(long: DataFrame, partitions: int | None = None) -> DataFrame:

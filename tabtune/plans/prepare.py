@@ -60,11 +60,14 @@ def transform(df: DataFrame, task: str, label: str | None = None, key=None,
         else:
             split = train_test_split(ordered, key, test_fraction, seed, exact=exact_split)
         train = split.where(F.col("split") == "train")
-        fmap = fit_label_encoder(train, cats) if cats else None
+        # one fit (one scan of the train rows) for feature and target codes
+        enc_cols = cats + ([label] if task == "classification" else [])
+        mapping = fit_label_encoder(train, enc_cols) if enc_cols else None
+        fmap = mapping.where(F.col("column") != label) if cats else None
         out = apply_label_encoder(split, fmap, cats, unseen) if cats else split
         tmap = None
         if task == "classification":
-            tmap = fit_label_encoder(train, [label])
+            tmap = mapping.where(F.col("column") == label)
             out = apply_label_encoder(out, tmap, [label], unseen)
         scaler = scaler_params(fit_scaler(out.where(F.col("split") == "train"), features))
         out = apply_scaler(out, {c: scaler[c] for c in features})
