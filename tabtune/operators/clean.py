@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,6 +235,7 @@ def drop_id_like(df: DataFrame, label: str | None = None, threshold: float = 0.9
 class CleanReport:
     bounds: DataFrame | None
     dropped_columns: list
+    persisted: DataFrame | None = None  # unpersist when the cleaned table is done with
 
 
 def clean(df: DataFrame, task: str = "classification", label: str | None = None,
@@ -251,13 +253,17 @@ def clean(df: DataFrame, task: str = "classification", label: str | None = None,
     out = df
     if drop_nulls:
         out = drop_null_rows(out)
+    persisted = None
     if drop_dups:
-        out = drop_duplicate_rows(out)
+        # the distinct shuffle feeds the statistics passes and every later
+        # consumer: compute it once (recomputable from lineage on executor loss)
+        out = drop_duplicate_rows(out).persist(StorageLevel.MEMORY_AND_DISK)
+        persisted = out
     bounds = outlier_bounds(out, alpha=alpha, k=k, gate=gate, exclude=exclude)
     out = drop_outliers(out, bounds=bounds)
     card = cardinality(out, label, threshold)
     ids = [r[0] for r in card.where("is_id_like").select("column").collect()]
     out = out.drop(*[c for c in ids if c not in set(keep)])
     if return_report:
-        return out, CleanReport(bounds, ids)
+        return out, CleanReport(bounds, ids, persisted)
     return out

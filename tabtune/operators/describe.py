@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import nan_to_null, numeric_columns, q, unpivot_numeric
 from tabtune.operators.clean import column_quartiles
-from tabtune.operators.split import BUCKETS, hash_bucket
+from tabtune.operators.split import hash_unit
 
 MAX_PAIR_AGGS = 20000  # corr aggregates in one scan before switching to Spark ML
 
@@ -137,7 +137,7 @@ def pair_points(df: DataFrame, cols=None, key=None, fraction: float = 1.0,
     cols = cols or numeric_columns(df, exclude=[key] if key else ())
     src = df
     if fraction < 1.0:
-        src = df.where(hash_bucket(df, key, seed) < int(round(fraction * BUCKETS)))
+        src = df.where(hash_unit(df, key, seed) < F.lit(float(fraction)))
     keycol = F.col(q(key)) if key else F.lit(None).cast("string")
     entries = [F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
                         F.col(q(a)).cast("double").alias("x"), F.col(q(b)).cast("double").alias("y"))

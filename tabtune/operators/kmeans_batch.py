@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtune.functions.columns import q
-from tabtune.operators.split import BUCKETS, hash_bucket
+from tabtune.operators.split import hash_unit
 
 INIT_SAMPLE = 10000
 SEED = 42
@@ -127,7 +127,7 @@ def fit_kmeans_batch(points: DataFrame, features, candidates: list[dict], key=No
     n = pts.count()
     frac = min(1.0, INIT_SAMPLE / max(n, 1))
     sample = pts if frac >= 1.0 else pts.where(
-        hash_bucket(pts, "_key" if key else None, seed) < max(1, int(frac * BUCKETS)))
+        hash_unit(pts, "_key" if key else None, seed) < F.lit(frac))
     xs = np.asarray([r["f"] for r in sample.select("f").collect()], dtype=np.float64)  # bounded
     runs = []  # (candidate index, k, max_iter, restart)
     for ci, c in enumerate(candidates):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
-from tabtune.operators.ranks import value_ranks, values_at_ranks
+from tabtune.operators.ranks import value_ranks
 
 BUCKETS = 10000
 
@@ -36,6 +36,13 @@ def hash_bucket(df: DataFrame, key, seed: int = 42) -> "F.Column":
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % BUCKETS
 
 
+def hash_unit(df: DataFrame, key, seed: int = 42) -> "F.Column":
+    """Uniform number in [0, 1) from 52 bits of the row hash: a sampling
+    fraction as small as 1e-15 still selects by hash (no row cap needed)."""
+    h = F.md5(F.concat_ws(":", key_text(df, key), F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
+
+
 def order_text(df: DataFrame, key, seed: int = 42) -> "F.Column":
     """Sort key for exact splits: 15 hex digits of the hash, then the key."""
     kt = key_text(df, key)
@@ -68,13 +75,15 @@ def _exact_split(df, key, label, test_fraction, seed):
     counts = ordered.select("_grp", "_ord").groupBy("_grp", "_ord").agg(
         F.count(F.lit(1)).alias("cnt"))
     ranked = value_ranks(counts, "_grp", "_ord")
-    sizes = {r[0]: int(r[1]) for r in ranked.select("_grp", "n").distinct().collect()}
-    targets = {g: [math.ceil(test_fraction * n) - 1] for g, n in sizes.items()
-               if math.ceil(test_fraction * n) >= 1}
-    cut = values_at_ranks(ranked, "_grp", "_ord", targets)
-    # one threshold per class: bounded by the number of classes
-    thr = spark.createDataFrame([(g, v[0]) for g, v in cut.items()], "_grp string, _thr string")
-    out = (ordered.join(F.broadcast(thr), "_grp", "left")
+    # the threshold of a class is the value holding its rank ceil(f * n) - 1:
+    # exactly one ranked row per class, found without leaving the executors
+    target = F.ceil(F.lit(float(test_fraction)) * F.col("n")) - 1
+    thr = (ranked.where((target >= 0) & (F.col("start") <= target)
+                        & (target < F.col("start") + F.col("cnt")))
+           .select("_grp", F.col("_ord").alias("_thr")))
+    if thr.count() <= 1_000_000:  # one row per class: checked before broadcasting
+        thr = F.broadcast(thr)
+    out = (ordered.join(thr, "_grp", "left")
            .withColumn("split", F.when(F.col("_thr").isNotNull() & (F.col("_ord") <= F.col("_thr")),
                                        "test").otherwise("train"))
            .drop("_grp", "_ord", "_thr"))

@@ -32,6 +32,7 @@ class PreparedState:
     target_mapping: DataFrame | None = None
     scaler: dict = field(default_factory=dict)
     dropped_columns: list = field(default_factory=list)
+    persisted: DataFrame | None = None  # cached deduplicated input; unpersist when done
 
 
 def transform(df: DataFrame, task: str, label: str | None = None, key=None,
@@ -95,6 +96,7 @@ def preprocess(df: DataFrame, task: str, label: str | None = None, key=None, **k
     cleaned, report = clean(df, task, label, return_report=True, keep=keys, **clean_kw)
     out, state = transform(cleaned, task, label, key=key, **kw)
     state.dropped_columns = report.dropped_columns
+    state.persisted = report.persisted
     return out, state
 
 
