@@ -7,12 +7,15 @@ and DuckDB sum in different orders.
 
 from __future__ import annotations
 
-import math
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from tabtune.functions.columns import drop_columns, label_last, q
 from tabtune.operators import clean as C
 from tabtune.operators import cluster_metrics as CM

@@ -5,6 +5,14 @@ sees per-column summaries and candidate populations (bounded by the number
 of columns and the population size).
 """
 
-from tabtune.session import get_session, ensure_checkpoint_dir
+import sys as _sys
+
+try:  # ship our task functions by value: executors need no install of tabtune
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: package must be on executors
+    pass
+
+from tabtune.session import get_session, ensure_checkpoint_dir  # noqa: E402
 
 __all__ = ["get_session", "ensure_checkpoint_dir"]

@@ -52,6 +52,23 @@ def _metric_names(task):
     return dict(zip(CLUSTERING_COLS, K.CLUSTERING_METRICS))
 
 
+def _memory_gb(text: str) -> float:
+    units = {"k": 1 / 1024 ** 2, "m": 1 / 1024, "g": 1.0, "t": 1024.0}
+    text = text.strip().lower().rstrip("b")
+    return float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text) / 1024 ** 3
+
+
+def _fit_parallelism(spark: SparkSession, wanted: int) -> int:
+    """In local mode every concurrent forest fit lives in the driver heap:
+    allow one fit per 4 GB of it.  On a cluster the fits' work sits on the
+    executors and ``wanted`` is used as given."""
+    conf = spark.sparkContext.getConf()
+    if not conf.get("spark.master", "").startswith("local"):
+        return wanted
+    heap = _memory_gb(conf.get("spark.driver.memory", "1g"))
+    return max(1, min(wanted, int(heap // 4)))
+
+
 @dataclass
 class Scorer:
     """Turns unit vectors into fitness values (natural direction)."""
@@ -67,6 +84,7 @@ class Scorer:
     n_fits: int = 0
 
     def __post_init__(self):
+        self.parallelism = _fit_parallelism(self.prepared.sparkSession, self.parallelism)
         self.model_name = MODEL_OF_TASK[self.task]
         self.space = space_for(self.model_name, self.wide)
         cols = [c for c in ([self.key] if self.key else []) + list(self.features)
@@ -114,6 +132,17 @@ class Scorer:
             return M.fit_forest_classifier(self.train, self.features, self.label, p)
         return KB.fit_kmeans_batch(self.data, self.features, [p], key=self.key)[0]
 
+    def _in_pool(self, fn, args):
+        """Run ``fn`` in its own FAIR scheduler pool, so that concurrent
+        candidate fits share the executors instead of queueing FIFO."""
+        i, p = args
+        sc = self.prepared.sparkSession.sparkContext
+        sc.setLocalProperty("spark.scheduler.pool", f"tabtune-{i % self.parallelism}")
+        try:
+            return fn(p)
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
     def _score_supervised(self, p):
         model = self.fit(p)
         pred = M.predict(model, self.test, "prediction")
@@ -134,7 +163,8 @@ class Scorer:
                 self._score_clustering(todo)
             else:
                 with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-                    results = list(pool.map(self._score_supervised, todo.values()))
+                    results = list(pool.map(lambda a: self._in_pool(self._score_supervised, a),
+                                            enumerate(todo.values())))
                 self.memo.update(dict(zip(todo.keys(), results)))
         return [self.memo[k] for k in keys]
 
