@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtune.functions.columns import (nan_to_null, numeric_columns, q, resolve_label,
+from tabtune.functions.columns import (numeric_columns, q, resolve_label,
                                        unpivot_numeric)
 from tabtune.operators.normality import normality_from_summary, shapiro_summaries
 from tabtune.operators.ranks import column_value_ranks, linear_quantiles
@@ -41,7 +41,7 @@ def column_quartiles(df: DataFrame, cols=None, k: float = 1.5, approx: bool = Fa
     """
     cols = cols or numeric_columns(df)
     if approx:
-        long = unpivot_numeric(nan_to_null(df), cols)
+        long = unpivot_numeric(df, cols)
         qs = (long.groupBy("column")
               .agg(F.count(F.lit(1)).alias("n"),
                    F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("qs")))
@@ -49,7 +49,7 @@ def column_quartiles(df: DataFrame, cols=None, k: float = 1.5, approx: bool = Fa
                        F.col("qs")[1].alias("q_5"), F.col("qs")[2].alias("q_75"))
     else:
         if ranked is None:
-            ranked = column_value_ranks(unpivot_numeric(nan_to_null(df), cols))
+            ranked = column_value_ranks(unpivot_numeric(df, cols))
         qs = linear_quantiles(ranked, (0.25, 0.5, 0.75))
     iqr = F.col("q_75") - F.col("q_25")
     return qs.select(
@@ -65,7 +65,7 @@ def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5
     """Summary behind B5: one row per numeric column with its IQR bounds,
     normality result and whether the IQR rule applies (not normal)."""
     cols = [c for c in (cols or numeric_columns(df)) if c not in set(exclude)]
-    ranked = column_value_ranks(unpivot_numeric(nan_to_null(df), cols))
+    ranked = column_value_ranks(unpivot_numeric(df, cols))
     quart = column_quartiles(df, cols, k=k, ranked=ranked)
     if gate:
         norm = normality_from_summary(shapiro_summaries(ranked), alpha)

@@ -12,8 +12,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtune.functions.columns import nan_to_null, numeric_columns, q, unpivot_numeric
+from tabtune.functions.columns import numeric_columns, q, unpivot_numeric
 from tabtune.operators.clean import column_quartiles
+from tabtune.operators.ranks import column_value_ranks, linear_quantiles
 from tabtune.operators.split import hash_unit
 
 MAX_PAIR_AGGS = 20000  # corr aggregates in one scan before switching to Spark ML
@@ -55,51 +56,51 @@ def _bounds(df, cols, k):
 def box_stats(df: DataFrame, cols=None, k: float = 1.5) -> DataFrame:
     """(column, q1, median, q3, whisker_lo, whisker_hi, n_fliers, min, max).
 
-    Whiskers are the most extreme values inside [q1 - k*iqr, q3 + k*iqr]."""
+    Whiskers are the most extreme values inside [q1 - k*iqr, q3 + k*iqr].
+    Everything comes from the ranked distinct values that the quartiles
+    need anyway (value, cnt): no second pass over the source rows."""
     cols = cols or numeric_columns(df)
-    b = _bounds(df, cols, k)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(q(c)).cast("double")
-        x = F.when(~F.isnan(x), x)
-        lo, hi = b[c]["lower"], b[c]["upper"]
-        aggs += [F.min(F.when(x >= F.lit(lo), x)).alias(f"_wl{i}"),
-                 F.max(F.when(x <= F.lit(hi), x)).alias(f"_wh{i}"),
-                 F.sum(F.when((x < F.lit(lo)) | (x > F.lit(hi)), 1).otherwise(0)).cast("long")
-                 .alias(f"_nf{i}"),
-                 F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}")]
-    row = df.agg(*aggs)
-    entries = [F.struct(F.lit(c).alias("column"), F.lit(b[c]["q1"]).alias("q1"),
-                        F.lit(b[c]["median"]).alias("median"), F.lit(b[c]["q3"]).alias("q3"),
-                        F.col(f"_wl{i}").alias("whisker_lo"), F.col(f"_wh{i}").alias("whisker_hi"),
-                        F.col(f"_nf{i}").alias("n_fliers"), F.col(f"_mn{i}").alias("min"),
-                        F.col(f"_mx{i}").alias("max"))
-               for i, c in enumerate(cols)]
-    return row.select(F.explode(F.array(*entries)).alias("s")).select("s.*")
+    ranked = column_value_ranks(unpivot_numeric(df, cols))
+    quart = column_quartiles(df, cols, k=k, ranked=ranked)
+    v, lo, hi = F.col("value"), F.col("lower"), F.col("upper")
+    stats = (ranked.join(F.broadcast(quart.select("column", "lower", "upper")), "column")
+             .groupBy("column")
+             .agg(F.min(F.when(v >= lo, v)).alias("whisker_lo"),
+                  F.max(F.when(v <= hi, v)).alias("whisker_hi"),
+                  F.sum(F.when((v < lo) | (v > hi), F.col("cnt")).otherwise(0)).cast("long")
+                  .alias("n_fliers"),
+                  F.min(v).alias("min"), F.max(v).alias("max")))
+    return (quart.select("column", "q1", "median", "q3").join(stats, "column")
+            .select("column", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_fliers",
+                    "min", "max"))
 
 
 def histogram_params(df: DataFrame, cols=None, bins="auto") -> DataFrame:
     """(column, n, lo, hi, bins) per column; ``bins='auto'`` is the larger
-    of the Sturges and Freedman-Diaconis bin counts (numpy's 'auto')."""
+    of the Sturges and Freedman-Diaconis bin counts (numpy's 'auto').
+    With 'auto', range and IQR come from one pass over the ranked values."""
     cols = cols or numeric_columns(df)
     spark = df.sparkSession
     if bins == "auto":
-        quart = column_quartiles(df, cols)
-    long = unpivot_numeric(nan_to_null(df), cols)
-    mm = {r[0]: r for r in long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
-        F.max("value").alias("hi")).collect()}  # one row per column
-    iqr = {r["column"]: r["iqr"] for r in quart.collect()} if bins == "auto" else {}
+        ranked = column_value_ranks(unpivot_numeric(df, cols))
+        qs = linear_quantiles(ranked, (0.0, 0.25, 0.75, 1.0))
+        stats = {r["column"]: (int(r["n"]), r["q_0"], r["q_1"], r["q_75"] - r["q_25"])
+                 for r in qs.collect()}  # one row per column
+    else:
+        long = unpivot_numeric(df, cols)
+        stats = {r[0]: (int(r[1]), r[2], r[3], None) for r in long.groupBy("column").agg(
+            F.count(F.lit(1)), F.min("value"), F.max("value")).collect()}  # one row per column
     rows = []
     for c in cols:
-        if c not in mm:
+        if c not in stats:
             continue
-        n, lo, hi = int(mm[c]["n"]), float(mm[c]["lo"]), float(mm[c]["hi"])
+        n, lo, hi, iqr = stats[c]
+        lo, hi = float(lo), float(hi)
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         if bins == "auto":
             sturges = (hi - lo) / (math.log2(n) + 1.0)
-            fd = 2.0 * iqr[c] * n ** (-1.0 / 3.0)
+            fd = 2.0 * iqr * n ** (-1.0 / 3.0)
             width = min(fd, sturges) if fd else sturges
             nb = max(1, int(math.ceil((hi - lo) / width))) if width > 0 else 1
         else:
@@ -113,7 +114,7 @@ def histograms(df: DataFrame, cols=None, bins="auto") -> DataFrame:
     is closed on the right."""
     cols = cols or numeric_columns(df)
     params = histogram_params(df, cols, bins)
-    long = unpivot_numeric(nan_to_null(df), cols)
+    long = unpivot_numeric(df, cols)
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     binned = (long.join(F.broadcast(params), "column")  # one row per column
               .withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtune.functions.columns import nan_to_null, numeric_columns, unpivot_numeric
+from tabtune.functions.columns import numeric_columns, unpivot_numeric
 from tabtune.functions.formulas import lit_sql, norm_ppf_sql, norm_sf_sql, poly_sql
 from tabtune.operators.ranks import column_value_ranks
 
@@ -149,6 +149,6 @@ def normality_test(df: DataFrame, cols=None, alpha: float = 0.05,
     """
     cols = cols or numeric_columns(df)
     if ranked is None:
-        ranked = column_value_ranks(unpivot_numeric(nan_to_null(df), cols))
+        ranked = column_value_ranks(unpivot_numeric(df, cols))
     result = normality_from_summary(shapiro_summaries(ranked), alpha)
     return result

@@ -24,7 +24,6 @@ start+cnt`` (1-based) hold ``value``; ``n`` = rows of the group.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,37 +89,6 @@ def column_value_ranks(long: DataFrame, partitions: int | None = None) -> DataFr
     return value_ranks(counts, "column", "value", partitions)
 
 
-def values_at_ranks(ranked: DataFrame, group: str, value: str,
-                    targets: dict) -> dict:
-    """Look up the values at given 0-based ranks for each group.
-
-    ``targets`` maps group -> list of ranks (a handful per group).  One
-    aggregation pass over the ranked table; returns {group: [values]}.
-    """
-    aggs = []
-    names = []
-    for gi, (g, ranks) in enumerate(targets.items()):
-        for ri, r in enumerate(ranks):
-            cond = ((F.col(group) == F.lit(g)) & (F.col("start") <= F.lit(int(r)))
-                    & (F.lit(int(r)) < F.col("start") + F.col("cnt")))
-            name = f"g{gi}_r{ri}"
-            aggs.append(F.max(F.when(cond, F.col(value))).alias(name))
-            names.append((g, ri, name))
-    if not aggs:
-        return {}
-    row = ranked.agg(*aggs).first()
-    out: dict = {g: [None] * len(r) for g, r in targets.items()}
-    for g, ri, name in names:
-        out[g][ri] = row[name]
-    return out
-
-
-def group_sizes(ranked: DataFrame, group: str) -> dict:
-    """n per group (at most #groups rows reach the driver)."""
-    return {r[0]: int(r[1]) for r in
-            ranked.select(group, "n").distinct().collect()}
-
-
 def linear_quantiles(ranked: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Linear-interpolated quantiles (pandas / numpy default, DuckDB
     ``quantile_cont``) per column of a numeric ``column_value_ranks`` table.
@@ -150,4 +118,8 @@ def linear_quantiles(ranked: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
 
 
 def _ptag(p: float) -> str:
-    return str(p).replace("0.", "").replace(".", "_")
+    """0.25 -> '25', 0.5 -> '5', 0.0 -> '0', 1.0 -> '1'."""
+    text = repr(float(p))
+    if text in ("0.0", "1.0"):
+        return text[0]
+    return text.replace("0.", "").replace(".", "_")

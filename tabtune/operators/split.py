@@ -13,7 +13,6 @@ hash (ties broken by the key), never a single-task window.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
