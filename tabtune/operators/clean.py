@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabtune.functions.columns import (numeric_columns, q, resolve_label,
                                        unpivot_numeric)
 from tabtune.operators.normality import normality_from_summary, shapiro_summaries
-from tabtune.operators.ranks import column_value_ranks, linear_quantiles
+from tabtune.operators.ranks import column_value_ranks, linear_quantiles, small_result
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -47,17 +47,19 @@ def column_quartiles(df: DataFrame, cols=None, k: float = 1.5, approx: bool = Fa
                    F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("qs")))
         qs = qs.select("column", "n", F.col("qs")[0].alias("q_25"),
                        F.col("qs")[1].alias("q_5"), F.col("qs")[2].alias("q_75"))
-    else:
+    own = None
+    if not approx:
         if ranked is None:
-            ranked = column_value_ranks(unpivot_numeric(df, cols))
+            ranked = own = column_value_ranks(unpivot_numeric(df, cols))
         qs = linear_quantiles(ranked, (0.25, 0.5, 0.75))
     iqr = F.col("q_75") - F.col("q_25")
-    return qs.select(
+    out = qs.select(
         "column", F.col("n").cast("long").alias("n"),
         F.col("q_25").alias("q1"), F.col("q_5").alias("median"), F.col("q_75").alias("q3"),
         iqr.alias("iqr"),
         (F.col("q_25") - F.lit(float(k)) * iqr).alias("lower"),
         (F.col("q_75") + F.lit(float(k)) * iqr).alias("upper"))
+    return small_result(out, own) if own is not None else out
 
 
 def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5,
@@ -66,9 +68,9 @@ def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5
     normality result and whether the IQR rule applies (not normal)."""
     cols = [c for c in (cols or numeric_columns(df)) if c not in set(exclude)]
     ranked = column_value_ranks(unpivot_numeric(df, cols))
-    quart = column_quartiles(df, cols, k=k, ranked=ranked)
+    quart = small_result(column_quartiles(df, cols, k=k, ranked=ranked))
     if gate:
-        norm = normality_from_summary(shapiro_summaries(ranked), alpha)
+        norm = small_result(normality_from_summary(shapiro_summaries(ranked), alpha))
         out = quart.join(norm.drop("n"), "column", "left")
         applies = ~F.coalesce(F.col("is_normal"), F.lit(False))
     else:
@@ -78,7 +80,7 @@ def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5
                .withColumn("is_normal", F.lit(None).cast("boolean"))
                .withColumn("p_reliable", F.lit(None).cast("boolean")))
         applies = F.lit(True)
-    return out.withColumn("applies", applies)
+    return small_result(out.withColumn("applies", applies), ranked)
 
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")

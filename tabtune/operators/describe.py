@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import numeric_columns, q, unpivot_numeric
 from tabtune.operators.clean import column_quartiles
-from tabtune.operators.ranks import column_value_ranks, linear_quantiles
+from tabtune.operators.ranks import column_value_ranks, linear_quantiles, small_result
 from tabtune.operators.split import hash_unit
 
 MAX_PAIR_AGGS = 20000  # corr aggregates in one scan before switching to Spark ML
@@ -70,9 +70,10 @@ def box_stats(df: DataFrame, cols=None, k: float = 1.5) -> DataFrame:
                   F.sum(F.when((v < lo) | (v > hi), F.col("cnt")).otherwise(0)).cast("long")
                   .alias("n_fliers"),
                   F.min(v).alias("min"), F.max(v).alias("max")))
-    return (quart.select("column", "q1", "median", "q3").join(stats, "column")
-            .select("column", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_fliers",
-                    "min", "max"))
+    out = (quart.select("column", "q1", "median", "q3").join(stats, "column")
+           .select("column", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_fliers",
+                   "min", "max"))
+    return small_result(out, ranked)
 
 
 def histogram_params(df: DataFrame, cols=None, bins="auto") -> DataFrame:
@@ -86,6 +87,7 @@ def histogram_params(df: DataFrame, cols=None, bins="auto") -> DataFrame:
         qs = linear_quantiles(ranked, (0.0, 0.25, 0.75, 1.0))
         stats = {r["column"]: (int(r["n"]), r["q_0"], r["q_1"], r["q_75"] - r["q_25"])
                  for r in qs.collect()}  # one row per column
+        ranked.unpersist()
     else:
         long = unpivot_numeric(df, cols)
         stats = {r[0]: (int(r[1]), r[2], r[3], None) for r in long.groupBy("column").agg(

@@ -14,6 +14,7 @@ shuffle join.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,11 @@ def fit_label_encoder(df: DataFrame, cols=None) -> DataFrame:
     distinct = (long.where(F.col("value").isNotNull()).distinct()
                 .withColumn("cnt", F.lit(1).cast("long")))
     ranked = value_ranks(distinct, "column", "value")
-    return ranked.select("column", "value", F.col("start").cast("int").alias("code"))
+    mapping = (ranked.select("column", "value", F.col("start").cast("int").alias("code"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    mapping.count()
+    ranked.unpersist()
+    return mapping
 
 
 def _mapping_rows(mapping: DataFrame, column: str, limit: int):

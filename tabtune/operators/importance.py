@@ -7,6 +7,7 @@
   is permuted ``n_repeats`` times; a permutation is a join of the row index
   (distributed rank of the row hash) with the rank of a second, per
   (feature, repeat) hash, so no global window and no driver-side shuffle.
+  The result (one row per feature) is returned computed.
   All F x R permuted copies are scored by one ``model.transform`` and one
   ``groupBy(feature, repeat)``.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
 from tabtune.operators import models as M
-from tabtune.operators.ranks import value_ranks
+from tabtune.operators.ranks import small_result, value_ranks
 from tabtune.operators.split import key_text, train_test_split
 
 
@@ -67,8 +68,8 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
     # row index: rank of the row hash among test rows (distributed, exact)
     rows = base.withColumn("_h", F.concat_ws("|", F.md5(F.concat_ws(":", F.col("_key"),
                                                                      F.lit(str(seed)))), "_key"))
-    idx = _ranks(rows.withColumn("_g", F.lit("all")), "_g", "_h").select(
-        F.col("val").alias("_h"), F.col("start").alias("_idx"))
+    idx_ranked = _ranks(rows.withColumn("_g", F.lit("all")), "_g", "_h")
+    idx = idx_ranked.select(F.col("val").alias("_h"), F.col("start").alias("_idx"))
     rows = rows.join(idx, "_h").drop("_h")
     # per (feature, repeat): permutation rank of every row
     fr = [(f, r) for f in features for r in range(n_repeats)]
@@ -78,8 +79,9 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
     tagged = tagged.withColumn("_grp", F.concat_ws("#", "_f", F.col("_r").cast("string")))
     tagged = tagged.withColumn("_ph", F.concat_ws("|", F.md5(F.concat_ws(
         ":", "_key", "_grp", F.lit(str(seed)))), "_key"))
-    prank = _ranks(tagged, "_grp", "_ph").select(F.col("grp").alias("_grp"), F.col("val").alias("_ph"),
-                                                 F.col("start").alias("_target"))
+    perm_ranked = _ranks(tagged, "_grp", "_ph")
+    prank = perm_ranked.select(F.col("grp").alias("_grp"), F.col("val").alias("_ph"),
+                               F.col("start").alias("_target"))
     # the value of feature f in source row s moves to the row whose index is
     # the permutation rank of s
     moved = tagged.join(prank, ["_grp", "_ph"])
@@ -96,8 +98,9 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
         F.avg((F.col("_pred") == F.col(q(label)).cast("double")).cast("double")).alias("base"))
     b = base_acc.first()[0]  # one number
     drop = acc.withColumn("d", F.lit(b) - F.col("acc"))
-    return (drop.groupBy(F.col("_f").alias("Feature"))
-            .agg(F.avg("d").alias("Importance Mean"), F.stddev_pop("d").alias("Importance Std")))
+    result = (drop.groupBy(F.col("_f").alias("Feature"))
+              .agg(F.avg("d").alias("Importance Mean"), F.stddev_pop("d").alias("Importance Std")))
+    return small_result(result, idx_ranked, perm_ranked)  # one row per feature
 
 
 def rank_importance(df: DataFrame, column: str | None = None) -> DataFrame:

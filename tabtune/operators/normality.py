@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import numeric_columns, unpivot_numeric
 from tabtune.functions.formulas import lit_sql, norm_ppf_sql, norm_sf_sql, poly_sql
-from tabtune.operators.ranks import column_value_ranks
+from tabtune.operators.ranks import column_value_ranks, small_result
 
 CHUNK = 4096
 
@@ -148,7 +148,8 @@ def normality_test(df: DataFrame, cols=None, alpha: float = 0.05,
     Columns with fewer than 3 values raise (as the reference's library does).
     """
     cols = cols or numeric_columns(df)
+    own = None
     if ranked is None:
-        ranked = column_value_ranks(unpivot_numeric(df, cols))
+        ranked = own = column_value_ranks(unpivot_numeric(df, cols))
     result = normality_from_summary(shapiro_summaries(ranked), alpha)
-    return result
+    return small_result(result, own) if own is not None else result

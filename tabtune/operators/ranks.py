@@ -9,14 +9,18 @@ all rows, that task does not finish.  Instead:
 2. ``repartitionByRange(group, value)`` + ``sortWithinPartitions`` - the
    distinct values are spread evenly over all tasks, each task holding a
    contiguous value range;
-3. reliable ``checkpoint`` - fixes partition contents (range bounds come
-   from sampling) and cuts lineage;
+3. ``persist`` - the range bounds live in the shuffle's partitioner, so
+   a lost cached partition is recomputed with the same bounds and the same
+   contents; the two passes below read one consistent partitioning;
 4. per (group, partition) totals - at most ``partitions x groups`` rows -
    become exclusive offsets with a window over that tiny table;
 5. a per-partition running sum (``mapInPandas`` over the sorted partition,
    no shuffle) plus the broadcast offset gives each value its first rank;
-6. the ranked table is checkpointed too, so its several consumers do not
-   recompute step 5.
+6. the ranked table is persisted and materialised (its consumers read it
+   several times) and the intermediate is released.  Ranks are a function
+   of the data alone, so recomputing any lost piece yields the same values.
+   Callers ``unpersist`` the result when done (summary operators do it
+   themselves and return small, already computed DataFrames).
 
 Result columns: ``group, value, cnt, start`` where ranks ``start+1 ..
 start+cnt`` (1-based) hold ``value``; ``n`` = rows of the group.
@@ -29,7 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabtune.session import checkpoint, shuffle_partitions
+from pyspark import StorageLevel
+
+from tabtune.session import shuffle_partitions
 
 
 def _local_starts(batches):
@@ -60,8 +66,8 @@ def value_ranks(counts: DataFrame, group: str, value: str,
                          F.col("cnt").cast("long").alias("cnt"))
     ranged = (base.repartitionByRange(parts, "grp", "val")
               .sortWithinPartitions("grp", "val")
-              .withColumn("pid", F.spark_partition_id()))
-    ranged = checkpoint(ranged)
+              .withColumn("pid", F.spark_partition_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
 
     totals = ranged.groupBy("grp", "pid").agg(F.sum("cnt").alias("part_n"))
     w = Window.partitionBy("grp").orderBy("pid")
@@ -78,9 +84,21 @@ def value_ranks(counts: DataFrame, group: str, value: str,
     out = (local.join(F.broadcast(offsets), ["grp", "pid"])
            .select(F.col("grp").alias(group), F.col("val").alias(value), "cnt",
                    (F.col("part_start") + F.col("local_start")).alias("start"), "n"))
-    # consumers (quantiles, moments, rank expansion) read the ranks several
-    # times: materialise them once, reliably
-    return checkpoint(out)
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()  # materialise while the partitioning is cached
+    ranged.unpersist()
+    return out
+
+
+def small_result(df: DataFrame, *release: DataFrame) -> DataFrame:
+    """Compute a small summary (one row per column / class / candidate),
+    hand it back as a local DataFrame and release the cached inputs."""
+    rows = df.collect()
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    for r in release:
+        if r is not None:
+            r.unpersist()
+    return out
 
 
 def column_value_ranks(long: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ hash (ties broken by the key), never a single-task window.
 from __future__ import annotations
 
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,10 @@ def _exact_split(df, key, label, test_fraction, seed):
     thr = (ranked.where((target >= 0) & (F.col("start") <= target)
                         & (target < F.col("start") + F.col("cnt")))
            .select("_grp", F.col("_ord").alias("_thr")))
-    if thr.count() <= 1_000_000:  # one row per class: checked before broadcasting
+    thr = thr.persist(StorageLevel.MEMORY_AND_DISK)
+    n_thr = thr.count()
+    ranked.unpersist()
+    if n_thr <= 1_000_000:  # one row per class: checked before broadcasting
         thr = F.broadcast(thr)
     out = (ordered.join(thr, "_grp", "left")
            .withColumn("split", F.when(F.col("_thr").isNotNull() & (F.col("_ord") <= F.col("_thr")),
