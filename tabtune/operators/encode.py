@@ -37,7 +37,7 @@ def fit_label_encoder(df: DataFrame, cols=None) -> DataFrame:
                 .withColumn("cnt", F.lit(1).cast("long")))
     ranked = value_ranks(distinct, "column", "value")
     mapping = (ranked.select("column", "value", F.col("start").cast("int").alias("code"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
+               .persist(StorageLevel.MEMORY_AND_DISK_DESER))
     mapping.count()
     ranked.unpersist()
     return mapping

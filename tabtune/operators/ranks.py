@@ -67,7 +67,7 @@ def value_ranks(counts: DataFrame, group: str, value: str,
     ranged = (base.repartitionByRange(parts, "grp", "val")
               .sortWithinPartitions("grp", "val")
               .withColumn("pid", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .persist(StorageLevel.MEMORY_AND_DISK_DESER))
 
     totals = ranged.groupBy("grp", "pid").agg(F.sum("cnt").alias("part_n"))
     w = Window.partitionBy("grp").orderBy("pid")
@@ -84,7 +84,7 @@ def value_ranks(counts: DataFrame, group: str, value: str,
     out = (local.join(F.broadcast(offsets), ["grp", "pid"])
            .select(F.col("grp").alias(group), F.col("val").alias(value), "cnt",
                    (F.col("part_start") + F.col("local_start")).alias("start"), "n"))
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = out.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     out.count()  # materialise while the partitioning is cached
     ranged.unpersist()
     return out

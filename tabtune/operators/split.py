@@ -81,7 +81,7 @@ def _exact_split(df, key, label, test_fraction, seed):
     thr = (ranked.where((target >= 0) & (F.col("start") <= target)
                         & (target < F.col("start") + F.col("cnt")))
            .select("_grp", F.col("_ord").alias("_thr")))
-    thr = thr.persist(StorageLevel.MEMORY_AND_DISK)
+    thr = thr.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     n_thr = thr.count()
     ranked.unpersist()
     if n_thr <= 1_000_000:  # one row per class: checked before broadcasting
