@@ -55,25 +55,26 @@ def shapiro_summary_steps() -> list[tuple[str, str]]:
     xn1, xn; each step may use the names of earlier steps.  Shared verbatim
     by the Spark operator and the DuckDB twin.  Ends with ``w``, ``z``, ``p``.
     """
-    one, two = lit_sql(1.0), lit_sql(2.0)
+    zero, one, two = lit_sql(0.0), lit_sql(1.0), lit_sql(2.0)
     nd = "CAST(n AS DOUBLE)"
     return [
         ("sw_u", f"({one} / sqrt({nd}))"),
         ("sw_mn", m_sql(nd, nd)),
         ("sw_mn1", m_sql(f"({nd} - {one})", nd)),
-        ("sw_an", f"(sw_mn / sqrt(mm) + {poly_sql(SW_C1, 'sw_u')})"),
-        ("sw_an1", f"(sw_mn1 / sqrt(mm) + {poly_sql(SW_C2, 'sw_u')})"),
+        ("sw_an", f"(sw_mn / sqrt(nullif(mm, {lit_sql(0.0)})) + {poly_sql(SW_C1, 'sw_u')})"),
+        ("sw_an1", f"(sw_mn1 / sqrt(nullif(mm, {lit_sql(0.0)})) + {poly_sql(SW_C2, 'sw_u')})"),
         ("sw_d1", "(xn - x1)"),
         ("sw_d2", "(xn1 - x2)"),
         ("sw_fac", f"(CASE WHEN n > 5 THEN sqrt((mm - {two} * sw_mn * sw_mn - {two} * sw_mn1 * sw_mn1)"
-                   f" / ({one} - {two} * sw_an * sw_an - {two} * sw_an1 * sw_an1))"
-                   f" ELSE sqrt((mm - {two} * sw_mn * sw_mn) / ({one} - {two} * sw_an * sw_an)) END)"),
-        ("sw_ax", f"(CASE WHEN n > 5 THEN (sm - sw_mn * sw_d1 - sw_mn1 * sw_d2) / sw_fac"
+                   f" / nullif({one} - {two} * sw_an * sw_an - {two} * sw_an1 * sw_an1, {zero}))"
+                   f" ELSE sqrt((mm - {two} * sw_mn * sw_mn)"
+                   f" / nullif({one} - {two} * sw_an * sw_an, {zero})) END)"),
+        ("sw_ax", f"(CASE WHEN n > 5 THEN (sm - sw_mn * sw_d1 - sw_mn1 * sw_d2) / nullif(sw_fac, {zero})"
                   f" + sw_an * sw_d1 + sw_an1 * sw_d2"
-                  f" WHEN n >= 4 THEN (sm - sw_mn * sw_d1) / sw_fac + sw_an * sw_d1"
+                  f" WHEN n >= 4 THEN (sm - sw_mn * sw_d1) / nullif(sw_fac, {zero}) + sw_an * sw_d1"
                   f" ELSE sqrt({lit_sql(0.5)}) * sw_d1 END)"),
         ("w", f"(CASE WHEN ss <= {lit_sql(0.0)} THEN {one}"
-              f" ELSE least(sw_ax * sw_ax / ss, {one}) END)"),
+              f" ELSE least(sw_ax * sw_ax / nullif(ss, {zero}), {one}) END)"),
         ("sw_y", f"(CASE WHEN w < {one} THEN ln({one} - w) END)"),
         ("sw_gamma", poly_sql(SW_G, nd)),
         ("z", f"(CASE WHEN w >= {one} OR n < 4 THEN NULL"
@@ -135,9 +136,11 @@ def normality_from_summary(summary: DataFrame, alpha: float = 0.05) -> DataFrame
     out = summary
     for name, text in shapiro_summary_steps():
         out = out.withColumn(name, F.expr(text))
+    enough = F.col("n") >= 3  # the test needs three values; fewer gives nulls
     return out.select(
-        "column", F.col("n").cast("long").alias("n"), "w", "z", "p",
-        (F.col("p") > F.lit(float(alpha))).alias("is_normal"),
+        "column", F.col("n").cast("long").alias("n"),
+        *[F.when(enough, F.col(c)).alias(c) for c in ("w", "z", "p")],
+        F.when(enough, F.col("p") > F.lit(float(alpha))).alias("is_normal"),
         (F.col("n") <= P_RELIABLE_MAX_N).alias("p_reliable"))
 
 
@@ -145,7 +148,8 @@ def normality_test(df: DataFrame, cols=None, alpha: float = 0.05,
                    ranked: DataFrame | None = None) -> DataFrame:
     """One row per numeric column: n, w, z, p, is_normal, p_reliable.
 
-    Columns with fewer than 3 values raise (as the reference's library does).
+    Columns with fewer than 3 values get null statistics (the test is
+    undefined there); the outlier gate then treats them as not normal.
     """
     cols = cols or numeric_columns(df)
     own = None

@@ -104,3 +104,9 @@ def test_ranks_and_quantiles_match_numpy(spark):
         assert qs[c]["q_25"] == pytest.approx(np.percentile(arr, 25))
         assert qs[c]["q_5"] == pytest.approx(np.percentile(arr, 50))
         assert qs[c]["q_75"] == pytest.approx(np.percentile(arr, 75))
+
+
+def test_fewer_than_three_values_give_nulls(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "x double, y double")
+    got = {r["column"]: r for r in normality_test(df).collect()}
+    assert got["x"]["w"] is None and got["x"]["is_normal"] is None and got["y"]["n"] == 1
