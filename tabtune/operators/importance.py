@@ -14,13 +14,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
 from tabtune.operators import models as M
-from tabtune.operators.ranks import small_result, value_ranks
+from tabtune.operators.ranks import small_result
 from tabtune.operators.split import key_text, train_test_split
 
 
@@ -42,10 +45,25 @@ def linear_importance(model: PipelineModel, features) -> DataFrame:
                                  "Feature string, Importance double")
 
 
-def _ranks(df: DataFrame, group_col: str, order_col: str) -> DataFrame:
-    counts = df.select(F.col(group_col).alias("grp"), F.col(order_col).alias("val"),
-                       F.lit(1).cast("long").alias("cnt"))
-    return value_ranks(counts, "grp", "val")
+PERM_BLOCK_ROWS = 8192
+
+
+def _permute_blocks(features, seed):
+    """Permute one feature column inside one (feature, repeat, block) group
+    with a numpy generator seeded by the group (reproducible)."""
+    index = {f: i for i, f in enumerate(features)}
+
+    def run(pdf):
+        if pdf.empty:
+            return pdf
+        f = pdf["_f"].iloc[0]
+        rng = np.random.default_rng([seed, index[f], int(pdf["_r"].iloc[0]),
+                                     int(pdf["_blk"].iloc[0])])
+        order = np.argsort(pdf["_key"].to_numpy(), kind="stable")  # layout-independent
+        pdf = pdf.iloc[order].reset_index(drop=True)
+        pdf[f] = pdf[f].to_numpy()[rng.permutation(len(pdf))]
+        return pdf
+    return run
 
 
 def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=None,
@@ -54,7 +72,11 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
     """(Feature, Importance Mean, Importance Std) by accuracy drop.
 
     ``model`` defaults to a surrogate random forest classifier (100 trees,
-    seed 42) fitted on the train rows of a hash split of ``df``.
+    seed 42) fitted on the train rows of a hash split of ``df``.  Each
+    permutation shuffles a feature inside hash blocks of at most
+    ``PERM_BLOCK_ROWS`` test rows (random blocks, so the permuted column is
+    independent of the row as in a full permutation; the groups stay
+    bounded).
     """
     features = list(features)
     split = train_test_split(df, key, test_fraction, seed)
@@ -63,44 +85,23 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
     if model is None:
         model = M.fit_forest_classifier(train, features, label,
                                         {"n_estimators": 100, "max_features": "sqrt"})
-    kt = key_text(test, key)
-    base = test.withColumn("_key", kt)
-    # row index: rank of the row hash among test rows (distributed, exact)
-    rows = base.withColumn("_h", F.concat_ws("|", F.md5(F.concat_ws(":", F.col("_key"),
-                                                                     F.lit(str(seed)))), "_key"))
-    idx_ranked = _ranks(rows.withColumn("_g", F.lit("all")), "_g", "_h")
-    idx = idx_ranked.select(F.col("val").alias("_h"), F.col("start").alias("_idx"))
-    rows = rows.join(idx, "_h").drop("_h")
-    # per (feature, repeat): permutation rank of every row
-    fr = [(f, r) for f in features for r in range(n_repeats)]
-    tagged = rows.select("_key", "_idx", *[F.col(q(f)) for f in features], F.explode(F.array(*[
-        F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r")) for f, r in fr])).alias("_fr"))
-    tagged = tagged.select("*", "_fr._f", "_fr._r").drop("_fr")
-    tagged = tagged.withColumn("_grp", F.concat_ws("#", "_f", F.col("_r").cast("string")))
-    tagged = tagged.withColumn("_ph", F.concat_ws("|", F.md5(F.concat_ws(
-        ":", "_key", "_grp", F.lit(str(seed)))), "_key"))
-    perm_ranked = _ranks(tagged, "_grp", "_ph")
-    prank = perm_ranked.select(F.col("grp").alias("_grp"), F.col("val").alias("_ph"),
-                               F.col("start").alias("_target"))
-    # the value of feature f in source row s moves to the row whose index is
-    # the permutation rank of s
-    moved = tagged.join(prank, ["_grp", "_ph"])
-    value = F.coalesce(*[F.when(F.col("_f") == f, F.col(q(f)).cast("double")) for f in features])
-    moved = moved.select("_f", "_r", F.col("_target").alias("_idx"), value.alias("_v"))
-    permuted = (moved.join(rows, "_idx")
-                .select("_f", "_r", F.col(q(label)),
-                        *[F.when(F.col("_f") == f, F.col("_v")).otherwise(F.col(q(f)).cast("double"))
-                          .alias(f) for f in features]))
-    scored = M.predict(model, permuted, "_pred")
-    acc = (scored.groupBy("_f", "_r")
-           .agg(F.avg((F.col("_pred") == F.col(q(label)).cast("double")).cast("double")).alias("acc")))
-    base_acc = M.predict(model, test, "_pred").agg(
-        F.avg((F.col("_pred") == F.col(q(label)).cast("double")).cast("double")).alias("base"))
-    b = base_acc.first()[0]  # one number
+    test = test.select(key_text(test, key).alias("_key"), F.col(q(label)),
+                       *[F.col(q(f)).cast("double").alias(f) for f in features])
+    m = test.count()
+    blocks = max(1, math.ceil(m / PERM_BLOCK_ROWS))
+    copies = test.select("*", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(blocks)).alias("_blk"),
+                         F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
+                                             for f in features for r in range(n_repeats)])).alias("_fr"))
+    copies = copies.select("*", "_fr._f", "_fr._r").drop("_fr")
+    permuted = (copies.groupBy("_f", "_r", "_blk")
+                .applyInPandas(_permute_blocks(features, seed), copies.schema))
+    hit = (F.col("_pred") == F.col(q(label)).cast("double")).cast("double")
+    acc = (M.predict(model, permuted, "_pred").groupBy("_f", "_r").agg(F.avg(hit).alias("acc")))
+    b = M.predict(model, test, "_pred").agg(F.avg(hit)).first()[0]  # one number
     drop = acc.withColumn("d", F.lit(b) - F.col("acc"))
     result = (drop.groupBy(F.col("_f").alias("Feature"))
               .agg(F.avg("d").alias("Importance Mean"), F.stddev_pop("d").alias("Importance Std")))
-    return small_result(result, idx_ranked, perm_ranked)  # one row per feature
+    return small_result(result)  # one row per feature
 
 
 def rank_importance(df: DataFrame, column: str | None = None) -> DataFrame:
