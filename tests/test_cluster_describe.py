@@ -103,3 +103,19 @@ def test_box_stats_and_corr(spark):
     corr = {(r[0], r[1]): r[2] for r in D.correlation_matrix(ev).collect()}
     assert corr[("user_id", "value")] == pytest.approx(pdf.corr().loc["user_id", "value"])
     assert len(corr) == 4
+
+
+def test_eda_report_and_flag_union(spark):
+    from pyspark.sql import functions as F
+    from tabtune.operators import clean as C
+    from tabtune.plans.eda import eda_report
+    ev = table(spark, "events").select("event_id", "user_id", "value")
+    rep = eda_report(ev, key="event_id")
+    assert set(rep) >= {"correlation", "box", "histograms", "pairs", "fliers"}
+    assert rep["correlation"].count() == 4 and rep["pairs"].count() == 2 * ev.count()
+    rep["_input"].unpersist()
+    flags = {r["column"]: r for r in C.outlier_flags(ev).collect()}
+    b = flags["value"]
+    manual = ev.where((F.col("value") < b["lower"]) | (F.col("value") > b["upper"])).count()
+    assert b["n_outliers"] == manual
+    assert b["n_rows_flagged"] == ev.count() - C.drop_outliers(ev).count()
