@@ -30,6 +30,7 @@ from tabtune.operators.split import hash_unit
 
 INIT_SAMPLE = 10000
 SEED = 42
+DIRECT_PARTIALS_MAX = 50_000  # partial rows summed on the driver without a shuffle
 
 
 @dataclass
@@ -141,15 +142,30 @@ def fit_kmeans_batch(points: DataFrame, features, candidates: list[dict], key=No
     done = [False] * len(runs)
     iters = [0] * len(runs)
 
+    n_parts = pts.rdd.getNumPartitions()
+
     def one_pass(active):
         bc = spark.sparkContext.broadcast(centers)
         part = pts.mapInPandas(_assign_partials(bc, active), PARTIAL_SCHEMA)
-        rows = (part.groupBy("run", "cluster")
-                .agg(F.sum("cnt").alias("cnt"), F.sum("cost").alias("cost"),
-                     F.aggregate(F.collect_list("s"),
-                                 F.array_repeat(F.lit(0.0), F.size(F.first("s"))),
-                                 lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("s"))
-                .collect())  # at most runs x k rows
+        k_max = max(runs[r][1] for r in active)
+        if n_parts * len(active) * k_max <= DIRECT_PARTIALS_MAX:
+            # few partials (partitions x runs x k, checked): add them up here,
+            # one stage per iteration instead of two
+            acc: dict = {}
+            for row in part.collect():
+                key_ = (row["run"], row["cluster"])
+                c0, s0, v0 = acc.get(key_, (0, 0.0, None))
+                v = np.asarray(row["s"])
+                acc[key_] = (c0 + row["cnt"], s0 + row["cost"], v if v0 is None else v0 + v)
+            rows = [{"run": r, "cluster": c, "cnt": cnt, "cost": cost, "s": v}
+                    for (r, c), (cnt, cost, v) in acc.items()]
+        else:
+            rows = (part.groupBy("run", "cluster")
+                    .agg(F.sum("cnt").alias("cnt"), F.sum("cost").alias("cost"),
+                         F.aggregate(F.collect_list("s"),
+                                     F.array_repeat(F.lit(0.0), F.size(F.first("s"))),
+                                     lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("s"))
+                    .collect())  # at most runs x k rows
         bc.unpersist()
         by_run: dict = {}
         for row in rows:
