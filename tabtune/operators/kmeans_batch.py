@@ -196,29 +196,31 @@ def fit_kmeans_batch(points: DataFrame, features, candidates: list[dict], key=No
     return models
 
 
-def _label_all(centers_list, names):
+def _label_all(centers_list, names, features):
     def run(batches):
         for pdf in batches:
-            x = _features_matrix(pdf) if len(pdf) else np.zeros((0, 1))
-            out = {"_key": pdf["_key"].to_numpy()}
+            if isinstance(features, str):
+                x = (np.stack(pdf[features].to_numpy()).astype(np.float64) if len(pdf)
+                     else np.zeros((0, 1)))
+            else:
+                x = pdf[list(features)].to_numpy(dtype=np.float64)
             xx = (x * x).sum(1)
             for name, c in zip(names, centers_list):
                 if len(x):
                     d2 = xx[:, None] + (c * c).sum(1)[None, :] - 2.0 * x @ c.T
-                    out[name] = d2.argmin(1).astype(np.int32)
+                    pdf[name] = d2.argmin(1).astype(np.int32)
                 else:
-                    out[name] = np.zeros(0, dtype=np.int32)
-            yield pd.DataFrame(out)
+                    pdf[name] = np.zeros(0, dtype=np.int32)
+            yield pdf
     return run
 
 
-def label_many(points: DataFrame, features, key: str, models: list[CentroidModel],
+def label_many(points: DataFrame, features, models: list[CentroidModel],
                prefix: str = "_cand") -> tuple[DataFrame, list[str]]:
-    """(key, label columns) for several fitted models in one numpy pass."""
-    from tabtune.operators.cluster_metrics import feature_array
+    """The points with one label column per fitted model, appended in one
+    narrow numpy pass (no join back to the points)."""
     names = [f"{prefix}{i}" for i in range(len(models))]
-    pts = points.select(F.col(q(key)).alias("_key"), feature_array(points, features).alias("f"))
-    schema = T.StructType([T.StructField("_key", points.schema[key].dataType)]
-                          + [T.StructField(nm, T.IntegerType()) for nm in names])
-    out = pts.mapInPandas(_label_all([m.centers for m in models], names), schema)
-    return out.withColumnRenamed("_key", key), names
+    schema = T.StructType(points.schema.fields + [T.StructField(nm, T.IntegerType())
+                                                  for nm in names])
+    out = points.mapInPandas(_label_all([m.centers for m in models], names, features), schema)
+    return out, names

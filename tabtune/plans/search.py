@@ -173,8 +173,7 @@ class Scorer:
         # one labelling pass and one silhouette job for the whole generation
         self.n_fits += len(todo)
         models = KB.fit_kmeans_batch(self.data, self.features, list(todo.values()), key=self.key)
-        labels, names = KB.label_many(self.data, self.features, self.key, models)
-        labelled = self.data.join(labels, self.key)
+        labelled, names = KB.label_many(self.data, self.features, models)
         sil = CM.silhouette_many(labelled, self.features, self.key, names,
                                  sample=self.silhouette_sample)
         got = {r["cand"]: r["silhouette"] for r in sil.collect()}  # one row per candidate
