@@ -457,10 +457,24 @@ def entry(spark: SparkSession) -> DataFrame:
                                 + [state.label])
 
 
+def _llm() -> tuple[dict, dict]:
+    """Queries and SQL of the subpackage ``llm`` and of the pipeline, where they can be imported."""
+    try:
+        import corpus_pipeline
+        from tabtune.llm import queries as Q
+    except ImportError:
+        return {}, {}
+    runs = {**Q.QUERIES, "pipeline": corpus_pipeline.run}
+    sql = dict(Q.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return runs, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **_llm()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     from twin_sql import build
-    return build()
+    return {**build(), **_llm()[1]}
