@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import quality, sharding
+from tabtune.llm import mixing, packing, quality, sharding
 
 
 def _docs(spark, sf):
@@ -13,15 +13,26 @@ def op1_host_quality_rules(spark, sf):
     return quality.query(_docs(spark, sf))
 
 
+def op2_hierarchical_mixing(spark, sf):
+    return mixing.query(_docs(spark, sf))
+
+
+def op9_length_buckets(spark, sf):
+    return packing.query(_docs(spark, sf))
+
+
 def op8_feistel_shards(spark, sf):
     return sharding.query(_docs(spark, sf))
 
 
 QUERIES = {
     "op1_host_quality_rules": op1_host_quality_rules,
+    "op2_hierarchical_mixing": op2_hierarchical_mixing,
+    "op9_length_buckets": op9_length_buckets,
     "op8_feistel_shards": op8_feistel_shards,
 }
 
 ORACLE_SQL = {
     "op1_host_quality_rules": quality.ORACLE,
+    "op2_hierarchical_mixing": mixing.oracle(),
 }
