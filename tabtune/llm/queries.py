@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import mixing, packing, quality, sharding
+from tabtune.llm import mixing, neardup, packing, quality, sharding
 
 
 def _docs(spark, sf):
@@ -21,6 +21,10 @@ def op9_length_buckets(spark, sf):
     return packing.query(_docs(spark, sf))
 
 
+def op5_bottom_k_near_duplicates(spark, sf):
+    return neardup.query(_docs(spark, sf))
+
+
 def op8_feistel_shards(spark, sf):
     return sharding.query(_docs(spark, sf))
 
@@ -29,10 +33,12 @@ QUERIES = {
     "op1_host_quality_rules": op1_host_quality_rules,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op9_length_buckets": op9_length_buckets,
+    "op5_bottom_k_near_duplicates": op5_bottom_k_near_duplicates,
     "op8_feistel_shards": op8_feistel_shards,
 }
 
 ORACLE_SQL = {
     "op1_host_quality_rules": quality.ORACLE,
     "op2_hierarchical_mixing": mixing.oracle(),
+    "op5_bottom_k_near_duplicates": neardup.ORACLE,
 }
