@@ -10,15 +10,17 @@ Why no link is lost.  Two sets with similarity t or more share, in the sketch
 of their union, a number of values that is hypergeometric with mean t k; it
 is below ``needed`` = t k - 6 standard deviations in less than one of 10^9
 such pairs, and never where the sketches hold whole sets.  So a class of
-which fewer values occur elsewhere has no partner, and for the others it is
-enough to look at the first (retained - needed + 1) values in the order of
+which fewer values occur elsewhere has no partner.  That screens all classes
+by small sketches (K); the few that pass get larger ones (WIDE).  For them it
+is enough to look at the first (retained - needed + 1) values in the order of
 rising frequency: two partners share one of them.  Values of a passage that
 many documents quote come last and drop out.
 
 Why hot lists are no trouble.  A list of many near-copies is not expanded
-into pairs.  In round r, about 8^r members of a list are its hubs (chosen by
-a hash of the member); every other member is compared with the hubs unless a
-known link already joins the two.  After each round, lists whose members are
+into pairs.  First every class meets one partner: of the members that come first
+(by a hash) in its lists, the one that most of its lists name.  Then, in round
+r, about 8^r members of a list are its hubs; every other member is compared
+with the hubs unless a known link already joins the two.  After each round, lists whose members are
 all joined are done; hubs leave the list, as all their pairs are decided.
 The last round has every member left as a hub, so nothing is skipped; the
 only pairs never compared are those already connected.
@@ -37,7 +39,7 @@ from tabtune.llm import words as W
 from tabtune.llm.components import components
 from tabtune.llm.frames import saved
 
-SHINGLE, K = 5, 64
+SHINGLE, K, WIDE = 5, 64, 256
 SIGMAS = 6.0
 GROWTH = 8
 #: Rows whose sets are held together when pairs are verified.
@@ -71,10 +73,7 @@ def sketches(docs: DataFrame, id_col: str, text: str, k: int = K) -> DataFrame:
         for batch in batches:
             for part, offs, value in shingle_sets(batch.column(1)):
                 size = np.diff(offs)
-                bits = value.view(np.uint64)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(W.mix(bits ^ np.uint64(x)), dtype=np.uint64)])
-                        for x in W.BASES]
-                s1, s2 = ((x[offs[1:]] - x[offs[:-1]]).view(np.int64) for x in sums)
+                s1, s2 = set_hashes(offs, value)
                 place = np.arange(len(value)) - np.repeat(offs[:-1], size)
                 kept = np.concatenate([[0], np.cumsum(np.minimum(size, k))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(kept), pa.array(value[place < k]))
@@ -85,40 +84,106 @@ def sketches(docs: DataFrame, id_col: str, text: str, k: int = K) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def set_hashes(offs: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    out = []
+    for x in W.BASES:
+        total = np.zeros(len(value) + 1, dtype=np.uint64)
+        np.cumsum(W.mix(value.view(np.uint64) ^ np.uint64(x)), out=total[1:])
+        out.append((total[offs[1:]] - total[offs[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def needed(n: Column, k: int, t: float) -> Column:
     """Values that a set of size n shares with any partner's sketch at least."""
     spread = F.sqrt(F.greatest(F.lit(0.0), k * t * (1 - t) * (1 - t * k / n)))
     return F.greatest(F.lit(1), F.floor(F.least(F.ceil(t * n), t * k - SIGMAS * spread))).cast("int")
 
 
-def prefixes(classes: DataFrame, k: int, t: float) -> DataFrame:
-    """(v, c): the values in which a class can meet a partner."""
+def _shared(classes: DataFrame) -> DataFrame:
+    """(v, c, n, df) of the retained values that several classes have."""
     postings = classes.select("c", "n", F.explode("sketch").alias("v"))
     often = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = (postings.join(often, "v").groupBy("c", "n")
-              .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x")))    # k at most
+    return postings.join(often, "v")
+
+
+def screened(classes: DataFrame, k: int, t: float) -> DataFrame:
+    """c of the classes that share enough values with others."""
+    counts = _shared(classes).groupBy("c", "n").agg(F.count(F.lit(1)).alias("m"))
+    return counts.where(F.col("m") >= needed(F.col("n"), k, t)).select("c")
+
+
+def prefixes(classes: DataFrame, k: int, t: float) -> DataFrame:
+    """(v, c, n, rest): the values in which a class can meet a partner, and
+    how many of its values come no earlier in the order."""
+    shared = _shared(classes).groupBy("c", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))    # k at most
     shared = shared.withColumn("m", F.size("x") - needed(F.col("n"), k, t) + 1).where("m > 0")
-    return shared.select("c", F.explode(F.slice("x", F.lit(1), F.col("m"))).alias("x")).select("x.v", "c")
+    placed = shared.select("c", "n", F.size("x").alias("of"),
+                           F.posexplode(F.slice("x", F.lit(1), F.col("m"))).alias("i", "x"))
+    return placed.select("x.v", "c", "n", (F.col("of") - F.col("i")).alias("rest"))
+
+
+def common(n: Column, m: Column, k: int, t: float) -> Column:
+    """Values that the sketches of two sets of sizes n and m with similarity
+    t share at least.  The sets share i >= t (n + m) / (1 + t); the sketches
+    share the smaller of two numbers, each hypergeometric (see ``needed``)."""
+    both = t / (1 + t) * (n + m)
+    bounds = []
+    for size in (n, m):
+        held = F.least(F.lit(k), size)
+        p = F.least(F.lit(1.0), both / size)
+        bounds.append(held * p - SIGMAS * F.sqrt(held * p * (1 - p) * (1 - held / size)))
+    return F.least(*bounds) - 1e-6
+
+
+def _lists(column: pa.Array, rows: int, width: int) -> np.ndarray:
+    """A column of short lists as rows of a matrix, padded with the largest integer."""
+    offs = np.asarray(column.offsets)
+    size = np.diff(offs)
+    out = np.full((rows, width), np.iinfo(np.int64).max)
+    out[np.arange(width) < size[:, None]] = np.asarray(column.values)[offs[0]:offs[-1]]
+    return out
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, t: float) -> DataFrame:
     """Pairs whose union sketch does not rule out similarity t: a, b, est and
-    whether est is the exact similarity."""
+    whether est is the exact similarity.
+
+    The k smallest values of the union come out of sorting both sketches as
+    one row; a value that stands twice is in both sets."""
+    at = round(t * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 512):
+                some = batch.slice(row, 512)
+                m = some.num_rows
+                n = [np.asarray(some.column(i)) for i in (2, 3)]
+                rows = np.concatenate([_lists(some.column(i), m, k) for i in (4, 5)], axis=1)
+                rows.sort(axis=1)
+                twice = np.zeros(rows.shape, dtype=bool)
+                twice[:, 1:] = rows[:, 1:] == rows[:, :-1]
+                here = rows != np.iinfo(np.int64).max
+                twice &= here
+                whole = (n[0] <= k) & (n[1] <= k)
+                rank = np.cumsum(here & ~twice, axis=1, dtype=np.int32)
+                inside = here & (whole[:, None] | (rank <= k))
+                both = (twice & inside).sum(axis=1)
+                size = (~twice & inside).sum(axis=1)
+                # A union with similarity t is at most 1 / t as large as the smaller set.
+                spread = np.sqrt(np.maximum(0, size * t * (1 - t) * (1 - t * size / np.minimum(*n))))
+                fits = np.where(whole, 100 * both >= at * size, both >= size * t - SIGMAS * spread - 1e-6)
+                keep = pa.array(fits)
+                yield pa.RecordBatch.from_arrays(
+                    [x.filter(keep) for x in (some.column(0), some.column(1), pa.array(both / size), pa.array(whole))],
+                    names=["a", "b", "est", "whole"])
+
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("c").alias(side), F.col("n").alias(f"n_{side}"),
                                           F.col("sketch").alias(f"s_{side}")), side)
-    union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
-    pairs = pairs.withColumn("whole", (F.col("n_a") <= k) & (F.col("n_b") <= k))
-    pairs = pairs.withColumn("u", F.when(F.col("whole"), F.array_union("s_a", "s_b")).otherwise(union))
-    both = F.size(F.array_intersect(F.col("u"), F.array_intersect("s_a", "s_b")))
-    size = F.size("u")
-    slack = F.when(F.col("whole"), 0.0).otherwise(SIGMAS * F.sqrt(size * t * (1 - t)))
-    # Sizes alone bound the similarity too.
-    fits = F.least("n_a", "n_b") * 100 >= F.lit(round(t * 100)) * F.greatest("n_a", "n_b")
-    return (pairs.withColumns({"both": both, "size": size})
-            .where(fits & (F.col("both") * 100 >= (F.col("size") * t - slack) * 100 - 1e-6))
-            .select("a", "b", (F.col("both") / F.col("size")).alias("est"), "whole",
-                    (F.col("both") * 100 >= F.col("size") * round(t * 100)).alias("enough")))
+    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(
+        run, "a bigint, b bigint, est double, whole boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
@@ -138,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(linked)) for c in batch.columns[:2]], names=["hi", "lo"])
 
-    sure = pairs.where("whole AND enough").select(F.col("a").alias("hi"), F.col("b").alias("lo"))
+    sure = pairs.where("whole").select(F.col("a").alias("hi"), F.col("b").alias("lo"))
     open_ = pairs.where("NOT whole").select("a", "b")
     for side in ("a", "b"):
         open_ = open_.join(texts.select(F.col("c").alias(side), F.col("text").alias(f"text_{side}")), side)
@@ -147,16 +212,28 @@ def verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
 
 
 def _with_root(df: DataFrame, stars: DataFrame | None, node: str, root: str) -> DataFrame:
-    if stars is None:
+    if stars is None:        # no class meets another
         return df.withColumn(root, F.col(node))
     s = stars.select(F.col("hi").alias("_n"), F.col("lo").alias("_root"))
     return (df.join(s, df[node] == s["_n"], "left")
             .withColumn(root, F.coalesce("_root", node)).drop("_n", "_root"))
 
 
-def link(classes: DataFrame, texts_of, k: int = K, t: float = 0.75) -> DataFrame | None:
+def _starts(lists: DataFrame) -> DataFrame:
+    """One pair (a, b) for each class that is not first in all its lists."""
+    first = lists.groupBy("v").agg(F.min_by("c", "rank").alias("h"))
+    named = lists.join(first, "v").where("c <> h").groupBy("c", "h").agg(F.count(F.lit(1)).alias("m"))
+    best = named.groupBy("c").agg(F.max(F.struct("m", "h")).alias("x"))
+    return best.select(F.greatest("c", "x.h").alias("a"), F.least("c", "x.h").alias("b")).distinct()
+
+
+def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float = 0.75) -> DataFrame | None:
     """Stars (hi, lo) over the classes; ``texts_of`` gives (c, text) for
     classes in a table with column c.  None where nothing meets."""
+    texts = saved(texts_of(screened(classes, k, t)), "met-texts")
+    classes = saved(sketches(texts, "c", "text", wide).select(F.col("doc").alias("c"), "n", "sketch"),
+                    "wide-sketches")
+    k = wide
     lists = saved(prefixes(classes, k, t), "prefixes")
     size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # A member's place in its lists: uniform in [0, 1), the same in all of them.
@@ -164,25 +241,30 @@ def link(classes: DataFrame, texts_of, k: int = K, t: float = 0.75) -> DataFrame
     lists = saved(lists.join(size, "v").withColumn("rank", place * F.col("df")), "lists")
     if lists.isEmpty():
         return None
-    met = lists.select("c").distinct()
-    texts = saved(texts_of(met), "met-texts")
-    classes = saved(classes.join(met, "c", "left_semi").select("c", "n", "sketch"), "met-sketches")
-    stars, low = None, 0.0
-    high = float(GROWTH)
+    classes = saved(classes.join(lists.select("c").distinct(), "c", "left_semi"), "met-sketches")
+
+    found = estimated(_starts(lists), classes, k, t)
+    stars = components(saved(verified(saved(found, "estimated"), texts, t), "links"))
+    low, high = 0.0, float(GROWTH)
     while True:
         rows = _with_root(lists.where(F.col("rank") >= low), stars, "c", "root")
         apart = rows.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
         rows = saved(rows.join(apart.select("v"), "v", "left_semi"), "open-lists")
         if rows.isEmpty():
             return stars
-        hubs = rows.where(F.col("rank") < high).select("v", F.col("c").alias("h"), F.col("root").alias("h_root"))
-        pairs = (rows.select("v", "c", "root").join(hubs, "v").where("root <> h_root")
-                 .select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct())
-        found = saved(estimated(pairs, classes, k, t).where("NOT whole OR enough"), "estimated")
+        hubs = rows.where(F.col("rank") < high).select("v", F.col("root").alias("h_root"), *[
+            F.col(x).alias(f"h_{x}") for x in ("c", "n", "rest")])
+        # If v is the first value that two classes share, they share no more
+        # than either has from there on; at a later value there is less still.
+        pairs = (rows.join(hubs, "v").where("root <> h_root")
+                 .where(F.least("rest", "h_rest") >= common(F.col("n"), F.col("h_n"), k, t))
+                 .select(F.greatest("c", "h_c").alias("a"), F.least("c", "h_c").alias("b")).distinct())
+        found = saved(estimated(pairs, classes, k, t), "estimated")
         # First the likeliest partner of each class; then what that leaves apart.
         best = found.groupBy("a").agg(F.max_by("b", "est").alias("b"))
         first = saved(verified(found.join(best, ["a", "b"], "left_semi"), texts, t), "links")
-        stars = components(first if stars is None else stars.unionAll(first))
+        if not first.isEmpty():
+            stars = components(stars.unionAll(first))
         rest = found.join(best, ["a", "b"], "left_anti")
         rest = _with_root(_with_root(rest, stars, "a", "ra"), stars, "b", "rb").where("ra <> rb")
         rest = saved(rest.select(found.columns), "left-apart")
@@ -192,7 +274,7 @@ def link(classes: DataFrame, texts_of, k: int = K, t: float = 0.75) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                    k: int = K, t: float = 0.75) -> DataFrame:
+                    k: int = K, wide: int = WIDE, t: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs.
 
     Defined results: null or wordless texts have no shingles and stay alone;
@@ -213,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         counted = near.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         return near.select("c", "text") if counted.isEmpty() else _own_texts(near)
 
-    stars = link(classes, texts_of, k, t)
+    stars = link(classes, texts_of, k, wide, t)
     known = classes.select("c", "s1", "s2", "n", "doc")
     known = _with_root(known, stars, "c", "root")
     least = known.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -234,10 +316,7 @@ def _own_texts(near: DataFrame) -> DataFrame:
             found = [np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3)]
             for part, offs, value in shingle_sets(batch.column(1)):
                 at = slice(part.row, part.row + part.rows)
-                for out, x in zip(found, W.BASES):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(
-                        W.mix(value.view(np.uint64) ^ np.uint64(x)), dtype=np.uint64)])
-                    out[at] = (total[offs[1:]] - total[offs[:-1]]).view(np.int64)
+                found[0][at], found[1][at] = set_hashes(offs, value)
                 found[2][at] = np.diff(offs)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)],
                                              names=["c", "text", "s1", "s2", "n", "h1", "h2", "m"])
