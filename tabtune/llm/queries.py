@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import mixing, neardup, packing, quality, sharding
+from tabtune.llm import mixing, neardup, packing, quality, sharding, substrings
 
 
 def _docs(spark, sf):
@@ -21,6 +21,10 @@ def op9_length_buckets(spark, sf):
     return packing.query(_docs(spark, sf))
 
 
+def op3_relative_lempel_ziv(spark, sf):
+    return substrings.query(_docs(spark, sf))
+
+
 def op5_bottom_k_near_duplicates(spark, sf):
     return neardup.query(_docs(spark, sf))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op1_host_quality_rules": op1_host_quality_rules,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op9_length_buckets": op9_length_buckets,
+    "op3_relative_lempel_ziv": op3_relative_lempel_ziv,
     "op5_bottom_k_near_duplicates": op5_bottom_k_near_duplicates,
     "op8_feistel_shards": op8_feistel_shards,
 }
@@ -40,5 +45,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_host_quality_rules": quality.ORACLE,
     "op2_hierarchical_mixing": mixing.oracle(),
+    "op3_relative_lempel_ziv": substrings.ORACLE,
     "op5_bottom_k_near_duplicates": neardup.ORACLE,
 }
