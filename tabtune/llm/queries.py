@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import mixing, neardup, packing, quality, sharding, substrings
+from tabtune.llm import mixing, neardup, packing, quality, sharding, substrings, topk, warc
 
 
 def _docs(spark, sf):
@@ -25,6 +25,14 @@ def op3_relative_lempel_ziv(spark, sf):
     return substrings.query(_docs(spark, sf))
 
 
+def op4_sharded_warc(spark, sf):
+    return warc.query(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op7_term_at_a_time_top_k(spark, sf):
+    return topk.query(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op5_bottom_k_near_duplicates(spark, sf):
     return neardup.query(_docs(spark, sf))
 
@@ -38,6 +46,8 @@ QUERIES = {
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
     "op9_length_buckets": op9_length_buckets,
     "op3_relative_lempel_ziv": op3_relative_lempel_ziv,
+    "op4_sharded_warc": op4_sharded_warc,
+    "op7_term_at_a_time_top_k": op7_term_at_a_time_top_k,
     "op5_bottom_k_near_duplicates": op5_bottom_k_near_duplicates,
     "op8_feistel_shards": op8_feistel_shards,
 }
@@ -45,6 +55,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_host_quality_rules": quality.ORACLE,
     "op2_hierarchical_mixing": mixing.oracle(),
+    "op4_sharded_warc": warc.ORACLE,
+    "op7_term_at_a_time_top_k": topk.ORACLE,
     "op3_relative_lempel_ziv": substrings.ORACLE,
     "op5_bottom_k_near_duplicates": neardup.ORACLE,
 }
