@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import mixing, neardup, packing, quality, sharding, substrings, topk, warc
+from tabtune.llm import classifier, mixing, neardup, packing, pii, quality, sharding, substrings, topk, warc
 
 
 def _docs(spark, sf):
@@ -29,6 +29,14 @@ def op4_sharded_warc(spark, sf):
     return warc.query(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op6_subword_quality(spark, sf):
+    return classifier.query(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def op10_bilstm_crf_pii(spark, sf):
+    return pii.query(_docs(spark, sf))
+
+
 def op7_term_at_a_time_top_k(spark, sf):
     return topk.query(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
@@ -48,6 +56,8 @@ QUERIES = {
     "op3_relative_lempel_ziv": op3_relative_lempel_ziv,
     "op4_sharded_warc": op4_sharded_warc,
     "op7_term_at_a_time_top_k": op7_term_at_a_time_top_k,
+    "op6_subword_quality": op6_subword_quality,
+    "op10_bilstm_crf_pii": op10_bilstm_crf_pii,
     "op5_bottom_k_near_duplicates": op5_bottom_k_near_duplicates,
     "op8_feistel_shards": op8_feistel_shards,
 }
