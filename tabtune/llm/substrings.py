@@ -128,6 +128,7 @@ def matches(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
     index = saved(_index(rows, span, anchor), "runs")
     blocks = index.groupBy("a").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"),
                                     (F.min("c") != F.max("c")).alias("differ")).where("d0 < d1")
+    blocks = saved(blocks, "blocks")     # a plain side, so that hot anchors can be split in the join
     met = saved(index.join(blocks.select("a", "d0", "differ"), "a"), "met-runs")
     alike = met.where("NOT differ AND doc > d0").select(
         "doc", "rid", F.sequence("p", "q").alias("at"),
