@@ -19,7 +19,7 @@ many documents quote come last and drop out.
 Why hot lists are no trouble.  A list of many near-copies is not expanded
 into pairs.  First every class meets one partner: of the members that come first
 (by a hash) in its lists, the one that most of its lists name.  Then, in round
-r, about 8^r members of a list are its hubs; every other member is compared
+r, about 32^r members of a list are its hubs; every other member is compared
 with the hubs unless a known link already joins the two.  After each round, lists whose members are
 all joined are done; hubs leave the list, as all their pairs are decided.
 The last round has every member left as a hub, so nothing is skipped; the
@@ -41,7 +41,7 @@ from tabtune.llm.frames import saved
 
 SHINGLE, K, WIDE = 5, 64, 256
 SIGMAS = 6.0
-GROWTH = 8
+GROWTH = 32
 #: Rows whose sets are held together when pairs are verified.
 VERIFY_ROWS = 64
 
@@ -114,14 +114,14 @@ def screened(classes: DataFrame, k: int, t: float) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, k: int, t: float) -> DataFrame:
-    """(v, c, n, rest): the values in which a class can meet a partner, and
-    how many of its values come no earlier in the order."""
+    """(v, often, c, n, rest): the values in which a class can meet a partner,
+    and how many of its values come no earlier in the order."""
     shared = _shared(classes).groupBy("c", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))    # k at most
     shared = shared.withColumn("m", F.size("x") - needed(F.col("n"), k, t) + 1).where("m > 0")
     placed = shared.select("c", "n", F.size("x").alias("of"),
                            F.posexplode(F.slice("x", F.lit(1), F.col("m"))).alias("i", "x"))
-    return placed.select("x.v", "c", "n", (F.col("of") - F.col("i")).alias("rest"))
+    return placed.select("x.v", F.col("x.df").alias("often"), "c", "n", (F.col("of") - F.col("i")).alias("rest"))
 
 
 def common(n: Column, m: Column, k: int, t: float) -> Column:
@@ -235,10 +235,16 @@ def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float =
                     "wide-sketches")
     k = wide
     lists = saved(prefixes(classes, k, t), "prefixes")
-    size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Lists of the same members give the same pairs: the first in the order of
+    # values, where all of them have the most values left, stands for the rest.
+    member = F.xxhash64("c")
+    alike = lists.groupBy("v").agg(
+        F.min("often").alias("often"), F.count(F.lit(1)).alias("df"), F.bit_xor(member).alias("x"),
+        F.sum(F.shiftrightunsigned(member, 24)).alias("y")).where("df > 1")
+    size = alike.groupBy("df", "x", "y").agg(F.min(F.struct("often", "v")).alias("z")).select("z.v", "df")
     # A member's place in its lists: uniform in [0, 1), the same in all of them.
-    place = F.xxhash64("c").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    lists = saved(lists.join(size, "v").withColumn("rank", place * F.col("df")), "lists")
+    place = member.bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
+    lists = saved(lists.join(saved(size, "sizes"), "v").withColumn("rank", place * F.col("df")), "lists")
     if lists.isEmpty():
         return None
     classes = saved(classes.join(lists.select("c").distinct(), "c", "left_semi"), "met-sketches")
@@ -260,16 +266,9 @@ def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float =
                  .where(F.least("rest", "h_rest") >= common(F.col("n"), F.col("h_n"), k, t))
                  .select(F.greatest("c", "h_c").alias("a"), F.least("c", "h_c").alias("b")).distinct())
         found = saved(estimated(pairs, classes, k, t), "estimated")
-        # First the likeliest partner of each class; then what that leaves apart.
-        best = found.groupBy("a").agg(F.max_by("b", "est").alias("b"))
-        first = saved(verified(found.join(best, ["a", "b"], "left_semi"), texts, t), "links")
-        if not first.isEmpty():
-            stars = components(stars.unionAll(first))
-        rest = found.join(best, ["a", "b"], "left_anti")
-        rest = _with_root(_with_root(rest, stars, "a", "ra"), stars, "b", "rb").where("ra <> rb")
-        rest = saved(rest.select(found.columns), "left-apart")
-        if not rest.isEmpty():
-            stars = components(stars.unionAll(saved(verified(rest, texts, t), "links")))
+        links = saved(verified(found, texts, t), "links")
+        if not links.isEmpty():
+            stars = components(stars.unionAll(links))
         low, high = high, high * GROWTH
 
 
