@@ -9,6 +9,7 @@ something that could come out differently.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     where that is unset (tests on one machine) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        where = spark._jvm.org.apache.hadoop.fs.Path(named)
+        uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        return re.sub(r"^file:/+", "file:///", uri).rstrip("/")
     if "dir" not in _local:
         _local["dir"] = "file://" + tempfile.mkdtemp(prefix="tabtune-shared-")
     return _local["dir"]
