@@ -318,6 +318,12 @@ def _embeddings(spark, sf):
     return _t(spark, sf, "embeddings")
 
 
+def _dims(emb):
+    """All components of the vectors as columns d0, d1, ..."""
+    n = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return [F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}") for i in range(n)]
+
+
 def q_fit_forest_regressor(spark, sf):
     li = _t(spark, sf, "lineitem").select(*LI_REG)
     prep, st = P.transform(li, "regression", "l_extendedprice", key=["l_orderkey", "l_linenumber"])
@@ -356,8 +362,7 @@ def q_search_classification(spark, sf):
 
 def _emb_search(spark, sf):
     emb = _embeddings(spark, sf)
-    prep, st = P.transform(emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}")
-                                                  for i in range(64)]), "clustering", key="vec_id")
+    prep, st = P.transform(emb.select("vec_id", *_dims(emb)), "clustering", key="vec_id")
     return prep, st
 
 
@@ -384,9 +389,8 @@ def q_tree_importance(spark, sf):
 
 def q_permutation_importance(spark, sf):
     emb = _embeddings(spark, sf)
-    feats = [f"d{i}" for i in range(64)]
-    wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f)
-                                           for i, f in enumerate(feats)])
+    wide = emb.select("vec_id", "label", *_dims(emb))
+    feats = wide.columns[2:]
     return I.rank_importance(I.permutation_importance(wide, feats, "label", key="vec_id"))
 
 

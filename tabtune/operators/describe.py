@@ -7,6 +7,7 @@ single aggregation over all numeric columns.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -17,34 +18,28 @@ from tabtune.operators.clean import column_quartiles
 from tabtune.operators.ranks import column_value_ranks, linear_quantiles, small_result
 from tabtune.operators.split import hash_unit
 
-MAX_PAIR_AGGS = 20000  # corr aggregates in one scan before switching to Spark ML
+PAIR_BLOCK = 2000  # correlations computed in one scan
+#: Most bins that the automatic rule gives a column; a far outlier would
+#: otherwise stretch the range to any number of empty bins.
+MAX_BINS = 100_000
 
 
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """Long Pearson matrix (col_a, col_b, r) over every ordered pair,
-    diagonal included; nulls are skipped pairwise."""
+    diagonal included; nulls are skipped pairwise, at every width.  Pairs are
+    computed in blocks, one scan and one small row each."""
     cols = cols or numeric_columns(df)
-    spark = df.sparkSession
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    if len(pairs) <= MAX_PAIR_AGGS:
-        x = {c: F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")) for c in cols}
-        row = df.agg(*[F.corr(x[cols[i]], x[cols[j]]).alias(f"_c{i}_{j}") for i, j in pairs])
-        entries = []
-        for i, j in pairs:
-            entries.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                                    F.col(f"_c{i}_{j}").alias("r")))
-            if i != j:
-                entries.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"),
-                                        F.col(f"_c{i}_{j}").alias("r")))
-        return row.select(F.explode(F.array(*entries)).alias("s")).select("s.*")
-    # very wide tables: tree-aggregated covariance over a vector column (null rows dropped)
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]))
-    mat = Correlation.corr(vec, "_v").first()[0].toArray()
-    rows = [(a, b, float(mat[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return spark.createDataFrame(rows, "col_a string, col_b string, r double")
+    x = {c: F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")) for c in cols}
+    parts = []
+    for at in range(0, len(pairs), PAIR_BLOCK):
+        some = pairs[at:at + PAIR_BLOCK]
+        row = df.agg(*[F.corr(x[cols[i]], x[cols[j]]).alias(f"_c{i}_{j}") for i, j in some])
+        entries = [F.struct(F.lit(cols[a]).alias("col_a"), F.lit(cols[b]).alias("col_b"),
+                            F.col(f"_c{i}_{j}").alias("r"))
+                   for i, j in some for a, b in dict.fromkeys([(i, j), (j, i)])]
+        parts.append(row.select(F.explode(F.array(*entries)).alias("s")).select("s.*"))
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 def _bounds(df, cols, k):
@@ -104,7 +99,7 @@ def histogram_params(df: DataFrame, cols=None, bins="auto") -> DataFrame:
             sturges = (hi - lo) / (math.log2(n) + 1.0)
             fd = 2.0 * iqr * n ** (-1.0 / 3.0)
             width = min(fd, sturges) if fd else sturges
-            nb = max(1, int(math.ceil((hi - lo) / width))) if width > 0 else 1
+            nb = max(1, min(MAX_BINS, math.ceil((hi - lo) / width))) if width > 0 else 1
         else:
             nb = int(bins)
         rows.append((c, n, lo, hi, nb))

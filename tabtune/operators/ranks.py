@@ -35,7 +35,10 @@ from pyspark.sql import types as T
 
 from pyspark import StorageLevel
 
-from tabtune.session import shuffle_partitions
+
+
+#: Largest table of offsets that is sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def _local_starts(batches):
@@ -60,11 +63,10 @@ def value_ranks(counts: DataFrame, group: str, value: str,
 
     ``value`` may be any orderable type (numbers, strings, hashes).
     """
-    spark = counts.sparkSession
-    parts = partitions or shuffle_partitions(spark)
     base = counts.select(F.col(group).alias("grp"), F.col(value).alias("val"),
                          F.col("cnt").cast("long").alias("cnt"))
-    ranged = (base.repartitionByRange(parts, "grp", "val")
+    parts = [partitions] if partitions else []     # else Spark decides
+    ranged = (base.repartitionByRange(*parts, "grp", "val")
               .sortWithinPartitions("grp", "val")
               .withColumn("pid", F.spark_partition_id())
               .persist(StorageLevel.MEMORY_AND_DISK_DESER))
@@ -80,13 +82,17 @@ def value_ranks(counts: DataFrame, group: str, value: str,
 
     schema = T.StructType(ranged.schema.fields + [T.StructField("local_start", T.LongType())])
     local = ranged.mapInPandas(_local_starts, schema)
-    # offsets has at most (#partitions x #groups) rows: a proven size bound
-    out = (local.join(F.broadcast(offsets), ["grp", "pid"])
+    # A row for each group and partition: broadcast only if their bytes are few.
+    offsets = offsets.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    size = offsets.agg(F.sum(F.coalesce(F.octet_length(F.col("grp").cast("string")), F.lit(0)) + 40)).first()[0]
+    near = F.broadcast(offsets) if (size or 0) <= BROADCAST_BYTES else offsets
+    out = (local.join(near, ["grp", "pid"])
            .select(F.col("grp").alias(group), F.col("val").alias(value), "cnt",
                    (F.col("part_start") + F.col("local_start")).alias("start"), "n"))
     out = out.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     out.count()  # materialise while the partitioning is cached
     ranged.unpersist()
+    offsets.unpersist()
     return out
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
@@ -44,10 +44,12 @@ def hash_unit(df: DataFrame, key, seed: int = 42) -> "F.Column":
 
 
 def order_text(df: DataFrame, key, seed: int = 42) -> "F.Column":
-    """Sort key for exact splits: 15 hex digits of the hash, then the key."""
+    """Sort key for exact splits: 15 hex digits of the hash, then the key,
+    then a digest of the whole row: only equal rows tie."""
     kt = key_text(df, key)
     h = F.md5(F.concat_ws(":", kt, F.lit(str(seed))))
-    return F.concat_ws("|", F.substring(h, 1, 15), kt)
+    row = F.md5(F.to_json(F.struct(*[F.col(q(c)) for c in df.columns]), {"ignoreNullFields": "false"}))
+    return F.concat_ws("|", F.substring(h, 1, 15), kt, row)
 
 
 def train_test_split(df: DataFrame, key=None, test_fraction: float = 0.2, seed: int = 42,
@@ -80,14 +82,23 @@ def _exact_split(df, key, label, test_fraction, seed):
     target = F.ceil(F.lit(float(test_fraction)) * F.col("n")) - 1
     thr = (ranked.where((target >= 0) & (F.col("start") <= target)
                         & (target < F.col("start") + F.col("cnt")))
-           .select("_grp", F.col("_ord").alias("_thr")))
+           .select("_grp", F.col("_ord").alias("_thr"), "cnt",
+                   (target + 1 - F.col("start")).alias("_need")))
     thr = thr.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     n_thr = thr.count()
     ranked.unpersist()
     if n_thr <= 1_000_000:  # one row per class: checked before broadcasting
         thr = F.broadcast(thr)
-    out = (ordered.join(thr, "_grp", "left")
-           .withColumn("split", F.when(F.col("_thr").isNotNull() & (F.col("_ord") <= F.col("_thr")),
-                                       "test").otherwise("train"))
-           .drop("_grp", "_ord", "_thr"))
-    return out
+    tied = not thr.where("cnt > _need").isEmpty()
+    out = ordered.join(thr, "_grp", "left")
+    if not tied:
+        below = F.col("_thr").isNotNull() & (F.col("_ord") <= F.col("_thr"))
+    else:  # of the equal rows at a threshold, as many as are needed
+        at = F.coalesce(F.col("_ord") == F.col("_thr"), F.lit(False))
+        edge = out.where(at).withColumn("_pos", F.row_number().over(
+            Window.partitionBy("_grp").orderBy("_ord")))
+        out = out.where(~at).withColumn("_pos", F.lit(0)).unionByName(edge)
+        below = F.col("_thr").isNotNull() & (
+            (F.col("_ord") < F.col("_thr")) | (at & (F.col("_pos") <= F.col("_need"))))
+    out = out.withColumn("split", F.when(below, "test").otherwise("train"))
+    return out.drop("_grp", "_ord", "_thr", "_pos", "_need", "cnt")

@@ -6,10 +6,11 @@ Forest candidates of one generation are fitted concurrently (a driver
 thread pool submits Spark ML jobs; the FAIR scheduler interleaves them on
 the executors).  The
 silhouette of the whole generation is computed in *one* job that shares
-the pairwise distance blocks between candidates.  K-Means candidates (and
-their restarts) are fitted together by ``kmeans_batch``: one Spark job per
-Lloyd iteration for the whole generation.  Candidates that decode to
-the same Spark ML parameters are scored once (memo).
+the pairwise distance blocks between candidates.  K-Means candidates are
+Spark ML fits (seeded from all rows) that run concurrently like the forests.
+Within one strategy, candidates that decode to the same Spark ML parameters
+are scored once (memo), so the strategies' times compare.  A fitness that is
+not a number counts as missing: it never wins and is null in the history.
 
 The objective follows the reference: test MSE (regression), macro F1 on
 the test rows (classification, even for two classes), silhouette over all
@@ -19,6 +20,7 @@ rows (clustering); scored on the same test rows as the final report.
 from __future__ import annotations
 
 import json
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
 from tabtune.operators import cluster_metrics as CM
-from tabtune.operators import kmeans_batch as KB
 from tabtune.operators import metrics as K
 from tabtune.operators import models as M
 from tabtune.plans.prepare import MODEL_OF_TASK, REFERENCE_METRIC
@@ -84,6 +85,8 @@ class Scorer:
     n_fits: int = 0
 
     def __post_init__(self):
+        if self.task == "clustering" and not self.key:
+            raise ValueError("a clustering search needs `key`: the column that identifies a row")
         self.parallelism = _fit_parallelism(self.prepared.sparkSession, self.parallelism)
         self.model_name = MODEL_OF_TASK[self.task]
         self.space = space_for(self.model_name, self.wide)
@@ -91,13 +94,8 @@ class Scorer:
                 + ([self.label] if self.label else []) + (
                     ["split"] if "split" in self.prepared.columns else [])]
         base = self.prepared.select(*[F.col(q(c)) for c in dict.fromkeys(cols)])
-        # fits iterate over the cached rows many times: give every core a
-        # partition (hash on the key keeps the layout, and so the seeded
-        # bootstrap samples, deterministic)
-        spark = self.prepared.sparkSession
-        par = spark.sparkContext.defaultParallelism
-        if base.rdd.getNumPartitions() < par:
-            base = base.repartition(par, F.col(q(self.key))) if self.key else base.repartition(par)
+        # laid out once for all fits (see models.spread)
+        base = M.spread(base, self.key)
         if self.task in ("regression", "classification"):
             self.train = base.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
             self.test = base.where(F.col("split") == "test").persist(StorageLevel.MEMORY_AND_DISK)
@@ -127,10 +125,11 @@ class Scorer:
     def fit(self, p):
         self.n_fits += 1
         if self.task == "regression":
-            return M.fit_forest_regressor(self.train, self.features, self.label, p)
+            return M.fit_forest_regressor(self.train, self.features, self.label, p, placed=True)
         if self.task == "classification":
-            return M.fit_forest_classifier(self.train, self.features, self.label, p)
-        return KB.fit_kmeans_batch(self.data, self.features, [p], key=self.key)[0]
+            return M.fit_forest_classifier(self.train, self.features, self.label, p, placed=True)
+        return M.fit_kmeans(self.data, self.features, int(p["n_clusters"]), int(p["max_iter"]),
+                            p.get("n_init"))
 
     def _in_pool(self, fn, args):
         """Run ``fn`` in its own FAIR scheduler pool, so that concurrent
@@ -162,18 +161,18 @@ class Scorer:
             if self.task == "clustering":
                 self._score_clustering(todo)
             else:
-                with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-                    results = list(pool.map(lambda a: self._in_pool(self._score_supervised, a),
-                                            enumerate(todo.values())))
-                self.memo.update(dict(zip(todo.keys(), results)))
+                self.memo.update(zip(todo, self._concurrently(self._score_supervised, todo)))
         return [self.memo[k] for k in keys]
 
+    def _concurrently(self, fn, todo: dict) -> list:
+        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+            return list(pool.map(lambda a: self._in_pool(fn, a), enumerate(todo.values())))
+
     def _score_clustering(self, todo: dict):
-        # one job per Lloyd iteration for every candidate and restart, then
-        # one labelling pass and one silhouette job for the whole generation
-        self.n_fits += len(todo)
-        models = KB.fit_kmeans_batch(self.data, self.features, list(todo.values()), key=self.key)
-        labelled, names = KB.label_many(self.data, self.features, models)
+        # concurrent fits, then one labelling pass and one silhouette job for
+        # the whole generation
+        models = self._concurrently(self.fit, todo)
+        labelled, names = M.label_many(models, self.data)
         sil = CM.silhouette_many(labelled, self.features, self.key, names,
                                  sample=self.silhouette_sample)
         got = {r["cand"]: r["silhouette"] for r in sil.collect()}  # one row per candidate
@@ -186,7 +185,8 @@ class Scorer:
         names = _metric_names(self.task)
         if self.task == "clustering":
             lab = M.predict(model, self.data, "Cluster")
-            row = CM.clustering_report(lab, self.features, "Cluster", self.key).first()
+            row = CM.clustering_report(lab, self.features, "Cluster", self.key,
+                                       sample=self.silhouette_sample).first()
         else:
             pred = M.predict(model, self.test, "prediction")
             if self.task == "regression":
@@ -206,21 +206,23 @@ def run_search(scorer: Scorer, strategy="ga", epochs: int = 10, pop_size: int =
     rng = strat.rng(dim)
     history = []
     gen_counter = {"g": 0}
+    best = {"u": None, "f": math.inf}   # over all evaluations, not the last population
 
     def evaluate(units):
-        fit = scorer.score(units)
+        fit = [float(f) for f in scorer.score(units)]
         for a, (u, f) in enumerate(zip(units, fit)):
-            history.append((strat.name, gen_counter["g"], a, float(f),
+            history.append((strat.name, gen_counter["g"], a, f if f == f else None,
                             json.dumps(scorer.params_of(u), default=str)))
-        return [sign * f if f == f else float("inf") for f in fit]
+            if best["u"] is None or (f == f and sign * f < best["f"]):
+                best.update(u=np.array(u, copy=True), f=sign * f if f == f else math.inf)
+        return [sign * f if f == f else math.inf for f in fit]
 
     pop = strat.init(rng, dim, evaluate)
     for g in range(1, epochs + 1):
         gen_counter["g"] = g
         pop = strat.step(rng, pop, g, evaluate)
-    best = int(np.argmin(pop.f))
-    best_u = pop.x[best]
-    return scorer.params_of(best_u), sign * float(pop.f[best]), history
+    fitness = sign * best["f"] if best["f"] < math.inf else None
+    return scorer.params_of(best["u"]), fitness, history
 
 
 def compare_strategies(prepared: DataFrame, task: str, features, label: str | None = None,
@@ -238,6 +240,7 @@ def compare_strategies(prepared: DataFrame, task: str, features, label: str | No
     names = list(_metric_names(task).values())
     try:
         for spec in strategies:
+            scorer.memo.clear()
             t0 = time.perf_counter()
             params, fitness, h = run_search(scorer, spec, epochs, pop_size, seed)
             elapsed = time.perf_counter() - t0
@@ -260,7 +263,7 @@ def compare_strategies(prepared: DataFrame, task: str, features, label: str | No
 def best_model(leaderboard: DataFrame, task: str) -> DataFrame:
     """The row with the best reference metric (ties: strategy name)."""
     metric = REFERENCE_METRIC[task]
-    col = F.col(q(metric))
+    col = F.nanvl(F.col(q(metric)).cast("double"), F.lit(None).cast("double"))
     order = col.asc_nulls_last() if K.metric_direction_of(metric) == "min" else col.desc_nulls_last()
     return leaderboard.orderBy(order, F.col(q(LEADER_NAME))).limit(1)
 
@@ -269,7 +272,8 @@ def search_history(history: DataFrame, task: str) -> DataFrame:
     """Best fitness per (strategy, generation) and the running best."""
     direction = K.metric_direction_of(REFERENCE_METRIC[task])
     agg = F.min if direction == "min" else F.max
-    per_gen = history.groupBy("strategy", "generation").agg(agg("fitness").alias("gen_best"))
+    fitness = F.nanvl(F.col("fitness").cast("double"), F.lit(None).cast("double"))
+    per_gen = history.groupBy("strategy", "generation").agg(agg(fitness).alias("gen_best"))
     w = (Window.partitionBy("strategy").orderBy("generation")
          .rowsBetween(Window.unboundedPreceding, 0))
     return per_gen.withColumn("best_so_far", agg("gen_best").over(w))

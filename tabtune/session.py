@@ -2,7 +2,7 @@
 
 On a cluster the checkpoint folder is named by the cluster in
 ``spark.checkpoint.dir`` (a shared, fault-tolerant file system).  We only
-invent one when it is unset, which is the case for local tests.
+invent one in local mode, where it is unset in tests.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, app: str = "tabtune",
@@ -18,10 +18,10 @@ def get_session(master: str | None = None, app: str = "tabtune",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
+    if shuffle_partitions:  # else what the cluster sets, or Spark's default
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -39,26 +39,22 @@ def get_session(master: str | None = None, app: str = "tabtune",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, creating a local one only if
-    the session names none (tests / single machine)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the reliable checkpoint folder.  If the session names none, a
+    temporary one in local mode; on a cluster checkpointing stays off, as
+    executors cannot share a folder of the driver's machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            return None
         configured = tempfile.mkdtemp(prefix="tabtune-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage, survives executor loss and makes
-    partition contents stable (needed after range partitioning)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

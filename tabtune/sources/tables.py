@@ -20,6 +20,10 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "nan", "null"]
 
 
+#: Java's casts also take suffixes (1d, 2f) that are text in a CSV file.
+NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "csv",
                schema: T.StructType | str | None = None, na_tokens=None,
                nan_as_null: bool | None = None) -> DataFrame:
@@ -36,14 +40,20 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
         df = reader.parquet(path) if fmt == "parquet" else reader.format(fmt).load(path)
         return nan_to_null(df) if nan_as_null else df
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
-    reader = spark.read.option("header", True).option("mode", "FAILFAST")
-    if schema is not None:
-        raw = reader.schema(schema).csv(path)
-        return nan_to_null(raw)
-    # Read as text first so NA tokens become null before type inference.
+    # Quoted fields may hold line breaks and doubled quotes.
+    reader = (spark.read.option("header", True).option("mode", "FAILFAST")
+              .option("multiLine", True).option("escape", '"'))
+    # Read as text first so NA tokens become null before types are applied.
     text = reader.option("inferSchema", False).csv(path)
     cleaned = text.select(*[F.when(F.trim(F.col(q(c))).isin(tokens), F.lit(None))
                             .otherwise(F.col(q(c))).alias(c) for c in text.columns])
+    if schema is not None:
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        if len(fields) != len(text.columns):
+            raise ValueError(f"{path}: {len(text.columns)} columns, the schema has {len(fields)}")
+        return nan_to_null(cleaned.select(*[
+            (F.col(q(c)) if isinstance(f.dataType, T.StringType) else F.trim(F.col(q(c))).cast(f.dataType))
+            .alias(f.name) for c, f in zip(cleaned.columns, fields)]))
     inferred = _infer_types(cleaned)
     return nan_to_null(inferred)
 
@@ -57,7 +67,8 @@ def _infer_types(df: DataFrame) -> DataFrame:
         checks += [
             F.min(F.when(x.isNull(), True).otherwise(x.try_cast("int").isNotNull())).alias(f"i{i}"),
             F.min(F.when(x.isNull(), True).otherwise(x.try_cast("bigint").isNotNull())).alias(f"l{i}"),
-            F.min(F.when(x.isNull(), True).otherwise(x.try_cast("double").isNotNull())).alias(f"d{i}"),
+            F.min(F.when(x.isNull(), True).otherwise(x.rlike(NUMBER) & x.try_cast("double").isNotNull()))
+            .alias(f"d{i}"),
             F.min(F.when(x.isNull(), True).otherwise(F.lower(x).isin("true", "false"))).alias(f"b{i}"),
             F.count(x).alias(f"n{i}")]
     flags = df.agg(*checks).first()  # 5 numbers per column

@@ -119,3 +119,29 @@ def test_eda_report_and_flag_union(spark):
     manual = ev.where((F.col("value") < b["lower"]) | (F.col("value") > b["upper"])).count()
     assert b["n_outliers"] == manual
     assert b["n_rows_flagged"] == ev.count() - C.drop_outliers(ev).count()
+
+
+def test_correlation_is_pairwise_at_every_width(spark, monkeypatch):
+    from tabtune.operators import describe as D
+    rows = [(float(i % 7), float(i * i % 11), None if i % 2 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, h double")
+    want = {(r.col_a, r.col_b): r.r for r in D.correlation_matrix(df).collect()}
+    monkeypatch.setattr(D, "PAIR_BLOCK", 2)
+    got = {(r.col_a, r.col_b): r.r for r in D.correlation_matrix(df).collect()}
+    assert got == want and len(got) == 9
+
+
+def test_histogram_with_a_far_outlier(spark):
+    from tabtune.operators import describe as D
+    df = spark.createDataFrame([(float(i),) for i in range(1000)] + [(1e15,)], "x double")
+    out = D.histograms(df)
+    assert out.count() == D.MAX_BINS and out.agg({"count": "sum"}).first()[0] == 1001
+
+
+def test_davies_bouldin_in_blocks(spark, monkeypatch):
+    from tabtune.operators import cluster_metrics as CM
+    rows = [(float(i % 5), float(i % 3), i % 6) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, l int")
+    want = CM.davies_bouldin(df, ["x", "y"], "l").first()[0]
+    monkeypatch.setattr(CM, "CLUSTER_BLOCK", 2)
+    assert abs(CM.davies_bouldin(df, ["x", "y"], "l").first()[0] - want) < 1e-9

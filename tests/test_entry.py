@@ -17,7 +17,7 @@ def test_entry_runs(spark):
 def test_every_query_has_twin_or_is_model_based():
     qs, sqls = SE.queries(), SE.oracle_sql()
     assert set(sqls) <= set(qs)
-    rows_only = set(qs) - set(sqls)
+    rows_only = set(SE.QUERIES) - set(sqls)
     assert rows_only <= {"fit_forest_regressor", "fit_forest_classifier", "fit_kmeans",
                          "search_classification", "search_clustering", "search_history",
                          "tree_importance", "permutation_importance"}

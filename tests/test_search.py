@@ -11,23 +11,53 @@ def sphere(units):
     return [float(((np.asarray(u) - 0.3) ** 2).sum()) for u in units]
 
 
+class Stub:
+    """A scorer that remembers every fitness it has given."""
+    task, space = "regression", [None] * 4
+
+    def __init__(self, nan_every=0):
+        self.seen, self.nan_every = [], nan_every
+
+    def params_of(self, u):
+        return {"u": [float(x) for x in u]}
+
+    def score(self, units):
+        out = sphere(units)
+        if self.nan_every:
+            out = [float("nan") if (len(self.seen) + i) % self.nan_every == 0 else f for i, f in enumerate(out)]
+        self.seen += out
+        return out
+
+
 @pytest.mark.parametrize("name", ["aco", "ga", "pso", "sa"])
-def test_strategies_deterministic_and_improving(name):
-    def run():
-        s = ST.make_strategy(name, 6, 42)
-        rng = s.rng(4)
-        pop = s.init(rng, 4, sphere)
-        first = pop.f.min()
-        best = [first]
-        for g in range(1, 6):
-            pop = s.step(rng, pop, g, sphere)
-            best.append(min(best[-1], pop.f.min()))
-        return best, pop.x.copy()
-    b1, x1 = run()
-    b2, x2 = run()
-    assert b1 == b2 and np.array_equal(x1, x2)
-    assert b1[-1] <= b1[0]
-    assert all(a >= b for a, b in zip(b1, b1[1:]))
+def test_search_returns_the_best_of_all_evaluations(name):
+    for seed in range(50):
+        stub = Stub()
+        params, fitness, history = G.run_search(stub, name, 10, 10, seed)
+        assert fitness == min(stub.seen)
+        assert sphere([params["u"]]) == [fitness]
+    again = G.run_search(Stub(), name, 10, 10, 49)
+    assert again == (params, fitness, history)
+
+
+def test_missing_fitness_never_wins(spark):
+    stub = Stub(nan_every=3)
+    _, fitness, history = G.run_search(stub, "ga", 3, 5, 1)
+    assert fitness == min(f for f in stub.seen if f == f)
+    assert any(h[3] is None for h in history) and all(h[3] is None or h[3] == h[3] for h in history)
+    hist = spark.createDataFrame([("A", 0, 0, float("nan")), ("A", 0, 1, 0.2), ("A", 1, 0, float("nan"))],
+                                 "strategy string, generation int, agent int, fitness double")
+    rows = G.search_history(hist, "classification").orderBy("generation").collect()
+    assert [(r.gen_best, r.best_so_far) for r in rows] == [(0.2, 0.2), (None, 0.2)]
+    board = spark.createDataFrame([("A", float("nan")), ("B", 0.5)],
+                                  f"`{G.LEADER_NAME}` string, `{G.REFERENCE_METRIC['clustering']}` double")
+    assert G.best_model(board, "clustering").first()[0] == "B"
+
+
+def test_clustering_search_needs_a_key(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    with pytest.raises(ValueError, match="key"):
+        G.compare_strategies(df, "clustering", ["a", "b"])
 
 
 def test_decode_domains():
@@ -67,7 +97,9 @@ def test_forest_param_mapping():
         forest_params({"criterion": "poisson"}, 4, "regression")
 
 
-def test_clustering_search_leaderboard(spark):
+def test_clustering_search_leaderboard(spark, tmp_path):
+    from tabtune.operators import models as M
+    from tabtune.sources.models import load_model, save_model
     from pyspark.sql import functions as F
     from tabtune.plans import prepare as P
     emb = table(spark, "embeddings")
@@ -77,6 +109,10 @@ def test_clustering_search_leaderboard(spark):
                                                strategies=("ga", "sa"), epochs=1, pop_size=2)
     rows = board.collect()
     assert [r[G.LEADER_NAME] for r in rows] == ["GA", "SA"] and set(models) == {"GA", "SA"}
+    # the best model is an ordinary Spark ML model: saved, read back, same labels
+    save_model(models["GA"], str(tmp_path / "m"))
+    again = M.predict(load_model(str(tmp_path / "m")), prep, "Cluster").orderBy("vec_id")
+    assert again.collect() == M.predict(models["GA"], prep, "Cluster").orderBy("vec_id").collect()
     best = G.best_model(board, "clustering").first()
     assert best["Silhouette Score"] == max(r["Silhouette Score"] for r in rows)
     h = G.search_history(hist, "clustering").orderBy("strategy", "generation").collect()

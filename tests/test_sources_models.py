@@ -85,3 +85,17 @@ def test_cluster_views_and_attach(spark):
     assert lab.select("Cluster").distinct().count() == 3
     views = M.cluster_views(lab, st.features, "Cluster", dims=3, key="c_custkey")
     assert views.count() == prep.count() * 4  # C(4, 3) column triples
+
+
+def test_csv_like_a_data_frame_reader(spark, tmp_path):
+    from tabtune.sources.tables import read_table
+    path = tmp_path / "t.csv"
+    path.write_text('code,n,text\n1d,1,"two\nlines"\n2f,NA,"a ""quoted"" word"\n3D,3,plain\n')
+    df = read_table(spark, str(path))
+    assert dict(df.dtypes) == {"code": "string", "n": "int", "text": "string"}
+    assert [tuple(r) for r in df.orderBy("code").collect()] == [
+        ("1d", 1, "two\nlines"), ("2f", None, 'a "quoted" word'), ("3D", 3, "plain")]
+    given = read_table(spark, str(path), schema="code string, n int, text string")
+    assert given.orderBy("code").collect() == df.orderBy("code").collect()
+    with pytest.raises(ValueError):
+        read_table(spark, str(path), schema="code string")

@@ -84,3 +84,16 @@ def test_transform_other_task_unchanged(spark):
     o = table(spark, "orders")
     out, _ = P.transform(o, "ranking")
     assert out.columns == o.columns
+
+
+def test_exact_split_with_equal_keys(spark):
+    from tabtune.operators import split as SP
+    rows = [("a" if i < 60 else f"k{i}", i % 4, "x") for i in range(100)]
+    df = spark.createDataFrame(rows + rows[:20], "k string, v int, c string")
+    for seed in range(3):
+        for out in (SP.train_test_split(df, "k", 0.2, seed, exact=True), SP.stratified_split(df, "c", "k", 0.2, seed)):
+            got = out.groupBy("split").count().collect()
+            assert {r[0]: r[1] for r in got} == {"test": 24, "train": 96}
+            assert out.columns == ["k", "v", "c", "split"]
+    odd = spark.createDataFrame([("x:y", "z"), ("x", "y:z"), ("x:y:z", None)] * 5, "a string, b string")
+    assert SP.train_test_split(odd, exact=True).where("split = 'test'").count() == 3
