@@ -103,10 +103,11 @@ class Scorer:
                               if self.task == "classification" else None)
         else:
             self.data = base.persist(StorageLevel.MEMORY_AND_DISK)
+            self.vectors = M.vectors(self.data, self.features).persist(StorageLevel.MEMORY_AND_DISK)
             self.n_classes = None
 
     def close(self):
-        for name in ("train", "test", "data"):
+        for name in ("train", "test", "data", "vectors"):
             if hasattr(self, name):
                 getattr(self, name).unpersist()
 
@@ -129,7 +130,7 @@ class Scorer:
         if self.task == "classification":
             return M.fit_forest_classifier(self.train, self.features, self.label, p, placed=True)
         return M.fit_kmeans(self.data, self.features, int(p["n_clusters"]), int(p["max_iter"]),
-                            p.get("n_init"))
+                            p.get("n_init"), ready=self.vectors)
 
     def _in_pool(self, fn, args):
         """Run ``fn`` in its own FAIR scheduler pool, so that concurrent
@@ -165,7 +166,10 @@ class Scorer:
         return [self.memo[k] for k in keys]
 
     def _concurrently(self, fn, todo: dict) -> list:
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+        workers = self.parallelism
+        if self.task == "clustering":     # a K-Means fit keeps only centres on the driver
+            workers = max(workers, min(16, self.prepared.sparkSession.sparkContext.defaultParallelism))
+        with ThreadPoolExecutor(max_workers=workers) as pool:
             return list(pool.map(lambda a: self._in_pool(fn, a), enumerate(todo.values())))
 
     def _score_clustering(self, todo: dict):
