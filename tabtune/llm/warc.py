@@ -186,9 +186,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
 
     where, base = pafs.FileSystem.from_uri(path)
     where.create_dir(f"{base}/_temporary", recursive=True)
-    written = (stream.select("shard", "id", "order", "sha", "refers_to", "url", "html").mapInArrow(
-        run, "shard int, seq int, name string, temp string, records bigint, bytes bigint, sha256 string")
-        .orderBy("name").collect())                    # a row a file
+    # A row a file.  Sorted here: a sort in Spark would first sample its input,
+    # which runs the writer a second time.
+    written = stream.select("shard", "id", "order", "sha", "refers_to", "url", "html").mapInArrow(
+        run, "shard int, seq int, name string, temp string, records bigint, bytes bigint, sha256 string").collect()
+    written.sort(key=lambda f: f.name)
     for f in written:
         where.move(f"{base}/{f.temp}", f"{base}/{f.name}")
     manifest = {"files": [{k: f[k] for k in ("name", "records", "bytes", "sha256")} for f in written]}
