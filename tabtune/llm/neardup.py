@@ -259,10 +259,14 @@ def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float =
         if rows.isEmpty():
             return stars
         hubs = rows.where(F.col("rank") < high).select("v", F.col("root").alias("h_root"), *[
-            F.col(x).alias(f"h_{x}") for x in ("c", "n", "rest")])
-        # If v is the first value that two classes share, they share no more
-        # than either has from there on; at a later value there is less still.
+            F.col(x).alias(f"h_{x}") for x in ("c", "n", "rest", "rank")])
+        # Two hubs meet once, not in both orders.  Sets of similarity t differ
+        # in size by the factor t at most.  If v is the first value that two
+        # classes share, they share no more than either has from there on; at
+        # a later value there is less still.
         pairs = (rows.join(hubs, "v").where("root <> h_root")
+                 .where("rank > h_rank OR rank = h_rank AND c > h_c")
+                 .where(100 * F.least("n", "h_n") >= round(t * 100) * F.greatest("n", "h_n"))
                  .where(F.least("rest", "h_rest") >= common(F.col("n"), F.col("h_n"), k, t))
                  .select(F.greatest("c", "h_c").alias("a"), F.least("c", "h_c").alias("b")).distinct())
         found = saved(estimated(pairs, classes, k, t), "estimated")
