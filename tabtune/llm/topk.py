@@ -44,40 +44,46 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(rows: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
-    """For each term the rows that have it (a slice if all do) and their weights."""
+    """For each term the rows that have it and their weights; a term that most
+    rows have is held densely, as a slice and every row's weight."""
     out = []
     for j in range(rows.shape[1]):
         at = np.flatnonzero(rows[:, j])
-        out.append((slice(None) if len(at) == len(rows) else at, rows[at, j]))
+        dense = 2 * len(at) > len(rows)
+        out.append((slice(None), np.ascontiguousarray(rows[:, j])) if dense else (at, rows[at, j]))
     return out
 
 
 def accumulate(lists: list, n: int, queries: np.ndarray) -> np.ndarray:
-    """Scores (candidates x queries): term by term, postings times weights."""
-    scores = np.zeros((n, len(queries)), dtype=queries.dtype)
+    """Scores (candidates x queries): term by term, postings times weights.
+    Each query's scores lie together in memory."""
+    scores = np.zeros((len(queries), n), dtype=queries.dtype)
+    part = np.empty_like(scores)
     for term, (at, weights) in enumerate(lists[:queries.shape[1]]):
         own = np.flatnonzero(queries[:, term])
         if not len(own) or not len(weights):
             continue
-        if len(own) == len(queries):
-            scores[at] += weights[:, None] * queries[None, :, term]
+        if isinstance(at, slice) and 2 * len(own) > len(queries):
+            scores += np.multiply(queries[:, term, None], weights, out=part)
         elif isinstance(at, slice):
-            scores[:, own] += weights[:, None] * queries[own, term]
+            scores[own] += queries[own, term, None] * weights
         else:
-            scores[np.ix_(at, own)] += weights[:, None] * queries[own, term]
-    return scores
+            scores[np.ix_(own, at)] += queries[own, term, None] * weights
+    return scores.T
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.dtype:
-    """Doubles where every sum of products is a whole number below 2**53."""
+    """The narrowest floats in which every sum of products is an exact whole
+    number (below 2**24 or 2**53); else Python's integers."""
     bound = max(a.shape[1], 1) * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
-    return np.dtype(np.float64) if bound < 2 ** 53 else np.dtype(object)
+    return np.dtype(np.float32 if bound < 2 ** 24 else np.float64 if bound < 2 ** 53 else object)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best ids and scores of one query, ties to smaller ids."""
-    there = np.flatnonzero(ids != own)
-    scores, ids = scores[there], ids[there]
+    there = ids != own
+    if not there.all():
+        scores, ids = scores[there], ids[there]
     if len(ids) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= least)
@@ -87,7 +93,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 20, scale: int = 64,
-           cand_block: int = 8192, query_block: int = 512, width: int = 32) -> DataFrame:
+           cand_block: int = 8192, query_block: int = 512, width: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``queries``."""
     def whole(df: DataFrame) -> DataFrame:
         x = F.transform(F.col(vector).cast("array<double>"), lambda v: F.floor(v * scale).cast("double"))
@@ -113,11 +119,12 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k:
         kind = _exact(q, rows)
         if kind == object:
             q, rows = (np.vectorize(int, otypes=[object])(x) if x.size else x.astype(object) for x in (q, rows))
+        q, rows = q.astype(kind, copy=False), rows.astype(kind, copy=False)
         lists = postings(rows)
         out: list[tuple] = []
         for at in range(0, len(q_ids), width):
-            scores = accumulate(lists, len(ids), q[at:at + width]).T
-            for own, row in zip(q_ids[at:at + width], np.ascontiguousarray(scores)):
+            scores = accumulate(lists, len(ids), q[at:at + width])
+            for own, row in zip(q_ids[at:at + width], scores.T):
                 found, score = best(row, ids, own, k)
                 score = np.array([max(-LIMIT - 1, min(LIMIT, int(s))) for s in score], dtype=np.int64) \
                     if kind == object else score.astype(np.int64)
