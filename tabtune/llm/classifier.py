@@ -5,12 +5,12 @@ A text is the average of learned vectors of its hashed words and of its byte
 a softmax layer over the average gives the label.  Vectors and layer are
 trained together by plain stochastic gradient descent in numpy.
 
-The fit uses at most ``per_label`` labelled texts of each label, and of each
-at most ``per_text`` distinct features, both chosen by hash, so the driver
-never holds more than 2 x per_label x per_text pairs; class weights restore
-the labels' true shares.  Scoring uses all features of every whole text: the
-two outputs differ by the average of one number for each hash bucket, and
-only these numbers travel to the executors.
+The fit uses at most ``per_label`` labelled texts of each label, chosen by
+hash, and all features of each; they lie in a temporary file of the driver,
+which holds one text at a time.  Class weights restore the labels' true
+shares.  Scoring uses all features of every whole text: the two outputs
+differ by the average of one number for each hash bucket, and only these
+numbers travel to the executors.
 
 Defined results: a null or wordless text scores by the bias alone; without
 any labelled text all scores are 0.5; a null id is not held out; labels other
@@ -21,7 +21,8 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from tabtune.llm import words as W
 
 BITS = 17
 GRAMS = (3, 4)
+#: Training texts that come to the driver together (1 MB each at most).
+TOGETHER = 50
 _TABLES = [W.mix((np.arange(256, dtype=np.uint64) + np.uint64(256 * (j + 1))) * W._GOLD) for j in range(max(GRAMS))]
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[W.SPACE] = 0x20
@@ -65,13 +68,45 @@ def features(part: W.Part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield text[first], _bucket(W.mix(value[first]))
 
 
+def counted(part: W.Part) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and how often they occur in it."""
+    if part.rows == 1:
+        total = np.zeros(1 << BITS, dtype=np.int64)
+        for _, bucket in features(part):
+            total += np.bincount(bucket, minlength=1 << BITS)
+        found = np.flatnonzero(total)
+        return [(found, total[found])]
+    text, bucket = (np.concatenate(x) for x in zip(*features(part)))
+    keys, times = np.unique(text << BITS | bucket, return_counts=True)
+    ends = np.searchsorted(keys, np.arange(part.rows + 1) << BITS)
+    return [(keys[a:b] & ((1 << BITS) - 1), times[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+class Texts(Sequence):
+    """Label, buckets and counts of each training text, read from a file."""
+
+    def __init__(self, rows: Iterator) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.at = sorted((r.doc_id, r.y, len(r.f) // 4, self.file.tell(), self.file.write(r.f + r.m)) for r in rows)
+        self.labels = np.array([y for _, y, *_ in self.at], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        _, y, n, start, size = self.at[i]
+        self.file.seek(start)
+        both = np.frombuffer(self.file.read(size), dtype="<i4")
+        return y, both[:n].astype(np.int64), both[n:].astype(np.float64)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int, per_text: int,
-                  seed: int) -> tuple[list, np.ndarray]:
-    """Collected features [(label, buckets, counts)] and the labels' counts."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int,
+                  seed: int) -> tuple[Texts, np.ndarray]:
+    """Features of the chosen texts and the labels' counts."""
     known = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
              .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     share = np.zeros(2)
@@ -83,36 +118,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for part in W.parts(batch.column(2)):
-                doc, bucket = (np.concatenate(x) for x in zip(*features(part)))
-                order = np.argsort(doc, kind="stable")
-                doc, bucket = doc[order], bucket[order]
-                offs = np.searchsorted(doc, np.arange(part.rows + 1))
-                for i in range(part.rows):
-                    found, times = np.unique(bucket[offs[i]:offs[i + 1]], return_counts=True)
-                    if len(found) > per_text:
-                        some = np.argsort(W.mix(found.astype(np.uint64) + np.uint64(seed)))[:per_text]
-                        found, times = found[some], times[some]
-                    out.append((found, times))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.list_(pa.int32())),
-                 pa.array([x for _, x in out], pa.list_(pa.int32()))], names=["doc_id", "y", "f", "m"])
+                out = counted(part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.row, part.rows), batch.column(1).slice(part.row, part.rows),
+                     *(pa.array([x[i].astype("<i4").tobytes() for x in out], pa.binary()) for i in (0, 1))],
+                    names=["doc_id", "y", "f", "m"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")   # at most 2 per_label rows
             .dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
-            .mapInArrow(run, "doc_id bigint, y int, f array<int>, m array<int>"))
-    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
-    return [(r.y, np.array(r.f, dtype=np.int64), np.array(r.m, dtype=np.float64)) for r in rows], share
+            .repartition(max(1, 2 * per_label // TOGETHER), "doc_id")
+            .mapInArrow(run, "doc_id bigint, y int, f binary, m binary"))
+    return Texts(rows.toLocalIterator()), share
 
 
-def train(rows: list, share: np.ndarray, dim: int = 8, epochs: int = 5, rate: float = 0.5,
+def train(rows: Texts, share: np.ndarray, dim: int = 8, epochs: int = 5, rate: float = 0.5,
           seed: int = 42) -> tuple[np.ndarray, float]:
     """Contribution of each bucket to the logit of label 1, and the bias."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << BITS, dim))
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
-    seen = np.bincount([y for y, _, _ in rows], minlength=2)
+    seen = np.bincount(rows.labels, minlength=2)
     weight = np.where(seen > 0, share / max(share.sum(), 1) * len(rows) / np.maximum(seen, 1), 0.0)
     weight = weight / max(weight.max(), 1e-12)
     steps, step = epochs * len(rows), 0
@@ -131,9 +157,9 @@ def train(rows: list, share: np.ndarray, dim: int = 8, epochs: int = 5, rate: fl
             layer -= pace * np.outer(mean, grad)
             bias -= pace * grad
             if n:
-                # Summed, not averaged, over a text's features: they share one
-                # gradient, and its size is what the rate is set for.
-                vectors[found] -= pace * np.minimum(times, 8.0)[:, None] / np.sqrt(n) * back
+                # Along the gradient, but with the counts scaled to length 1
+                # and not to sum 1: the rate is set for steps of that size.
+                vectors[found] -= pace * times[:, None] / np.sqrt(times @ times) * back
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
@@ -156,9 +182,9 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = 1500,
-             per_text: int = 1024, seed: int = 42) -> DataFrame:
+             seed: int = 42) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    rows, share = training_rows(docs, labels, label, per_label, per_text, seed)
+    rows, share = training_rows(docs, labels, label, per_label, seed)
     weights, bias = train(rows, share, seed=seed)
     return score(docs, weights, bias).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

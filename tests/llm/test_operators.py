@@ -315,6 +315,45 @@ def test_classifier_held_out(spark, docs, rows, none):
     assert classifier.query(none, labels).count() == 0
 
 
+def test_classifier_trains_on_all_features(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) + " again" * 40 for n in (3, 900, 2500)]
+    texts.append(texts[1] * 200)        # longer than one block
+    docs_ = spark.createDataFrame(list(enumerate(texts, 10)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(10 + i, i % 2) for i in range(4)], "doc_id bigint, quality int")
+    labels = labels.where(~classifier.held_out(F.col("doc_id")))
+    seen, train = {}, classifier.train
+
+    def spy(rows, share, **other):
+        seen["rows"] = [rows[i] for i in range(len(rows))]
+        return train(rows, share, **other)
+
+    monkeypatch.setattr(classifier, "train", spy)
+    classifier.classify(docs_, labels).count()
+    known = sorted(r.doc_id for r in labels.collect())
+    assert len(seen["rows"]) == len(known) >= 2
+    for key, (y, found, times) in zip(known, seen["rows"]):
+        part = next(classifier.W.parts(classifier.pa.array([texts[key - 10]])))
+        want = collections.Counter()
+        for _, bucket in classifier.features(part):
+            want.update(bucket.tolist())
+        assert y == (key - 10) % 2 and dict(zip(found.tolist(), times.tolist())) == dict(want)
+    assert max(len(f) for _, f, _ in seen["rows"]) > 1024
+
+
+def test_classifier_steps_follow_the_counts():
+    class Rows(list):
+        labels = np.array([1])
+
+    found = np.array([3, 7, 9])
+    rows = Rows([(1, found, np.array([1.0, 5.0, 40.0]))])
+    weights, _ = classifier.train(rows, np.array([0, 1]), epochs=3)
+    start = np.random.default_rng(42).uniform(-1 / 8, 1 / 8, (1 << classifier.BITS, 8))
+    layer = np.linalg.lstsq(start[10:1000], weights[10:1000], rcond=None)[0]
+    moved = weights[found] - start[found] @ layer
+    assert moved[0] > 0 and np.allclose(moved / moved[0], [1, 5, 40], rtol=1e-3)
+
+
 def test_pii_columns_and_mask(docs, rows, none):
     out = pii.query(docs).collect()
     assert len(out) == len(rows)
