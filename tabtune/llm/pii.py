@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds to them.
 
 Base spans come from four patterns with checks.  The model is trained on
-windows labelled with base spans (at most ``windows`` with a span and half as
-many without, chosen by hash); it reads overlapping windows on a fixed grid
+distinct windows labelled with base spans (at most ``limit`` with a span and
+half as many without, chosen by hash, so that copies count once); it reads overlapping windows on a fixed grid
 of each text.  Every kind of span has a digit or an @, so windows without
 either cannot hold one and are not read.  The windows' spans are reconciled
 over the whole text: spans of one kind that overlap are joined, base spans
@@ -125,7 +125,7 @@ def tags_of(length: int, spans: list[Span]) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, text: str, limit: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and tags of a bounded sample of labelled windows."""
+    """Characters and tags of a bounded sample of distinct labelled windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, tags = [], []
@@ -139,7 +139,7 @@ def training_windows(docs: DataFrame, text: str, limit: int, seed: int) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(chars, pa.binary()), pa.array(tags, pa.binary())],
                                              names=["x", "y"])
 
-    rows = docs.select(text).mapInArrow(run, "x binary, y binary")
+    rows = docs.select(text).mapInArrow(run, "x binary, y binary").dropDuplicates(["x", "y"])
     rows = saved(rows.select("x", "y", F.xxhash64(F.lit(seed), "x").alias("o"),
                              F.hex("y").rlike("[1-9]").alias("has")), "pii-windows")
     taken = [r for has, n in ((True, limit), (False, limit // 2))

@@ -367,3 +367,15 @@ def test_pii_columns_and_mask(docs, rows, none):
     assert collections.Counter(t for t in texts if t is None or "<" not in t) == \
         collections.Counter(r[1] for r in rows if "@" not in (r[1] or ""))
     assert pii.query(none).count() == 0
+
+
+def test_pii_sample_counts_copies_once(spark):
+    rng = random.Random(3)
+    lone = [f"write to {''.join(rng.choices('abcdefgh', k=9))}@{i}.example.org today" for i in range(40)]
+    docs_ = spark.createDataFrame([(t,) for t in lone + lone[:5] * 300], "text string").repartition(3)
+    chars, tags = pii.training_windows(docs_, "text", 40, seed=42)
+    both = [(x.tobytes(), y.tobytes()) for x, y in zip(chars, tags)]
+    assert len(both) == len(set(both))
+    every, marked = pii.training_windows(spark.createDataFrame([(t,) for t in lone], "text string"), "text", 40, 42)
+    assert collections.Counter(both) == collections.Counter((x.tobytes(), y.tobytes()) for x, y in zip(every, marked))
+    assert marked.any(axis=1).sum() == 40
