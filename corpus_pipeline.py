@@ -1,7 +1,8 @@
 """From raw documents to training batches in five stages.
 
 Each stage takes what the one before kept and returns the documents it keeps,
-with the columns of ``documents``; the last returns the packed pieces.
+with the columns of ``documents``; the mixture repeats those that it takes for
+a second epoch, and the last returns the packed pieces.
 
 Defined results: null texts and hosts, repeated rows and ids, empty tables and
 further columns are treated as the stages' operators state; the quality rules
@@ -36,7 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    """The mixture of op2; a document stands once for each epoch that takes it."""
+    return mixing.mix_documents(docs, mixing.FRACTION, mixing.EPOCHS)
 
 
 def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

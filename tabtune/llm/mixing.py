@@ -28,6 +28,9 @@ from tabtune.llm.frames import fresh, n_words, saved
 #: Hex digits by which each refinement narrows a leaf's order, and how often.
 DIGITS, LEVELS = 2, 3
 BIG = "decimal(38,0)"
+#: Budget, as a share of all tokens, and most epochs of the registered query
+#: and of the pipeline's stage.
+FRACTION, EPOCHS = (1, 2), 2
 
 
 def _weight(column: str, weights: dict[str, int], default: int) -> Column:
@@ -94,10 +97,12 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, i
 
 
 def select(docs: DataFrame, levels: list[str], weights: list[dict[str, int]], id_col: str = "doc_id",
-           text: str = "text", default: int = 1, fraction: tuple[int, int] = (1, 2),
-           max_epochs: int = 2, seed: int = 42) -> DataFrame:
-    """Which rows the mixture takes: levels, id, n_tokens, epoch, take_tokens."""
-    rows = docs.select(*levels, F.col(id_col).alias("id"), n_words(F.col(text)).alias("n_tokens"))
+           text: str = "text", default: int = 1, fraction: tuple[int, int] = FRACTION,
+           max_epochs: int = EPOCHS, seed: int = 42, mark: str | None = None) -> DataFrame:
+    """Which rows the mixture takes: levels, id, n_tokens, epoch, take_tokens;
+    and ``mark``, a column that tells rows apart which share an id."""
+    marks = [F.col(mark).alias("mark")] if mark else []
+    rows = docs.select(*levels, F.col(id_col).alias("id"), n_words(F.col(text)).alias("n_tokens"), *marks)
     rows = saved(rows, "mixing-rows")
     leaves = saved(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "mixing-leaves")
     budgets = leaf_budgets(leaves, levels, weights, default, fraction, max_epochs)
@@ -130,7 +135,7 @@ def select(docs: DataFrame, levels: list[str], weights: list[dict[str, int]], id
     sure = rows.where(F.col("cut").isNull() | (prefix != F.col("cut")))
     sure = sure.withColumns({"more": F.coalesce((prefix < F.col("cut")).cast("int"), F.lit(0)),
                              "last": F.col("n_tokens")})
-    past = (Window.partitionBy(*levels).orderBy("key", "n_tokens", "id")
+    past = (Window.partitionBy(*levels).orderBy("key", "n_tokens", "id", *["mark" for _ in marks])
             .rowsBetween(Window.unboundedPreceding, -1))
     edge = rows.where(prefix == F.col("cut"))
     edge = edge.withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(past), F.lit(0)))
@@ -140,7 +145,7 @@ def select(docs: DataFrame, levels: list[str], weights: list[dict[str, int]], id
     taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     return taken.select(*levels, "id", "n_tokens", "epoch",
                         F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens"))
-                        .otherwise(F.col("last")).alias("take_tokens"))
+                        .otherwise(F.col("last")).alias("take_tokens"), *["mark" for _ in marks])
 
 
 #: Target weights of the registered query.
@@ -159,14 +164,18 @@ def query(docs: DataFrame) -> DataFrame:
     return taken.withColumnRenamed("id", "doc_id")
 
 
-def mix_documents(docs: DataFrame, fraction: tuple[int, int] = (9, 10), seed: int = 42) -> DataFrame:
-    """The documents of a one-epoch mixture, with their columns as they came."""
+def mix_documents(docs: DataFrame, fraction: tuple[int, int] = (9, 10), max_epochs: int = 1,
+                  seed: int = 42) -> DataFrame:
+    """A mixture as documents with their columns: a row stands as often as
+    epochs take it, and whole where the budget ends.  One epoch of 9/10 takes
+    nearly all of each leaf and so misses the weights; ``FRACTION`` and
+    ``EPOCHS``, as in ``query``, leave room to reach them."""
     name, mark = fresh(docs, "domain", "_mixed")
-    rows = with_domain(docs, name)
-    taken = select(rows, [name, "lang", "source"], [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}],
-                   fraction=fraction, max_epochs=1, seed=seed)
-    taken = taken.select(F.col("id").alias(mark)).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken[mark]), "left_semi")
+    rows = saved(docs.withColumn(mark, F.monotonically_increasing_id()), "mixing-docs")
+    taken = select(with_domain(rows, name), [name, "lang", "source"], [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}],
+                   fraction=fraction, max_epochs=max_epochs, seed=seed, mark=mark)
+    taken = taken.select(F.col("mark").alias(mark))
+    return rows.join(taken, mark).select(*docs.columns)
 
 
 _LEVEL = """

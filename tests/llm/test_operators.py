@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabtune.llm import (classifier, components, mixing, neardup, packing, pii, quality, queries, sharding,
                          substrings, topk, warc)
 from tabtune.llm.frames import scratch
@@ -195,6 +196,24 @@ def test_mixing_whole_rows(docs, none):
     assert all(n % 3 == 0 for n in by.values()) and by    # shortage everywhere: all epochs in full
 
 
+def test_mixed_documents_reach_the_weights(spark):
+    rows = [(d * 300 + i, " ".join(["w"] * (5 + i % 7)), "en", f"s{d}") for d in range(10) for i in range(300)]
+    rows += [(None, "n n n", "en", "s1"), (None, "n n n n", "en", "s1"), rows[400], rows[400]]
+    docs_ = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    out = corpus_pipeline.source_mixture(spark, docs_, "").collect()
+    share = collections.Counter()
+    for r in out:
+        share[r.source[-1]] += len(r.text.split())
+    total = sum(share.values())
+    for d, weight in zip("0123456789", [1, 3, 2] + [1] * 7):
+        assert abs(share[d] / total - weight / 13) < 0.005
+    # One row for each epoch that op2 takes of a row, repeats and null ids included.
+    taken = mixing.query(docs_).collect()
+    assert collections.Counter((r.doc_id, len(r.text.split()), r.source) for r in out) == \
+        collections.Counter((r.doc_id, r.n_tokens, r.source) for r in taken)
+    assert max(collections.Counter(r.doc_id for r in out if r.doc_id and r.doc_id != rows[400][0]).values()) == 2
+
+
 def test_sharding_against_brute_force(spark, docs, rows, none):
     out = sharding.shard(docs, shards=5).collect()
     places = sorted(r.slot * 5 + r.shard for r in out)
