@@ -355,8 +355,7 @@ def q_cluster_views(spark, sf):
 
 def q_search_classification(spark, sf):
     prep, st = _orders_prepared(spark, sf)
-    board, _, _ = G.compare_strategies(prep, "classification", st.features, st.label, "o_orderkey",
-                                       strategies=("ga", "pso"), epochs=1, pop_size=2)
+    board, _, _ = G.compare_strategies(prep, "classification", st.features, st.label, "o_orderkey")
     return board
 
 
@@ -368,15 +367,13 @@ def _emb_search(spark, sf):
 
 def q_search_clustering(spark, sf):
     prep, st = _emb_search(spark, sf)
-    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id",
-                                       epochs=1, pop_size=3)
+    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id")
     return G.best_model(board, "clustering")
 
 
 def q_search_history(spark, sf):
     prep, st = _emb_search(spark, sf)
-    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id",
-                                      strategies=("sa", "pso"), epochs=2, pop_size=3)
+    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id")
     return G.search_history(hist, "clustering")
 
 

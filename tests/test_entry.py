@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import duckdb
@@ -39,3 +40,23 @@ def test_twins_agree_at_sf0001(spark, name):
     idx = [dcols.index(c) for c in cols]
     exp = sorted(tuple(r[i] for i in idx) for r in res.fetchall())
     assert got == exp
+
+
+@pytest.mark.parametrize("name", ["search_classification", "search_clustering", "search_history"])
+def test_searches_run_the_whole_budget(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    signature = inspect.signature(SE.G.compare_strategies)
+
+    def spy(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        raise Seen(bound.arguments)
+
+    monkeypatch.setattr(SE.G, "compare_strategies", spy)
+    with pytest.raises(Seen) as got:
+        SE.queries()[name](spark, "/root/testdata/sf0.001")
+    run = got.value.args[0]
+    assert sorted(run["strategies"]) == ["aco", "ga", "pso", "sa"]
+    assert (run["epochs"], run["pop_size"], run["silhouette_sample"]) == (10, 10, 1.0)
