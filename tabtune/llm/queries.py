@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import classifier, mixing, neardup, packing, pii, quality, sharding, substrings, topk, warc
+from tabtune.llm import classifier, exact, mixing, neardup, packing, pii, quality, sharding, substrings, topk, warc
 
 
 def _docs(spark, sf):
@@ -49,6 +49,10 @@ def op8_feistel_shards(spark, sf):
     return sharding.query(_docs(spark, sf))
 
 
+def op12_patricia_owners(spark, sf):
+    return exact.query(_docs(spark, sf))
+
+
 QUERIES = {
     "op1_host_quality_rules": op1_host_quality_rules,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
@@ -60,6 +64,7 @@ QUERIES = {
     "op10_bilstm_crf_pii": op10_bilstm_crf_pii,
     "op5_bottom_k_near_duplicates": op5_bottom_k_near_duplicates,
     "op8_feistel_shards": op8_feistel_shards,
+    "op12_patricia_owners": op12_patricia_owners,
 }
 
 ORACLE_SQL = {
@@ -69,4 +74,5 @@ ORACLE_SQL = {
     "op7_term_at_a_time_top_k": topk.ORACLE,
     "op3_relative_lempel_ziv": substrings.ORACLE,
     "op5_bottom_k_near_duplicates": neardup.ORACLE,
+    "op12_patricia_owners": exact.ORACLE,
 }
