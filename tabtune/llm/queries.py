@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabtune.llm import classifier, exact, mixing, neardup, packing, pii, quality, sharding, substrings, topk, warc
+from tabtune.llm import align, classifier, exact, mixing, neardup, packing, pii, quality, sharding, substrings, topk, warc
 
 
 def _docs(spark, sf):
@@ -53,6 +53,10 @@ def op12_patricia_owners(spark, sf):
     return exact.query(_docs(spark, sf))
 
 
+def op11_merge_asof_alignment(spark, sf):
+    return align.query(_docs(spark, sf))
+
+
 QUERIES = {
     "op1_host_quality_rules": op1_host_quality_rules,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_bottom_k_near_duplicates": op5_bottom_k_near_duplicates,
     "op8_feistel_shards": op8_feistel_shards,
     "op12_patricia_owners": op12_patricia_owners,
+    "op11_merge_asof_alignment": op11_merge_asof_alignment,
 }
 
 ORACLE_SQL = {
