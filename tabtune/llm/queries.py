@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tabtune.llm import align, classifier, exact, mixing, neardup, packing, pii, quality, sharding, substrings, topk, warc
+from tabtune.llm import (align, classifier, exact, mixing, neardup, negatives, packing, pii, quality, sharding,
+                         substrings, topk, warc)
 
 
 def _docs(spark, sf):
@@ -57,6 +58,10 @@ def op11_merge_asof_alignment(spark, sf):
     return align.query(_docs(spark, sf))
 
 
+def op13_spanning_tree_negatives(spark, sf):
+    return negatives.query(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_host_quality_rules": op1_host_quality_rules,
     "op2_hierarchical_mixing": op2_hierarchical_mixing,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_feistel_shards": op8_feistel_shards,
     "op12_patricia_owners": op12_patricia_owners,
     "op11_merge_asof_alignment": op11_merge_asof_alignment,
+    "op13_spanning_tree_negatives": op13_spanning_tree_negatives,
 }
 
 ORACLE_SQL = {
@@ -80,4 +86,5 @@ ORACLE_SQL = {
     "op3_relative_lempel_ziv": substrings.ORACLE,
     "op5_bottom_k_near_duplicates": neardup.ORACLE,
     "op12_patricia_owners": exact.ORACLE,
+    "op13_spanning_tree_negatives": negatives.ORACLE,
 }
