@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)
-CATEGORICAL_TYPES = (T.StringType, T.BooleanType)
+#: Dates and times are categories, as in a table read without parsing them; rows
+#: to come may hold others, so their encoding has a code for unseen ones.
+DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+CATEGORICAL_TYPES = (T.StringType, T.BooleanType, *DATE_TYPES)
 
 
 def q(name: str) -> str:
@@ -34,6 +37,19 @@ def categorical_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, CATEGORICAL_TYPES) and f.name not in exclude]
 
 
+def date_columns(df: DataFrame, exclude=()) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, DATE_TYPES) and f.name not in exclude]
+
+
+def require_flat(df: DataFrame, exclude=()) -> None:
+    """Nested, binary and other columns that are neither numbers nor categories
+    are named in an error before any job runs."""
+    other = [f"{f.name} ({f.dataType.simpleString()})" for f in df.schema.fields
+             if not is_numeric(f.dataType) and not isinstance(f.dataType, CATEGORICAL_TYPES) and f.name not in exclude]
+    if other:
+        raise ValueError(f"columns that cannot be features: {', '.join(other)}; project them away or unnest them")
+
+
 def resolve_label(df: DataFrame, label: str | None) -> str:
     """Missing (or the literal text 'None') label means the last column."""
     if label is None or label == "None":

@@ -19,6 +19,7 @@ from tabtune.functions.columns import (numeric_columns, q, resolve_label,
                                        unpivot_numeric)
 from tabtune.operators.normality import normality_from_summary, shapiro_summaries
 from tabtune.operators.ranks import column_value_ranks, linear_quantiles, small_result
+from tabtune.operators.select import quantiles
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -36,8 +37,9 @@ def column_quartiles(df: DataFrame, cols=None, k: float = 1.5, approx: bool = Fa
                      ranked: DataFrame | None = None) -> DataFrame:
     """(column, n, q1, median, q3, iqr, lower, upper), linear interpolation.
 
-    Exact by default via distributed ranks; ``approx=True`` uses
-    ``percentile_approx`` (returns an existing value, no interpolation).
+    Exact by default, by selection (``ranked``: from ranks that are there
+    already); ``approx=True`` uses ``percentile_approx`` (returns an existing
+    value, no interpolation).
     """
     cols = cols or numeric_columns(df)
     if approx:
@@ -47,19 +49,19 @@ def column_quartiles(df: DataFrame, cols=None, k: float = 1.5, approx: bool = Fa
                    F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("qs")))
         qs = qs.select("column", "n", F.col("qs")[0].alias("q_25"),
                        F.col("qs")[1].alias("q_5"), F.col("qs")[2].alias("q_75"))
-    own = None
-    if not approx:
-        if ranked is None:
-            ranked = own = column_value_ranks(unpivot_numeric(df, cols))
+    elif ranked is None:
+        found = quantiles(df, cols, (0.25, 0.5, 0.75))
+        qs = df.sparkSession.createDataFrame([(c, n, *got) for c, (n, _, _, got) in found.items()],
+                                             "column string, n long, q_25 double, q_5 double, q_75 double")
+    else:
         qs = linear_quantiles(ranked, (0.25, 0.5, 0.75))
     iqr = F.col("q_75") - F.col("q_25")
-    out = qs.select(
+    return qs.select(
         "column", F.col("n").cast("long").alias("n"),
         F.col("q_25").alias("q1"), F.col("q_5").alias("median"), F.col("q_75").alias("q3"),
         iqr.alias("iqr"),
         (F.col("q_25") - F.lit(float(k)) * iqr).alias("lower"),
         (F.col("q_75") + F.lit(float(k)) * iqr).alias("upper"))
-    return small_result(out, own) if own is not None else out
 
 
 def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5,
@@ -67,7 +69,7 @@ def outlier_bounds(df: DataFrame, cols=None, alpha: float = 0.05, k: float = 1.5
     """Summary behind B5: one row per numeric column with its IQR bounds,
     normality result and whether the IQR rule applies (not normal)."""
     cols = [c for c in (cols or numeric_columns(df)) if c not in set(exclude)]
-    ranked = column_value_ranks(unpivot_numeric(df, cols))
+    ranked = column_value_ranks(unpivot_numeric(df, cols)) if gate else None
     quart = small_result(column_quartiles(df, cols, k=k, ranked=ranked))
     if gate:
         norm = small_result(normality_from_summary(shapiro_summaries(ranked), alpha))

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from tabtune.functions.columns import categorical_columns, q
 from tabtune.operators.ranks import value_ranks
+from tabtune.operators.select import near
 
 LITERAL_MAX = 64
-BROADCAST_MAX = 1_000_000
 
 
 def fit_label_encoder(df: DataFrame, cols=None) -> DataFrame:
@@ -43,36 +43,35 @@ def fit_label_encoder(df: DataFrame, cols=None) -> DataFrame:
     return mapping
 
 
-def _mapping_rows(mapping: DataFrame, column: str, limit: int):
-    sub = mapping.where(F.col("column") == column)
-    rows = sub.select("value", "code").limit(limit + 1).collect()
-    return rows
+def _small_maps(mapping: DataFrame, cols) -> tuple[dict, dict]:
+    """Of all columns in one job each: their numbers of values, and the rows of
+    those that have at most ``LITERAL_MAX``."""
+    own = mapping.where(F.col("column").isin(list(cols)))
+    sizes = {r["column"]: r["count"] for r in own.groupBy("column").count().collect()}  # one row a column
+    small = [c for c in cols if sizes.get(c, 0) <= LITERAL_MAX]
+    rows: dict = {c: [] for c in small}
+    for r in own.where(F.col("column").isin(small)).select("column", "value", "code").collect() if small else ():
+        rows[r["column"]].append(r)
+    return sizes, rows
 
 
-def _lookup(df: DataFrame, mapping: DataFrame, column: str, src: str, dst: str,
-            out_name: str, unseen: str, value_type: str):
+def _lookup(df: DataFrame, mapping: DataFrame, column: str, src: str, dst: str, unseen: str,
+            value_type: str, size: int, rows: list | None):
     """Replace column ``column`` by its mapped value; returns new df."""
-    rows = _mapping_rows(mapping, column, LITERAL_MAX)
-    k_rows = mapping.where(F.col("column") == column)
     col = F.col(q(column)).cast(value_type if src == "code" else "string")
-    if len(rows) <= LITERAL_MAX:
-        pairs = []
-        for r in rows:
-            pairs += [F.lit(r[src]), F.lit(r[dst])]
-        size = len(rows)
+    kind = "int" if dst == "code" else "string"
+    if rows is not None:
+        pairs = [F.lit(r[x]) for r in rows for x in (src, dst)]
         mapped = F.lit(None)
         if rows:
             mapped = F.when(col.isNull(), F.lit(None)).otherwise(
                 F.try_element_at(F.create_map(*pairs), col))
-        new = _unseen(mapped, col, column, unseen, size)
-        return df.withColumn(column, new.cast("int" if dst == "code" else "string"))
-    size = k_rows.count()
-    lk = k_rows.select(F.col(src).alias("_k"), F.col(dst).alias("_v"))
-    if size <= BROADCAST_MAX:  # counted size: safe to broadcast
-        lk = F.broadcast(lk)
-    tmp = df.withColumn("_k", col).join(lk, "_k", "left")
+        return df.withColumn(column, _unseen(mapped, col, column, unseen, size).cast(kind))
+    lk = mapping.where(F.col("column") == column).select(F.col(src).alias("_k"), F.col(dst).alias("_v"))
+    # broadcast only if its bytes are few (see select.near)
+    tmp = df.withColumn("_k", col).join(near(lk.select("_v", "_k") if src == "code" else lk), "_k", "left")
     new = _unseen(F.col("_v"), F.col("_k"), column, unseen, size)
-    return tmp.withColumn(column, new.cast("int" if dst == "code" else "string")).drop("_k", "_v")
+    return tmp.withColumn(column, new.cast(kind)).drop("_k", "_v")
 
 
 def _unseen(mapped, original, column, unseen, size):
@@ -85,25 +84,26 @@ def _unseen(mapped, original, column, unseen, size):
     raise ValueError("unseen must be 'error' or 'keep'")
 
 
-def apply_label_encoder(df: DataFrame, mapping: DataFrame, cols=None,
-                        unseen: str = "error") -> DataFrame:
-    """C4: replace each encoded column by its integer code."""
+def _mapped(df: DataFrame, mapping: DataFrame, cols, src: str, dst: str, unseen: str, kind: str) -> DataFrame:
     cols = cols if cols is not None else [
         r[0] for r in mapping.select("column").distinct().collect()]
+    cols = [c for c in df.columns if c in set(cols)]
+    sizes, rows = _small_maps(mapping, cols) if cols else ({}, {})
     out = df
-    for c in [c for c in df.columns if c in set(cols)]:
-        out = _lookup(out, mapping, c, "value", "code", c, unseen, "string")
+    for c in cols:
+        out = _lookup(out, mapping, c, src, dst, unseen, kind, sizes.get(c, 0), rows.get(c))
     return out
 
 
+def apply_label_encoder(df: DataFrame, mapping: DataFrame, cols=None,
+                        unseen: str = "error") -> DataFrame:
+    """C4: replace each encoded column by its integer code."""
+    return _mapped(df, mapping, cols, "value", "code", unseen, "string")
+
+
 def decode(df: DataFrame, mapping: DataFrame, cols=None) -> DataFrame:
     """Map codes back to the original values."""
-    cols = cols if cols is not None else [
-        r[0] for r in mapping.select("column").distinct().collect()]
-    out = df
-    for c in [c for c in df.columns if c in set(cols)]:
-        out = _lookup(out, mapping, c, "code", "value", c, "error", "int")
-    return out
+    return _mapped(df, mapping, cols, "code", "value", "error", "int")
 
 
 def encode_target(df: DataFrame, label: str, fit_on: DataFrame | None = None):

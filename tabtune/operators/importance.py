@@ -3,21 +3,25 @@
 * Tree models: impurity importance from the fitted forest (I1).
 * Linear models: absolute coefficients (I2).
 * Clustering: permutation importance of a surrogate random forest that
-  predicts the cluster label (I3).  Each feature column of the test rows
-  is permuted ``n_repeats`` times; a permutation is a join of the row index
-  (distributed rank of the row hash) with the rank of a second, per
-  (feature, repeat) hash, so no global window and no driver-side shuffle.
-  The result (one row per feature) is returned computed.
-  All F x R permuted copies are scored by one ``model.transform`` and one
-  ``groupBy(feature, repeat)``.
+  predicts the cluster label (I3).  The test rows are put in a hashed order and
+  numbered once; consecutive numbers form blocks of ``BLOCK_ROWS`` rows, the
+  same rule for every table.  Each feature column is permuted ``n_repeats``
+  times inside the blocks, by permutations keyed with seed, feature, repeat and
+  block.  The copies are made and scored where the block is, so the shuffles
+  carry each test row twice whatever the number of features and repeats is.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +49,76 @@ def linear_importance(model: PipelineModel, features) -> DataFrame:
                                  "Feature string, Importance double")
 
 
-PERM_BLOCK_ROWS = 8192
 
+#: Rows of a block inside which a feature is permuted.
+BLOCK_ROWS = 4096
 
-def _permute_blocks(features, seed):
-    """Permute one feature column inside one (feature, repeat, block) group
-    with a numpy generator seeded by the group (reproducible)."""
-    index = {f: i for i, f in enumerate(features)}
 
-    def run(pdf):
-        if pdf.empty:
-            return pdf
-        f = pdf["_f"].iloc[0]
-        rng = np.random.default_rng([seed, index[f], int(pdf["_r"].iloc[0]),
-                                     int(pdf["_blk"].iloc[0])])
-        order = np.argsort(pdf["_key"].to_numpy(), kind="stable")  # layout-independent
-        pdf = pdf.iloc[order].reset_index(drop=True)
-        pdf[f] = pdf[f].to_numpy()[rng.permutation(len(pdf))]
-        return pdf
+def permutation(seed: int, feature: int, repeat: int, block: int, size: int) -> np.ndarray:
+    """For each place of a block the place whose value it gets."""
+    return np.random.default_rng([seed, feature, repeat, block]).permutation(size)
+
+
+def numbered_blocks(test: DataFrame, order: list, block_rows: int) -> DataFrame:
+    """``test`` with its number ``_i`` (from 0) in the given order and its block
+    ``_blk``; each block stands whole and in order in one partition.
+
+    Range partitions are sorted one by one, a count of each makes the places
+    inside them global; no more than one row a partition is collected."""
+    rows = (test.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_part", F.spark_partition_id())
+            .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    sizes = sorted(map(tuple, rows.groupBy("_part").count().collect()))
+    starts = list(itertools.accumulate([0] + [n for _, n in sizes]))
+    total = max(1, starts[-1])
+    blocks = max(1, math.ceil(total / block_rows))
+    offsets = test.sparkSession.createDataFrame(
+        [(p, s) for (p, _), s in zip(sizes, starts)], "_part int, _start long")
+    out = (rows.join(F.broadcast(offsets), "_part")          # one row a partition
+           .withColumn("_i", F.col("_start") + F.col("_pos"))
+           .withColumn("_blk", F.expr(f"_i * {blocks} div {total}").cast("int")).drop("_part", "_pos", "_start"))
+    out = out.repartition(min(blocks, MOST_PARTITIONS), "_blk").sortWithinPartitions("_blk", "_i").persist(
+        StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    rows.unpersist()
+    return out
+
+
+#: Blocks share partitions beyond this number.
+MOST_PARTITIONS = 1 << 15
+
+
+def _copies(width: int, n_repeats: int, seed: int):
+    """The permuted copies of each block: feature, repeat, label, vector."""
+    def block_copies(blk: int, some: list) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(some)
+        x = np.array(table["_x"].combine_chunks().flatten()).reshape(-1, width)
+        label, n = table["_label"].combine_chunks(), len(x)
+        offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
+        for f in range(width):
+            kept = x[:, f].copy()
+            for r in range(n_repeats):
+                x[:, f] = kept[permutation(seed, f, r, blk, n)]
+                lists = pa.ListArray.from_arrays(offsets, pa.array(x.ravel().copy()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, f, np.int32)), pa.array(np.full(n, r, np.int32)), label, lists],
+                    names=["_f", "_r", "_label", "_x"])
+            x[:, f] = kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, some = None, []
+        for batch in batches:
+            blk = np.asarray(batch.column(0))
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(blk) != 0])) if len(blk) else []
+            for at, to in zip(heads, [*heads[1:], len(blk)]):
+                if some and blk[at] != own:
+                    yield from block_copies(own, some)
+                    some = []
+                own = int(blk[at])
+                some.append(batch.slice(at, to - at))
+        if some:
+            yield from block_copies(own, some)
     return run
 
 
@@ -71,12 +127,11 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
                            model: PipelineModel | None = None) -> DataFrame:
     """(Feature, Importance Mean, Importance Std) by accuracy drop.
 
-    ``model`` defaults to a surrogate random forest classifier (100 trees,
-    seed 42) fitted on the train rows of a hash split of ``df``.  Each
-    permutation shuffles a feature inside hash blocks of at most
-    ``PERM_BLOCK_ROWS`` test rows (random blocks, so the permuted column is
-    independent of the row as in a full permutation; the groups stay
-    bounded).
+    ``model`` (an assembler and a classifier) defaults to a surrogate random
+    forest (100 trees, seed 42) fitted on the train rows of a hash split of
+    ``df``.  A feature is shuffled inside blocks of ``BLOCK_ROWS`` test rows of
+    a hashed order: random blocks, so the permuted column is independent of the
+    row as in one permutation of all rows, and a table of fewer rows is one block.
     """
     features = list(features)
     split = train_test_split(df, key, test_fraction, seed)
@@ -85,23 +140,27 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
     if model is None:
         model = M.fit_forest_classifier(train, features, label,
                                         {"n_estimators": 100, "max_features": "sqrt"})
-    test = test.select(key_text(test, key).alias("_key"), F.col(q(label)),
-                       *[F.col(q(f)).cast("double").alias(f) for f in features])
-    m = test.count()
-    blocks = max(1, math.ceil(m / PERM_BLOCK_ROWS))
-    copies = test.select("*", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(blocks)).alias("_blk"),
-                         F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
-                                             for f in features for r in range(n_repeats)])).alias("_fr"))
-    copies = copies.select("*", "_fr._f", "_fr._r").drop("_fr")
-    permuted = (copies.groupBy("_f", "_r", "_blk")
-                .applyInPandas(_permute_blocks(features, seed), copies.schema))
-    hit = (F.col("_pred") == F.col(q(label)).cast("double")).cast("double")
-    acc = (M.predict(model, permuted, "_pred").groupBy("_f", "_r").agg(F.avg(hit).alias("acc")))
-    b = M.predict(model, test, "_pred").agg(F.avg(hit)).first()[0]  # one number
+    x = F.array(*[F.col(q(f)).cast("double") for f in features])
+    kt = key_text(test, key)
+    test = test.select(F.xxhash64(kt, F.lit(seed)).alias("_h"), kt.alias("_key"),
+                       F.col(q(label)).cast("double").alias("_label"), x.alias("_x"))
+    test = numbered_blocks(test, ["_h", "_key", "_x", "_label"], BLOCK_ROWS).select("_blk", "_label", "_x")
+    copies = test.mapInArrow(_copies(len(features), n_repeats, seed),
+                             "_f int, _r int, _label double, _x array<double>")
+
+    def hits(rows: DataFrame) -> DataFrame:
+        vectors = rows.withColumn("features", array_to_vector("_x"))
+        last = model.stages[-1]
+        out = last.transform(vectors)
+        return out.withColumn("_hit", (F.col(last.getOrDefault("predictionCol")) == F.col("_label")).cast("double"))
+
+    b = hits(test).agg(F.avg("_hit")).first()[0]  # one number
+    acc = hits(copies).groupBy("_f", "_r").agg(F.avg("_hit").alias("acc"))
     drop = acc.withColumn("d", F.lit(b) - F.col("acc"))
-    result = (drop.groupBy(F.col("_f").alias("Feature"))
+    names = F.array(*[F.lit(f) for f in features])
+    result = (drop.groupBy(F.get(names, F.col("_f")).alias("Feature"))
               .agg(F.avg("d").alias("Importance Mean"), F.stddev_pop("d").alias("Importance Std")))
-    return small_result(result)  # one row per feature
+    return small_result(result, test)  # one row per feature
 
 
 def rank_importance(df: DataFrame, column: str | None = None) -> DataFrame:
@@ -118,8 +177,9 @@ def importance_report(models: dict, features, task: str, data: DataFrame | None
     parts = []
     for name, model in models.items():
         if task == "clustering":
-            labelled = M.attach_clusters(data, model)
+            labelled = M.attach_clusters(data, model).persist(StorageLevel.MEMORY_AND_DISK)
             imp = permutation_importance(labelled, features, "Cluster", key)
+            labelled.unpersist()
         else:
             imp = tree_importance(model, features)
         parts.append(imp.withColumn("strategy", F.lit(name)))

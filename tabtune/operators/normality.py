@@ -12,10 +12,10 @@ algorithm behind the common Shapiro-Wilk implementations:
 
 Distribution: the order statistics come from ``ranks.column_value_ranks``
 (range partitioned, no single-task sort).  A value repeated ``cnt`` times
-occupies ranks ``start+1..start+cnt``; the block is cut into chunks of at
-most ``CHUNK`` ranks, so a hot value (a third of all rows) becomes many
-small rows spread over tasks, and each chunk expands to one row per rank
-for the (codegen'd) m_i expression.
+occupies ranks ``start+1..start+cnt`` and takes part with the sum of their
+scores.  The scores depend on n alone: their sums over blocks of ranks are
+computed once for each distinct n, so a hot value (a third of all rows) costs
+two lookups and the ranks at its ends, and mm is not summed for each column.
 
 The summary per column (n, sum m_i x_(i), mm, x_(1), x_(2), x_(n-1), x_(n),
 sum of squares) turns into W, z and p with the SQL text of
@@ -24,14 +24,19 @@ sum of squares) turns into W, z and p with the SQL text of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import math
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabtune.functions.columns import numeric_columns, unpivot_numeric
 from tabtune.functions.formulas import lit_sql, norm_ppf_sql, norm_sf_sql, poly_sql
 from tabtune.operators.ranks import column_value_ranks, small_result
 
-CHUNK = 4096
+#: Least ranks of a block of scores.
+MIN_BLOCK = 1024
 
 # Royston (1995) AS R94 polynomial coefficients (constant term first).
 SW_C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
@@ -90,46 +95,72 @@ def shapiro_summary_steps() -> list[tuple[str, str]]:
     ]
 
 
+def _block(n: int) -> int:
+    """Ranks of a block of scores: near the root of n, so that neither the blocks
+    nor the ranks of one are many."""
+    return max(MIN_BLOCK, 1 << math.ceil(math.log2(max(n, 2)) / 2))
+
+
+def order_scores(spark: SparkSession, n: int) -> tuple[float, DataFrame]:
+    """Of the n expected normal order statistics: the sum of their squares, and
+    the sum of those before each block of ranks (n, blk, before).  Both depend
+    on n alone, so columns with as many values share them."""
+    block = _block(n)
+    m = F.expr(m_sql("(id + 1)", f"CAST({n} AS BIGINT)"))
+    sums = (spark.range(n).select(F.expr(f"id div {block}").alias("blk"), m.alias("m"))
+            .groupBy("blk").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("s2"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    upto = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)     # about the root of n rows
+    before = sums.select(F.lit(n).cast("long").alias("n"), "blk",
+                         F.coalesce(F.sum("s").over(upto), F.lit(0.0)).alias("before"))
+    last = sums.agg(F.sum("s2"), F.sum("s"), F.max("blk") + 1).first()
+    end = spark.createDataFrame([(n, last[2], last[1])], "n long, blk long, before double")
+    return float(last[0]), before.unionAll(end)
+
+
 def shapiro_summaries(ranked: DataFrame) -> DataFrame:
     """Per-column summary (column, n, mm, sm, ss, x1, x2, xn1, xn) from ranks.
 
-    Each value block is cut into chunks of at most ``CHUNK`` ranks (hot
-    values are spread over tasks when any block exceeds a chunk), then every
-    rank becomes a row so the normal-quantile expression runs in
-    whole-stage codegen; the partial aggregation collapses the rows again
-    before the shuffle."""
+    A value takes part with the sum of the scores of its ranks.  Up to two
+    blocks of ranks are added one by one; those of a value that is repeated
+    more often come from the sums of whole blocks and the ranks at either
+    end, so a value costs the same from some repeats to any number."""
+    spark = ranked.sparkSession
+    v, cnt, start = F.col("value"), F.col("cnt"), F.col("start")
     stats = (ranked.groupBy("column")
-             .agg((F.sum(F.col("value") * F.col("cnt")) / F.first("n")).alias("mean"),
-                  F.max("cnt").alias("max_cnt"))
+             .agg((F.sum(v * cnt) / F.first("n")).alias("mean"), F.max("cnt").alias("most"), F.first("n").alias("n"))
              .collect())  # one row per column
-    max_cnt = max((r["max_cnt"] for r in stats), default=0)
-    means = ranked.sparkSession.createDataFrame(
-        [(r["column"], r["mean"]) for r in stats], "column string, mean double")
-    chunks = (ranked
-              .withColumn("chunk", F.explode(F.sequence(
-                  F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / CHUNK).cast("long"))))
-              .withColumn("lo", F.col("start") + 1 + F.col("chunk") * CHUNK)
-              .withColumn("hi", F.least(F.col("start") + F.col("cnt"),
-                                        F.col("lo") + (CHUNK - 1))))
-    if max_cnt > CHUNK:
-        # hot values: spread their chunks over all tasks before expanding ranks
-        chunks = chunks.repartition("column", "value", "chunk")
-    ranks = (chunks.join(F.broadcast(means), "column")  # one row per column: bounded
-             .select("column", "value", "n", "mean",
-                     F.explode(F.sequence(F.col("lo"), F.col("hi"))).alias("i")))
-    m = F.expr(m_sql("i", "n"))
-    x, i, n = F.col("value"), F.col("i"), F.col("n")
-    summary = (ranks.withColumn("m", m)
-               .groupBy("column")
-               .agg(F.first("n").alias("n"),
-                    F.sum(x * F.col("m")).alias("sm"),
-                    F.sum(F.col("m") * F.col("m")).alias("mm"),
-                    F.sum(F.pow(x - F.col("mean"), 2)).alias("ss"),
-                    F.max(F.when(i == 1, x)).alias("x1"),
-                    F.max(F.when(i == 2, x)).alias("x2"),
-                    F.max(F.when(i == n - 1, x)).alias("xn1"),
-                    F.max(F.when(i == n, x)).alias("xn")))
-    return summary
+    tables = {n: order_scores(spark, n) for n in sorted({int(r["n"]) for r in stats})}
+    columns = spark.createDataFrame(
+        [(r["column"], float(r["mean"]), _block(r["n"]), tables[int(r["n"])][0]) for r in stats],
+        "column string, mean double, block long, mm double")
+    rows = ranked.join(F.broadcast(columns), "column")       # one row per column: bounded
+    block = F.col("block")
+    hot = cnt > 2 * block
+    first, last = F.ceil(start / block).cast("long"), F.floor((start + cnt) / block).cast("long")
+    ends = F.when(hot, F.array(F.struct((start + 1).alias("lo"), (first * block).alias("hi")),
+                               F.struct((last * block + 1).alias("lo"), (start + cnt).alias("hi")))).otherwise(
+        F.array(F.struct((start + 1).alias("lo"), (start + cnt).alias("hi"))))
+    pieces = rows.select("column", "value", "n", F.explode(ends).alias("e")).where("e.lo <= e.hi")
+    single = (pieces.select("column", "value", "n", F.explode(F.sequence("e.lo", "e.hi")).alias("i"))
+              .groupBy("column").agg(F.sum(F.col("value") * F.expr(m_sql("i", "n"))).alias("sm")))
+    if any(r["most"] > 2 * _block(r["n"]) for r in stats):
+        before = functools.reduce(DataFrame.unionAll, [t for _, t in tables.values()])
+        whole = rows.where(hot).select("column", "value", "n", F.explode(F.array(
+            F.struct(first.alias("blk"), F.lit(-1.0).alias("sign")),
+            F.struct(last.alias("blk"), F.lit(1.0).alias("sign")))).alias("e"))
+        whole = (whole.select("column", "value", "n", F.col("e.blk").alias("blk"), "e.sign").join(before, ["n", "blk"])
+                 .groupBy("column").agg(F.sum(F.col("value") * F.col("sign") * F.col("before")).alias("sm")))
+        single = single.unionAll(whole).groupBy("column").agg(F.sum("sm").alias("sm"))
+
+    def at(rank):       # the value that holds a rank
+        return F.max(F.when((start < rank) & (rank <= start + cnt), v))
+    n = F.col("n")
+    rest = rows.groupBy("column").agg(
+        F.first("n").alias("n"), F.first("mm").alias("mm"),
+        F.sum(cnt * F.pow(v - F.col("mean"), 2)).alias("ss"),
+        at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(n - 1).alias("xn1"), at(n).alias("xn"))
+    return rest.join(single, "column").select("column", "n", "sm", "mm", "ss", "x1", "x2", "xn1", "xn")
 
 
 def normality_from_summary(summary: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -7,8 +7,8 @@ bucket in [0, 10000).  No shuffle, stable under any partitioning, and the
 same text runs in DuckDB.
 
 ``exact=True`` reproduces the exact test size ``ceil(fraction * n)``
-(per class for the stratified split) through distributed ranks of the
-hash (ties broken by the key), never a single-task window.
+(per class for the stratified split): the threshold of the hash (ties broken
+by the key, then by a digest of the row) is selected by counting leading bits.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtune.functions.columns import q
-from tabtune.operators.ranks import value_ranks
+from tabtune.operators.select import near, radix_threshold
 
 BUCKETS = 10000
 
@@ -43,13 +43,13 @@ def hash_unit(df: DataFrame, key, seed: int = 42) -> "F.Column":
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
-def order_text(df: DataFrame, key, seed: int = 42) -> "F.Column":
-    """Sort key for exact splits: 15 hex digits of the hash, then the key,
-    then a digest of the whole row: only equal rows tie."""
-    kt = key_text(df, key)
-    h = F.md5(F.concat_ws(":", kt, F.lit(str(seed))))
-    row = F.md5(F.to_json(F.struct(*[F.col(q(c)) for c in df.columns]), {"ignoreNullFields": "false"}))
-    return F.concat_ws("|", F.substring(h, 1, 15), kt, row)
+def _hash60(text: "F.Column") -> "F.Column":
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def row_text(df: DataFrame) -> "F.Column":
+    """The whole row as text: only equal rows have the same."""
+    return F.to_json(F.struct(*[F.col(q(c)) for c in df.columns]), {"ignoreNullFields": "false"})
 
 
 def train_test_split(df: DataFrame, key=None, test_fraction: float = 0.2, seed: int = 42,
@@ -70,35 +70,41 @@ def stratified_split(df: DataFrame, label: str, key=None, test_fraction: float =
 
 
 def _exact_split(df, key, label, test_fraction, seed):
-    spark = df.sparkSession
-    grp = F.col(q(label)).cast("string") if label else F.lit("all")
-    ordered = df.withColumn("_grp", F.coalesce(grp, F.lit("\u0000null"))) \
-                .withColumn("_ord", order_text(df, key, seed))
-    counts = ordered.select("_grp", "_ord").groupBy("_grp", "_ord").agg(
-        F.count(F.lit(1)).alias("cnt"))
-    ranked = value_ranks(counts, "_grp", "_ord")
-    # the threshold of a class is the value holding its rank ceil(f * n) - 1:
-    # exactly one ranked row per class, found without leaving the executors
-    target = F.ceil(F.lit(float(test_fraction)) * F.col("n")) - 1
-    thr = (ranked.where((target >= 0) & (F.col("start") <= target)
-                        & (target < F.col("start") + F.col("cnt")))
-           .select("_grp", F.col("_ord").alias("_thr"), "cnt",
-                   (target + 1 - F.col("start")).alias("_need")))
-    thr = thr.persist(StorageLevel.MEMORY_AND_DISK_DESER)
-    n_thr = thr.count()
-    ranked.unpersist()
-    if n_thr <= 1_000_000:  # one row per class: checked before broadcasting
-        thr = F.broadcast(thr)
-    tied = not thr.where("cnt > _need").isEmpty()
-    out = ordered.join(thr, "_grp", "left")
-    if not tied:
-        below = F.col("_thr").isNotNull() & (F.col("_ord") <= F.col("_thr"))
-    else:  # of the equal rows at a threshold, as many as are needed
-        at = F.coalesce(F.col("_ord") == F.col("_thr"), F.lit(False))
-        edge = out.where(at).withColumn("_pos", F.row_number().over(
-            Window.partitionBy("_grp").orderBy("_ord")))
-        out = out.where(~at).withColumn("_pos", F.lit(0)).unionByName(edge)
-        below = F.col("_thr").isNotNull() & (
-            (F.col("_ord") < F.col("_thr")) | (at & (F.col("_pos") <= F.col("_need"))))
-    out = out.withColumn("split", F.when(below, "test").otherwise("train"))
-    return out.drop("_grp", "_ord", "_thr", "_pos", "_need", "cnt")
+    """Rows in the order of (15 hex digits of the key's hash, key, digest of
+    the row); the row at the threshold is found by counting leading bits
+    (``select.radix_threshold``), so this is a few narrow scans and no sort."""
+    grp = F.coalesce(F.col(q(label)).cast("string") if label else F.lit("all"), F.lit("\u0000null"))
+    kt = key_text(df, key)
+    h = _hash60(F.concat_ws(":", kt, F.lit(str(seed))))
+    digest = _hash60(row_text(df))
+    thr = radix_threshold(df.withColumns({"_grp": grp, "_h": h, "_key": kt}), test_fraction,
+                          "_grp", "_h", "_key", digest)
+    thr = thr.select("_grp", "thr_h", "thr_key", "thr_digest", F.col("cnt").alias("_cnt"),
+                     F.col("need").alias("_need"))
+    out = df.withColumn("_grp", grp).join(near(thr), "_grp", "left")
+    # Key and digest are compared for rows with the threshold's hash only.
+    place = (F.when(F.col("thr_h").isNull() | (h > F.col("thr_h")), 1).when(h < F.col("thr_h"), -1)
+             .when(kt != F.col("thr_key"), F.when(kt < F.col("thr_key"), -1).otherwise(1))
+             .when(digest == F.col("thr_digest"), 0).when(digest < F.col("thr_digest"), -1).otherwise(1))
+    out = out.withColumn("_place", place)
+    test = F.col("_place") <= 0
+    if not thr.where("_cnt > _need").isEmpty():     # of equal rows at a threshold, as many as are needed
+        out = out.where("_place <> 0").withColumn("_pos", F.lit(0).cast("long")).unionByName(
+            _numbered(out.where("_place = 0"), "_grp", "_pos"))
+        test = (F.col("_place") < 0) | ((F.col("_place") == 0) & (F.col("_pos") <= F.col("_need")))
+    return (out.withColumn("split", F.when(test, "test").otherwise("train"))
+            .drop("_grp", "thr_h", "thr_key", "thr_digest", "_cnt", "_need", "_place", "_pos"))
+
+
+def _numbered(rows: DataFrame, grp: str, name: str) -> DataFrame:
+    """Numbers from 1 within each group of equal rows: a count of each partition
+    and the place inside it, so that no group meets in one task."""
+    rows = (rows.withColumn("_part", F.spark_partition_id())
+            .withColumn("_row", F.monotonically_increasing_id())
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    sizes = rows.groupBy(grp, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(grp).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(grp, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(grp, "_part").orderBy("_row")      # rows of one task
+    return (rows.join(near(starts), [grp, "_part"])
+            .withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_part", "_row", "_start"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtune.functions.columns import categorical_columns, q, resolve_label
+from tabtune.functions.columns import categorical_columns, date_columns, q, require_flat, resolve_label
 from tabtune.operators.clean import clean
 from tabtune.operators.encode import apply_label_encoder, fit_label_encoder
 from tabtune.operators.scale import apply_scaler, fit_scaler, scaler_params
@@ -48,8 +48,15 @@ def transform(df: DataFrame, task: str, label: str | None = None, key=None,
 
     ``key`` names the row identifier column(s): they drive the hash split,
     are carried through unchanged (first) and are never features.
+
+    Numbers are features as they are; strings, booleans, dates and times are
+    categories.  A date or time that only test rows have gets the code after
+    the last one, whatever ``unseen`` says about the other categories.  Nested
+    columns raise an error that names them.
     """
     keys = [key] if isinstance(key, str) else list(key or [])
+    if task in (*SUPERVISED, "clustering"):
+        require_flat(df, exclude=keys)
     if task in SUPERVISED:
         label = resolve_label(df, label)
         features = [c for c in df.columns if c != label and c not in keys]
@@ -65,7 +72,10 @@ def transform(df: DataFrame, task: str, label: str | None = None, key=None,
         enc_cols = cats + ([label] if task == "classification" else [])
         mapping = fit_label_encoder(train, enc_cols) if enc_cols else None
         fmap = mapping.where(F.col("column") != label) if cats else None
-        out = apply_label_encoder(split, fmap, cats, unseen) if cats else split
+        out = split
+        dates = date_columns(df.select(*[F.col(q(c)) for c in features]))
+        for some, rule in (([c for c in cats if c not in dates], unseen), (dates, "keep")):
+            out = apply_label_encoder(out, fmap, some, rule) if some else out
         tmap = None
         if task == "classification":
             tmap = mapping.where(F.col("column") == label)

@@ -7,7 +7,11 @@ thread pool submits Spark ML jobs; the FAIR scheduler interleaves them on
 the executors).  The
 silhouette of the whole generation is computed in *one* job that shares
 the pairwise distance blocks between candidates.  K-Means candidates are
-Spark ML fits (seeded from all rows) that run concurrently like the forests.
+Spark ML fits (seeded from all rows) that run concurrently like the forests;
+their restarts come from ``models.RestartCache``, so each (k, seed) is fitted
+once as far as its iterations allow, and equal centres are scored once.
+The counts of restarts asked for and fitted stand in ``Scorer.n_asked`` and
+``Scorer.n_fits``.
 Within one strategy, candidates that decode to the same Spark ML parameters
 are scored once (memo), so the strategies' times compare.  A fitness that is
 not a number counts as missing: it never wins and is null in the history.
@@ -40,6 +44,7 @@ from tabtune.plans.strategies import make_strategy
 
 LEADER_NAME = "Metaheuristic Optimizer (Name)"
 TIME_COL = "Time taken (s)"
+FIT_COLS = ["Fits asked", "Fits run"]
 REGRESSION_COLS = ["mse", "rmse", "mae", "mape", "r2", "adjusted_r2", "explained_variance"]
 CLASSIFICATION_COLS = ["accuracy", "precision", "recall", "f1"]
 CLUSTERING_COLS = ["silhouette", "davies_bouldin", "calinski_harabasz"]
@@ -83,6 +88,7 @@ class Scorer:
     silhouette_sample: float = 1.0
     memo: dict = field(default_factory=dict)
     n_fits: int = 0
+    n_asked: int = 0
 
     def __post_init__(self):
         if self.task == "clustering" and not self.key:
@@ -95,19 +101,22 @@ class Scorer:
                     ["split"] if "split" in self.prepared.columns else [])]
         base = self.prepared.select(*[F.col(q(c)) for c in dict.fromkeys(cols)])
         # laid out once for all fits (see models.spread)
-        base = M.spread(base, self.key)
+        self.base = base = M.spread(base, self.key)
         if self.task in ("regression", "classification"):
             self.train = base.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
             self.test = base.where(F.col("split") == "test").persist(StorageLevel.MEMORY_AND_DISK)
             self.n_classes = (self.train.select(self.label).distinct().count()
                               if self.task == "classification" else None)
+            self.n_rows = self.train.count()
         else:
             self.data = base.persist(StorageLevel.MEMORY_AND_DISK)
             self.vectors = M.vectors(self.data, self.features).persist(StorageLevel.MEMORY_AND_DISK)
             self.n_classes = None
+            self.restarts = M.RestartCache(self.vectors)
+            self.scored = {}       # silhouette of each fitted restart
 
     def close(self):
-        for name in ("train", "test", "data", "vectors"):
+        for name in ("train", "test", "data", "vectors", "base"):
             if hasattr(self, name):
                 getattr(self, name).unpersist()
 
@@ -117,20 +126,29 @@ class Scorer:
 
     def _memo_key(self, p):
         if self.task == "clustering":
-            n_init = 1 if p.get("n_init") in (None, "auto") else int(p["n_init"])
-            return (int(p["n_clusters"]), int(p["max_iter"]), n_init)
-        sp = M.forest_params(p, len(self.features), self.task)
-        return tuple(sorted(sp.items()))
+            return (int(p["n_clusters"]), int(p["max_iter"]), M.n_restarts(p.get("n_init")))
+        sp = M.forest_params(p, len(self.features), self.task, n_rows=self.n_rows)
+        return (*sorted(sp.items()), p.get("class_weight") not in (None, "none"))
 
     # ---- fitting
+    def _restarts(self, some) -> list:
+        """The best restart of each parameter set; what is not cached yet is
+        fitted concurrently."""
+        wanted = [(int(p["n_clusters"]), int(p["max_iter"]), M.n_restarts(p.get("n_init"))) for p in some]
+        self.n_asked += sum(w[2] for w in wanted)
+        while todo := self.restarts.missing(wanted):
+            self.n_fits += len(todo)
+            self._concurrently(self.restarts.fit, {t: t for t in todo})
+        return [self.restarts.best(*w) for w in wanted]
+
     def fit(self, p):
+        if self.task == "clustering":
+            return M.kmeans_pipeline(self.features, self._restarts([p])[0].model)
+        self.n_asked += 1
         self.n_fits += 1
         if self.task == "regression":
-            return M.fit_forest_regressor(self.train, self.features, self.label, p, placed=True)
-        if self.task == "classification":
-            return M.fit_forest_classifier(self.train, self.features, self.label, p, placed=True)
-        return M.fit_kmeans(self.data, self.features, int(p["n_clusters"]), int(p["max_iter"]),
-                            p.get("n_init"), ready=self.vectors)
+            return M.fit_forest_regressor(self.train, self.features, self.label, p, placed=True, n_rows=self.n_rows)
+        return M.fit_forest_classifier(self.train, self.features, self.label, p, placed=True, n_rows=self.n_rows)
 
     def _in_pool(self, fn, args):
         """Run ``fn`` in its own FAIR scheduler pool, so that concurrent
@@ -174,14 +192,17 @@ class Scorer:
 
     def _score_clustering(self, todo: dict):
         # concurrent fits, then one labelling pass and one silhouette job for
-        # the whole generation
-        models = self._concurrently(self.fit, todo)
-        labelled, names = M.label_many(models, self.data)
-        sil = CM.silhouette_many(labelled, self.features, self.key, names,
-                                 sample=self.silhouette_sample)
-        got = {r["cand"]: r["silhouette"] for r in sil.collect()}  # one row per candidate
-        for i, k in enumerate(todo):
-            self.memo[k] = float(got.get(i) if got.get(i) is not None else float("nan"))
+        # the restarts of the generation that were not scored before
+        best = self._restarts(todo.values())
+        new = list({b.name: b for b in best if b.name not in self.scored}.values())
+        if new:
+            labelled, names = M.label_many([M.kmeans_pipeline(self.features, b.model) for b in new], self.data)
+            sil = CM.silhouette_many(labelled, self.features, self.key, names,
+                                     sample=self.silhouette_sample)
+            got = {r["cand"]: r["silhouette"] for r in sil.collect()}  # one row per candidate
+            for i, b in enumerate(new):
+                self.scored[b.name] = float(got.get(i) if got.get(i) is not None else float("nan"))
+        self.memo.update(zip(todo, (self.scored[b.name] for b in best)))
 
     # ---- final report of one parameter set (refit, full metrics)
     def report(self, p) -> tuple[dict, object]:
@@ -232,32 +253,34 @@ def run_search(scorer: Scorer, strategy="ga", epochs: int = 10, pop_size: int =
 def compare_strategies(prepared: DataFrame, task: str, features, label: str | None = None,
                        key: str | None = None, strategies=("aco", "ga", "pso", "sa"),
                        epochs: int = 10, pop_size: int = 10, seed: int = 42,
-                       parallelism: int = 4, silhouette_sample: float = 1.0):
+                       parallelism: int = 4, silhouette_sample: float = 1.0, wide: bool = False):
     """Run every strategy, refit its best parameters, report all metrics.
+    ``wide``: over the wide domains (see ``space``).
 
     Returns (leaderboard DataFrame, {strategy: PipelineModel}, history DataFrame).
     """
     spark = prepared.sparkSession
-    scorer = Scorer(prepared, task, list(features), label, key, parallelism,
+    scorer = Scorer(prepared, task, list(features), label, key, parallelism, wide,
                     silhouette_sample=silhouette_sample)
     rows, models, hist = [], {}, []
     names = list(_metric_names(task).values())
     try:
         for spec in strategies:
             scorer.memo.clear()
+            before = (scorer.n_asked, scorer.n_fits)
             t0 = time.perf_counter()
             params, fitness, h = run_search(scorer, spec, epochs, pop_size, seed)
             elapsed = time.perf_counter() - t0
             metrics, model = scorer.report(params)
             strat_name = make_strategy(spec, pop_size, seed).name
             models[strat_name] = model
-            rows.append((strat_name, *[metrics[n] for n in names], elapsed,
-                         json.dumps(params, default=str)))
+            rows.append((strat_name, *[metrics[n] for n in names], elapsed, scorer.n_asked - before[0],
+                         scorer.n_fits - before[1], json.dumps(params, default=str)))
             hist += h
     finally:
         scorer.close()
     schema = (f"`{LEADER_NAME}` string, " + ", ".join(f"`{n}` double" for n in names)
-              + f", `{TIME_COL}` double, best_params string")
+              + f", `{TIME_COL}` double, " + ", ".join(f"`{n}` long" for n in FIT_COLS) + ", best_params string")
     board = spark.createDataFrame(rows, schema)
     history = spark.createDataFrame(
         hist, "strategy string, generation int, agent int, fitness double, params string")

@@ -8,6 +8,8 @@ floating NaN is treated as missing by every operator.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +42,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
         df = reader.parquet(path) if fmt == "parquet" else reader.format(fmt).load(path)
         return nan_to_null(df) if nan_as_null else df
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
-    # Quoted fields may hold line breaks and doubled quotes.
-    reader = (spark.read.option("header", True).option("mode", "FAILFAST")
-              .option("multiLine", True).option("escape", '"'))
-    # Read as text first so NA tokens become null before types are applied.
-    text = reader.option("inferSchema", False).csv(path)
+    text = _csv_text(spark, path)
     cleaned = text.select(*[F.when(F.trim(F.col(q(c))).isin(tokens), F.lit(None))
                             .otherwise(F.col(q(c))).alias(c) for c in text.columns])
     if schema is not None:
@@ -58,6 +56,29 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
     return nan_to_null(inferred)
 
 
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text; quoted fields may hold line breaks and doubled quotes.
+
+    A file with a quoted line break has to be read as a whole.  Such a break
+    leaves a line with an odd number of quotes, so the lines are counted first,
+    with the splittable text reader; all other files are read in splits."""
+    reader = (spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
+              .option("inferSchema", False))
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    # one row a file with such a line reaches the driver
+    broken = sorted(r[0] for r in lines.where(quotes % 2 == 1).select(
+        F.col("_metadata.file_path")).distinct().collect())
+    if not broken:
+        return reader.csv(path)
+    whole = reader.option("multiLine", True)
+    plain = sorted({unquote(f) for f in lines.inputFiles()} - {unquote(f) for f in broken})
+    if not plain:
+        return whole.csv(path)
+    names = whole.csv(path).schema          # of the first file, as in one read
+    return reader.schema(names).csv(plain).unionAll(whole.schema(names).csv([unquote(f) for f in broken]))
+
+
 def _infer_types(df: DataFrame) -> DataFrame:
     """Per column the narrowest of int, bigint, double, boolean, string that
     every non-null value parses as (one aggregation over all columns)."""

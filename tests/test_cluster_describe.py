@@ -121,21 +121,74 @@ def test_eda_report_and_flag_union(spark):
     assert b["n_rows_flagged"] == ev.count() - C.drop_outliers(ev).count()
 
 
-def test_correlation_is_pairwise_at_every_width(spark, monkeypatch):
+def test_correlation_is_pairwise_at_every_width(spark):
+    """More than 200 columns, with nulls, NaN, constant and far-off columns."""
+    import numpy as np
+    import pandas as pd
     from tabtune.operators import describe as D
-    rows = [(float(i % 7), float(i * i % 11), None if i % 2 else float(i)) for i in range(40)]
-    df = spark.createDataFrame(rows, "a double, b double, h double")
-    want = {(r.col_a, r.col_b): r.r for r in D.correlation_matrix(df).collect()}
-    monkeypatch.setattr(D, "PAIR_BLOCK", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 210)) + rng.normal(size=(150, 1))
+    x[:, 3] = 1e9 + x[:, 3]
+    x[:, 4] = 0.1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    cols = [f"c{i}" for i in range(x.shape[1])]
+    rows = [[None if np.isnan(v) and j % 2 else float(v) for j, v in enumerate(r)] for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
     got = {(r.col_a, r.col_b): r.r for r in D.correlation_matrix(df).collect()}
-    assert got == want and len(got) == 9
+    want = pd.DataFrame(x, columns=cols).corr()
+    assert len(got) == 210 * 210
+    for a in cols:
+        for b in cols:
+            w = want.loc[a, b]
+            assert got[a, b] is None if a == "c4" or b == "c4" else abs(got[a, b] - w) < 1e-6
+    assert {D.correlation_matrix(df.limit(0)).where("r IS NOT NULL").count()} == {0}
 
 
 def test_histogram_with_a_far_outlier(spark):
+    """Bins of numpy's rule, also where nearly all of them are empty."""
+    import collections
+    import math
     from tabtune.operators import describe as D
-    df = spark.createDataFrame([(float(i),) for i in range(1000)] + [(1e15,)], "x double")
-    out = D.histograms(df)
-    assert out.count() == D.MAX_BINS and out.agg({"count": "sum"}).first()[0] == 1001
+    x = [float(i) for i in range(1000)] + [1e12]
+    out = D.histograms(spark.createDataFrame([(v,) for v in x], "x double")).collect()
+    width = min(2 * 500.0 * 1001 ** (-1 / 3), 1e12 / (math.log2(1001) + 1))
+    bins = math.ceil(1e12 / width)
+    assert bins > 100_000
+    want = collections.Counter(min(math.floor(v * (bins / 1e12)), bins - 1) for v in x)
+    assert {r.bin: r["count"] for r in out} == want and max(r.hi for r in out) == 1e12
+    small = [float(v) for v in (1, 2, 2, 3, 3, 3, 9)]
+    import numpy as np
+    counts, _ = np.histogram(small, bins="auto")
+    got = {r.bin: r["count"] for r in D.histograms(spark.createDataFrame([(v,) for v in small], "x double")).collect()}
+    assert got == {i: n for i, n in enumerate(counts) if n}
+
+
+def test_summary_of_clusters_against_formulas(spark):
+    import numpy as np
+    from tabtune.operators import cluster_metrics as CM
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)) * 0.1 + 1e6
+    lab = rng.integers(0, 4, 90)
+    rows = [(*map(float, r), int(k), i) for i, (r, k) in enumerate(zip(x, lab))]
+    rows += [(None, 1.0, 1.0, 0, 900), (1.0, 1.0, 1.0, None, 901)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, l int, id int")
+    cents = [x[lab == k].mean(0) for k in range(4)]
+    within = sum(((x[lab == k] - cents[k]) ** 2).sum() for k in range(4))
+    between = sum((lab == k).sum() * ((cents[k] - x.mean(0)) ** 2).sum() for k in range(4))
+    s = [np.sqrt(((x[lab == k] - cents[k]) ** 2).sum(1)).mean() for k in range(4)]
+    db = np.mean([max((s[i] + s[j]) / np.linalg.norm(cents[i] - cents[j]) for j in range(4) if i != j) for i in range(4)])
+    assert CM.calinski_harabasz(df, ["a", "b", "c"], "l").first()[0] == pytest.approx((between / 3) / (within / 86), rel=1e-6)
+    assert CM.davies_bouldin(df, ["a", "b", "c"], "l").first()[0] == pytest.approx(db, rel=1e-6)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sil = []
+    for i in range(90):
+        own = lab == lab[i]
+        a = d[i, own].sum() / max(1, own.sum() - 1)
+        b = min(d[i, lab == k].mean() for k in range(4) if k != lab[i])
+        sil.append((b - a) / max(a, b))
+    for block in (2048, 20, 7):
+        got = CM.silhouette(df.where("id < 900"), ["a", "b", "c"], "l", "id", block_rows=block).first()[0]
+        assert got == pytest.approx(np.mean(sil), abs=1e-4)      # squared by a dot product, 10^6 from 0
 
 
 def test_davies_bouldin_in_blocks(spark, monkeypatch):

@@ -110,3 +110,54 @@ def test_fewer_than_three_values_give_nulls(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "x double, y double")
     got = {r["column"]: r for r in normality_test(df).collect()}
     assert got["x"]["w"] is None and got["x"]["is_normal"] is None and got["y"]["n"] == 1
+
+
+# Samples with W and p as statistics packages print them.
+KNOWN = [
+    ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.78881, 0.006704),
+    ([21.0, 21.0, 22.8, 21.4, 18.7, 18.1, 14.3, 24.4, 22.8, 19.2, 17.8, 16.4, 17.3, 15.2, 10.4, 10.4, 14.7, 32.4,
+      30.4, 33.9, 21.5, 15.5, 15.2, 13.3, 19.2, 27.3, 26.0, 30.4, 15.8, 19.7, 15.0, 21.4], 0.94756, 0.1229),
+]
+
+
+@pytest.mark.parametrize("x, w, p", KNOWN)
+def test_known_w_and_p(spark, x, w, p):
+    r = normality_test(spark.createDataFrame([(float(v),) for v in x], "x double"), ["x"]).first()
+    assert r["w"] == pytest.approx(w, abs=6e-6) and r["p"] == pytest.approx(p, rel=1e-3)
+
+
+def test_hot_values_come_from_block_sums(spark):
+    """Values repeated far more often than a block has ranks, given as counts."""
+    from tabtune.operators.normality import normality_from_summary, shapiro_summaries
+    counts = [(-2.0, 3), (-1.0, 400_000), (0.5, 900_000), (1.5, 5000), (3.0, 100_001), (9.0, 1)]
+    n = sum(c for _, c in counts)
+    rows, start = [], 0
+    for v, c in counts:
+        rows.append(("x", v, c, start, n))
+        start += c
+    ranked = spark.createDataFrame(rows, "column string, value double, cnt long, start long, n long")
+    r = normality_from_summary(shapiro_summaries(ranked)).first()
+    assert r["n"] == n and r["w"] == pytest.approx(brute_fast([v for v, _ in counts], [c for _, c in counts]), rel=1e-9)
+
+
+def brute_fast(values, counts):
+    """W with the engine's quantile formula, vectorised."""
+    from tabtune.functions import formulas as fm
+    x = np.repeat(values, counts)
+    n = len(x)
+    p = (np.arange(1, n + 1) - 0.375) / (n + 0.25)
+    low, high = p < fm.ACKLAM_P_LOW, p > 1 - fm.ACKLAM_P_LOW
+    q = p - 0.5
+    m = q * np.polyval(fm.ACKLAM_A, q * q) / np.polyval(fm.ACKLAM_B, q * q)
+    for side, tail, sign in ((low, p, 1.0), (high, 1 - p, -1.0)):
+        t = np.sqrt(-2 * np.log(tail[side]))
+        m[side] = sign * np.polyval(fm.ACKLAM_C, t) / np.polyval(fm.ACKLAM_D, t)
+    mm, u = (m * m).sum(), 1 / math.sqrt(n)
+    c1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+    c2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+    an = m[-1] / math.sqrt(mm) + np.polyval(c1[::-1], u)
+    an1 = m[-2] / math.sqrt(mm) + np.polyval(c2[::-1], u)
+    phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2)
+    a = m / math.sqrt(phi)
+    a[-1], a[0], a[-2], a[1] = an, -an, an1, -an1
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()

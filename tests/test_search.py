@@ -119,3 +119,107 @@ def test_clustering_search_leaderboard(spark, tmp_path):
     for s in ("GA", "SA"):
         bs = [r["best_so_far"] for r in h if r["strategy"] == s]
         assert bs == sorted(bs)
+
+
+def test_restart_cache_equals_plain_fits(spark):
+    """Over cut and converged fits, in any order of asking."""
+    from pyspark.ml.clustering import KMeans
+    from tabtune.operators import models as M
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.6, (40, 2)) for c in ((0, 0), (4, 0), (0, 4), (5, 5))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").coalesce(1)
+    data = M.vectors(df, ["a", "b"]).persist()
+    cache = M.RestartCache(data)
+    wanted = [(k, m, n) for k in (2, 4) for m in (30, 1, 3, 100) for n in (1, 3)]
+    fits = 0
+    while todo := cache.missing(wanted):
+        fits += len(todo)
+        for job in todo:
+            cache.fit(job)
+    assert fits < sum(n for *_, n in wanted)
+    for k, m, n in wanted:
+        plain = [KMeans(k=k, maxIter=m, seed=M.SEED + r, featuresCol="features").fit(data) for r in range(n)]
+        best = min(plain, key=lambda f: f.summary.trainingCost)
+        got = cache.best(k, m, n)
+        assert got.cost == best.summary.trainingCost
+        assert np.array_equal(got.model.clusterCenters(), best.clusterCenters())
+
+
+def test_wide_space_domains():
+    space = {p.name: p for p in SPC.space_for("RandomForestClassifier", wide=True)}
+    assert (space["n_estimators"].lb, space["n_estimators"].ub) == (1, 100)
+    assert (space["min_samples_leaf"].lb, space["min_samples_leaf"].ub) == (2, 100)
+    assert (space["min_impurity_decrease"].lb, space["min_impurity_decrease"].ub) == (1.0, 100.0)
+    assert space["max_samples"].values == ("none", 5, 10, 15)
+    assert space["class_weight"].values == ("none", "balanced", "balanced_subsample")
+    assert "class_weight" not in {p.name for p in SPC.space_for("RandomForestRegressor", wide=True)}
+    kmeans = {p.name: p for p in SPC.space_for("KMeans", wide=True)}
+    assert (kmeans["n_clusters"].ub, kmeans["max_iter"].lb, kmeans["n_init"].values[-1]) == (20, 100, 20)
+    p = SPC.repair({"bootstrap": False, "oob_score": True, "max_samples": 5, "monotonic_cst": -1,
+                    "class_weight": "balanced", "warm_start": True}, "RandomForestClassifier", 2)
+    assert p == {"bootstrap": False, "oob_score": False, "max_samples": None, "monotonic_cst": None,
+                 "class_weight": "balanced", "warm_start": False}
+
+
+def test_wide_search_with_weights_and_rows(spark):
+    from tabtune.operators import models as M
+    labels = table(spark, "labels").withColumnRenamed("toxic", "x")
+    from pyspark.sql import functions as F
+    prep = labels.withColumn("split", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train"))
+    board, _, _ = G.compare_strategies(prep, "classification", ["x"], "quality", "doc_id", strategies=("ga",),
+                                       epochs=1, pop_size=2, wide=True)
+    assert board.count() == 1 and board.first()["Fits run"] >= 1
+    assert M.forest_params({"max_samples": 5}, 3, "regression", n_rows=50)["subsamplingRate"] == 0.1
+    rows = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10 + [(None,)] * 2, "y int")
+    got = {(r.y, round(r.w, 6)) for r in M.class_weights(rows.where("y IS NOT NULL"), "y", "w").collect()}
+    assert got == {(0, round(40 / 60, 6)), (1, 2.0)}
+
+
+def test_permutation_importance_against_brute_force(spark, monkeypatch):
+    """The same permutations made by hand, block by block."""
+    from pyspark.sql import functions as F
+    from tabtune.operators import importance as I
+    from tabtune.operators import models as M
+    from tabtune.operators.split import key_text, train_test_split
+    monkeypatch.setattr(I, "BLOCK_ROWS", 17)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3)).round(3)
+    rows = [(i, *map(float, v), int(v[0] + 0.3 * v[1] > 0)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, Cluster int").repartition(5)
+    feats = ["a", "b", "c"]
+    split = train_test_split(df, "id")
+    model = M.fit_forest_classifier(split.where("split = 'train'"), feats, "Cluster", {"n_estimators": 5, "max_depth": 4})
+    got = {r["Feature"]: r for r in I.permutation_importance(df, feats, key="id", n_repeats=3, model=model).collect()}
+    test = split.where("split = 'test'").withColumn("h", F.xxhash64(key_text(df, "id"), F.lit(42))).orderBy("h").collect()
+    n = len(test)
+    blocks = -(-n // 17)
+    block = np.array([i * blocks // n for i in range(n)])
+    y = np.array([r.Cluster for r in test])
+
+    def accuracy(m):
+        frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(m)], "i int, a double, b double, c double")
+        p = {r.i: r.prediction for r in M.predict(model, frame).collect()}
+        return np.mean([p[i] == y[i] for i in range(n)])
+    base = np.array([[r.a, r.b, r.c] for r in test])
+    for f, name in enumerate(feats):
+        drops = []
+        for r in range(3):
+            m = base.copy()
+            for b in range(blocks):
+                own = np.flatnonzero(block == b)
+                m[own, f] = base[own, f][I.permutation(42, f, r, b, len(own))]
+            drops.append(accuracy(base) - accuracy(m))
+        assert got[name]["Importance Mean"] == pytest.approx(np.mean(drops), abs=1e-12)
+        assert got[name]["Importance Std"] == pytest.approx(np.std(drops), abs=1e-12)
+
+
+def test_linear_importance(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from tabtune.operators import importance as I
+    df = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i - 5.0 * (i % 3)) for i in range(30)], "a double, b double, y double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+                             LinearRegression(labelCol="y")]).fit(df)
+    got = {r["Feature"]: r["Importance"] for r in I.linear_importance(model, ["a", "b"]).collect()}
+    assert got["a"] == pytest.approx(2.0, abs=1e-6) and got["b"] == pytest.approx(5.0, abs=1e-6)

@@ -99,3 +99,25 @@ def test_csv_like_a_data_frame_reader(spark, tmp_path):
     assert given.orderBy("code").collect() == df.orderBy("code").collect()
     with pytest.raises(ValueError):
         read_table(spark, str(path), schema="code string")
+
+
+def test_csv_files_are_split_unless_a_quoted_break_needs_the_whole(spark, tmp_path):
+    from tabtune.sources.tables import read_table
+    plain = "a,b,c\n" + "".join(f'{i},"x, {i}",say ""{i}""\n' for i in range(4000))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one file.csv").write_text(plain)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = read_table(spark, str(tmp_path / "in"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 4000
+        assert dict(df.dtypes)["a"] == "int" and df.where("a = 17").first()["b"] == "x, 17"
+        (tmp_path / "in" / "two.csv").write_text('a,b,c\n-1,"line one\nline ""two""",z\n-2,NA,z\n')
+        both = read_table(spark, str(tmp_path / "in"))
+        assert both.count() == 4002 and both.where("a = -1").first()["b"] == 'line one\nline "two"'
+        assert both.where("a = -2").first()["b"] is None and both.rdd.getNumPartitions() > 4
+        (tmp_path / "in2").mkdir()
+        (tmp_path / "in2" / "two.csv").write_text('a,b\n1,"x\ny"\n')
+        assert read_table(spark, str(tmp_path / "in2")).first()["b"] == "x\ny"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -97,3 +97,29 @@ def test_exact_split_with_equal_keys(spark):
             assert out.columns == ["k", "v", "c", "split"]
     odd = spark.createDataFrame([("x:y", "z"), ("x", "y:z"), ("x:y:z", None)] * 5, "a string, b string")
     assert SP.train_test_split(odd, exact=True).where("split = 'test'").count() == 3
+
+
+def test_dates_are_categories_with_a_code_for_unseen_ones(spark):
+    import datetime
+    rows = [(i, datetime.date(2020, 1, 1 + i % 3 if i < 40 else 20 + i % 5), datetime.datetime(2021, 1, 1, i % 2),
+             i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, d date, t timestamp, y int")
+    out, state = P.transform(df, "classification", "y", key="id")
+    assert state.features == ["d", "t"] and set(state.categorical) == {"d", "t"}
+    assert out.where("d IS NULL OR t IS NULL").count() == 0
+    split = SP.train_test_split(df, "id")
+    known = sorted({str(r.d) for r in split.where("split = 'train'").collect()})
+    codes = {r.id: (known.index(str(r.d)) if str(r.d) in known else len(known)) for r in split.collect()}
+    want = [codes[r.id] for r in split.where("split = 'train'").collect()]
+    mean, std = sum(want) / len(want), (sum(w * w for w in want) / len(want) - (sum(want) / len(want)) ** 2) ** 0.5
+    assert all(r.d == pytest.approx((codes[r.id] - mean) / std) for r in out.collect())
+    assert P.transform(df.drop("y"), "clustering", key="id")[0].count() == 60
+
+
+def test_nested_columns_are_named_before_any_job(spark):
+    df = spark.createDataFrame([(1, [1.0], {"a": 1}, 0)], "id int, v array<double>, m map<string,int>, y int")
+    for task in ("regression", "classification", "clustering"):
+        with pytest.raises(ValueError, match="v .array.*m .map"):
+            P.transform(df, task, "y", key="id")
+    out, _ = P.transform(df.drop("v", "m"), "regression", "y", key="id")
+    assert "v" not in out.columns
