@@ -27,7 +27,6 @@ documents of their own; an empty table gives none; other columns are not read.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 from collections.abc import Iterator
@@ -47,7 +46,7 @@ BYTE_BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_3
 #: Pairs of ids whose counts are broadcast, at most.
 HOT = 1 << 20
 #: Bytes of text that are aligned together; a longer text comes alone.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 #: Pairs of one group beyond which its distinct ids are paired, some rows at a time.
 LARGE = 1 << 16
 
@@ -74,9 +73,8 @@ class ByteBpe:
         self.tokens = [b""] * size
         for piece, i in vocab.items():
             self.tokens[i] = bytes(table[c] for c in piece)
-        ranked = self._ranked(own)
-        self.encode = self._by_rank if ranked else self._by_merges
-        if ranked:
+        self.ranked = self._ranked(own)
+        if self.ranked:
             import tiktoken
             self.engine = tiktoken.Encoding("own", pat_str=WORDS, special_tokens={}, mergeable_ranks={
                 t: i for i, t in enumerate(self.tokens) if t})
@@ -98,10 +96,9 @@ class ByteBpe:
         return (len(single) == 256 and len(made) + 256 == len(vocab) and all(np.diff(made) > 0)
                 and min(made, default=256) > max(single))
 
-    def _by_rank(self, texts: list[str]) -> list[list[int]]:
-        return [self.engine.encode_ordinary(t) for t in texts]
-
-    def _by_merges(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return [self.engine.encode_ordinary(t) for t in texts]
         return [e.ids for e in self.engine.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -295,12 +292,12 @@ def _mapped(docs: DataFrame, id_col: str, text: str, what: str, kinds: str, byte
     for path in (byte_bpe, pieces):
         with open(path, "rb") as f:
             files.append(f.read())
-    sent = docs.sparkSession.sparkContext.broadcast([base64.b64encode(f) for f in files])
+    sent = docs.sparkSession.sparkContext.broadcast({"files": files})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = None
+        held = sent.value       # a worker keeps it, and so the tokenizers, from task to task
+        aligner = held.get("aligner") or held.setdefault("aligner", Aligner(*held["files"]))
         for batch in batches:
-            aligner = aligner or Aligner(*map(base64.b64decode, sent.value))
             at = 0
             for some in _parts(batch.column(1)):
                 out = getattr(aligner, what)(some)
