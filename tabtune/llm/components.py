@@ -9,7 +9,8 @@ from tabtune.llm.frames import saved
 
 
 def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo") % 1000003)).first())
+    """Number of edges and the sum of their whole hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabtune.llm import words as W
 from tabtune.llm.components import components
-from tabtune.llm.frames import saved
+from tabtune.llm.frames import fresh, saved
 
 SHINGLE, K, WIDE = 5, 64, 256
 SIGMAS = 6.0
@@ -65,9 +65,11 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[W.Part, np.ndarray, np.ndar
         yield part, np.searchsorted(doc, np.arange(part.rows + 1)), value
 
 
-def sketches(docs: DataFrame, id_col: str, text: str, k: int = K) -> DataFrame:
-    """doc, n (set size), s1 and s2 (hash of the set), sketch."""
+def sketches(docs: DataFrame, id_col: str, text: str, k: int = K, key: Column | None = None) -> DataFrame:
+    """doc, n (set size), s1 and s2 (hash of the set), sketch and, if asked, a
+    binary key."""
     schema = "doc bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>"
+    schema += ", key binary" if key is not None else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +79,13 @@ def sketches(docs: DataFrame, id_col: str, text: str, k: int = K) -> DataFrame:
                 place = np.arange(len(value)) - np.repeat(offs[:-1], size)
                 kept = np.concatenate([[0], np.cumsum(np.minimum(size, k))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(kept), pa.array(value[place < k]))
+                own = [c.slice(part.row, part.rows) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.row, part.rows), pa.array(size), pa.array(s1),
-                     pa.array(s2), lists], names=["doc", "n", "s1", "s2", "sketch"])
+                    [own[0], pa.array(size), pa.array(s1), pa.array(s2), lists, *own[2:]],
+                    names=["doc", "n", "s1", "s2", "sketch"] + ["key"] * (len(own) - 2))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+    extra = [key.alias("key")] if key is not None else []
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), *extra).mapInArrow(run, schema)
 
 
 def set_hashes(offs: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +98,14 @@ def set_hashes(offs: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def needed(n: Column, k: int, t: float) -> Column:
-    """Values that a set of size n shares with any partner's sketch at least."""
+def needed(n: Column, k: int, t: float, sigmas: float | None) -> Column:
+    """Values that a set of size n shares with any partner's sketch at least;
+    without ``sigmas`` nothing is taken from chance, and one value is enough to
+    meet.  (Sketches of sets no larger than k are the sets.)"""
+    if sigmas is None:
+        return F.when(n <= k * t, F.ceil(t * n)).otherwise(1).cast("int")
     spread = F.sqrt(F.greatest(F.lit(0.0), k * t * (1 - t) * (1 - t * k / n)))
-    return F.greatest(F.lit(1), F.floor(F.least(F.ceil(t * n), t * k - SIGMAS * spread))).cast("int")
+    return F.greatest(F.lit(1), F.floor(F.least(F.ceil(t * n), t * k - sigmas * spread))).cast("int")
 
 
 def _shared(classes: DataFrame) -> DataFrame:
@@ -107,33 +115,35 @@ def _shared(classes: DataFrame) -> DataFrame:
     return postings.join(often, "v")
 
 
-def screened(classes: DataFrame, k: int, t: float) -> DataFrame:
+def screened(classes: DataFrame, k: int, t: float, sigmas: float | None) -> DataFrame:
     """c of the classes that share enough values with others."""
     counts = _shared(classes).groupBy("c", "n").agg(F.count(F.lit(1)).alias("m"))
-    return counts.where(F.col("m") >= needed(F.col("n"), k, t)).select("c")
+    return counts.where(F.col("m") >= needed(F.col("n"), k, t, sigmas)).select("c")
 
 
-def prefixes(classes: DataFrame, k: int, t: float) -> DataFrame:
+def prefixes(classes: DataFrame, k: int, t: float, sigmas: float | None) -> DataFrame:
     """(v, often, c, n, rest): the values in which a class can meet a partner,
     and how many of its values come no earlier in the order."""
     shared = _shared(classes).groupBy("c", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("x"))    # k at most
-    shared = shared.withColumn("m", F.size("x") - needed(F.col("n"), k, t) + 1).where("m > 0")
+    shared = shared.withColumn("m", F.size("x") - needed(F.col("n"), k, t, sigmas) + 1).where("m > 0")
     placed = shared.select("c", "n", F.size("x").alias("of"),
                            F.posexplode(F.slice("x", F.lit(1), F.col("m"))).alias("i", "x"))
     return placed.select("x.v", F.col("x.df").alias("often"), "c", "n", (F.col("of") - F.col("i")).alias("rest"))
 
 
-def common(n: Column, m: Column, k: int, t: float) -> Column:
+def common(n: Column, m: Column, k: int, t: float, sigmas: float | None) -> Column:
     """Values that the sketches of two sets of sizes n and m with similarity
     t share at least.  The sets share i >= t (n + m) / (1 + t); the sketches
     share the smaller of two numbers, each hypergeometric (see ``needed``)."""
+    if sigmas is None:
+        return F.lit(1)
     both = t / (1 + t) * (n + m)
     bounds = []
     for size in (n, m):
         held = F.least(F.lit(k), size)
         p = F.least(F.lit(1.0), both / size)
-        bounds.append(held * p - SIGMAS * F.sqrt(held * p * (1 - p) * (1 - held / size)))
+        bounds.append(held * p - sigmas * F.sqrt(held * p * (1 - p) * (1 - held / size)))
     return F.least(*bounds) - 1e-6
 
 
@@ -146,7 +156,7 @@ def _lists(column: pa.Array, rows: int, width: int) -> np.ndarray:
     return out
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, k: int, t: float) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, k: int, t: float, sigmas: float | None) -> DataFrame:
     """Pairs whose union sketch does not rule out similarity t: a, b, est and
     whether est is the exact similarity.
 
@@ -173,7 +183,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, t: float) -> DataFra
                 size = (~twice & inside).sum(axis=1)
                 # A union with similarity t is at most 1 / t as large as the smaller set.
                 spread = np.sqrt(np.maximum(0, size * t * (1 - t) * (1 - t * size / np.minimum(*n))))
-                fits = np.where(whole, 100 * both >= at * size, both >= size * t - SIGMAS * spread - 1e-6)
+                fits = np.where(whole, 100 * both >= at * size, sigmas is None or both >= size * t - sigmas * spread - 1e-6)
                 keep = pa.array(fits)
                 yield pa.RecordBatch.from_arrays(
                     [x.filter(keep) for x in (some.column(0), some.column(1), pa.array(both / size), pa.array(whole))],
@@ -219,6 +229,15 @@ def _with_root(df: DataFrame, stars: DataFrame | None, node: str, root: str) ->
             .withColumn(root, F.coalesce("_root", node)).drop("_n", "_root"))
 
 
+def _in_order(lists: DataFrame) -> DataFrame:
+    """The lists' rows with the lists in which their class stands earlier in
+    the order of values (as few as a prefix has)."""
+    own = lists.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("often", "v", "n", "rest", "rank"))).alias("x"))
+    return own.select("c", "x", F.posexplode("x").alias("i", "y")).select(
+        "y.v", "c", "y.n", "y.rest", "y.rank",
+        F.transform(F.slice("x", F.lit(1), F.col("i")), lambda e: e["v"]).alias("before"))
+
+
 def _starts(lists: DataFrame) -> DataFrame:
     """One pair (a, b) for each class that is not first in all its lists."""
     first = lists.groupBy("v").agg(F.min_by("c", "rank").alias("h"))
@@ -227,14 +246,15 @@ def _starts(lists: DataFrame) -> DataFrame:
     return best.select(F.greatest("c", "x.h").alias("a"), F.least("c", "x.h").alias("b")).distinct()
 
 
-def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float = 0.75) -> DataFrame | None:
+def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float = 0.75,
+         sigmas: float | None = SIGMAS) -> DataFrame | None:
     """Stars (hi, lo) over the classes; ``texts_of`` gives (c, text) for
     classes in a table with column c.  None where nothing meets."""
-    texts = saved(texts_of(screened(classes, k, t)), "met-texts")
+    texts = saved(texts_of(screened(classes, k, t, sigmas)), "met-texts")
     classes = saved(sketches(texts, "c", "text", wide).select(F.col("doc").alias("c"), "n", "sketch"),
                     "wide-sketches")
     k = wide
-    lists = saved(prefixes(classes, k, t), "prefixes")
+    lists = saved(prefixes(classes, k, t, sigmas), "prefixes")
     # Lists of the same members give the same pairs: the first in the order of
     # values, where all of them have the most values left, stands for the rest.
     member = F.xxhash64("c")
@@ -244,12 +264,13 @@ def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float =
     size = alike.groupBy("df", "x", "y").agg(F.min(F.struct("often", "v")).alias("z")).select("z.v", "df")
     # A member's place in its lists: uniform in [0, 1), the same in all of them.
     place = member.bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    lists = saved(lists.join(saved(size, "sizes"), "v").withColumn("rank", place * F.col("df")), "lists")
+    lists = lists.join(saved(size, "sizes"), "v").withColumn("rank", place * F.col("df"))
+    lists = saved(_in_order(lists), "lists")
     if lists.isEmpty():
         return None
     classes = saved(classes.join(lists.select("c").distinct(), "c", "left_semi"), "met-sketches")
 
-    found = estimated(_starts(lists), classes, k, t)
+    found = estimated(_starts(lists), classes, k, t, sigmas)
     stars = components(saved(verified(saved(found, "estimated"), texts, t), "links"))
     low, high = 0.0, float(GROWTH)
     while True:
@@ -259,33 +280,27 @@ def link(classes: DataFrame, texts_of, k: int = K, wide: int = WIDE, t: float =
         if rows.isEmpty():
             return stars
         hubs = rows.where(F.col("rank") < high).select("v", F.col("root").alias("h_root"), *[
-            F.col(x).alias(f"h_{x}") for x in ("c", "n", "rest", "rank")])
+            F.col(x).alias(f"h_{x}") for x in ("c", "n", "rest", "rank", "before")])
         # Two hubs meet once, not in both orders.  Sets of similarity t differ
-        # in size by the factor t at most.  If v is the first value that two
-        # classes share, they share no more than either has from there on; at
-        # a later value there is less still.
+        # in size by the factor t at most.  Two classes meet at the first value
+        # they share: there, a hub of a later list is one too, or was one in an
+        # earlier round.  They share no more than either has from there on.
         pairs = (rows.join(hubs, "v").where("root <> h_root")
                  .where("rank > h_rank OR rank = h_rank AND c > h_c")
                  .where(100 * F.least("n", "h_n") >= round(t * 100) * F.greatest("n", "h_n"))
-                 .where(F.least("rest", "h_rest") >= common(F.col("n"), F.col("h_n"), k, t))
-                 .select(F.greatest("c", "h_c").alias("a"), F.least("c", "h_c").alias("b")).distinct())
-        found = saved(estimated(pairs, classes, k, t), "estimated")
+                 .where(F.least("rest", "h_rest") >= common(F.col("n"), F.col("h_n"), k, t, sigmas))
+                 .where(~F.arrays_overlap("before", "h_before"))
+                 .select(F.greatest("c", "h_c").alias("a"), F.least("c", "h_c").alias("b")))
+        found = saved(estimated(pairs, classes, k, t, sigmas), "estimated")
         links = saved(verified(found, texts, t), "links")
         if not links.isEmpty():
             stars = components(stars.unionAll(links))
         low, high = high, high * GROWTH
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                    k: int = K, wide: int = WIDE, t: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row for each row of docs.
-
-    Defined results: null or wordless texts have no shingles and stay alone;
-    rows with a null id take no part in links and are kept with a null
-    component; rows that share an id are compared by their texts and kept or
-    not by that id; an empty table gives none; other columns are not read.
-    """
-    rows = saved(sketches(docs, id_col, text, k), "sketches")
+def _linked(docs: DataFrame, rows: DataFrame, id_col: str, text: str, k: int, wide: int, t: float,
+            sigmas: float | None) -> DataFrame:
+    """s1, s2, n, root and component_id of the classes that have an id."""
     classes = (rows.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2", "n")
                .agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
                .withColumn("c", F.monotonically_increasing_id()))
@@ -298,11 +313,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         counted = near.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         return near.select("c", "text") if counted.isEmpty() else _own_texts(near)
 
-    stars = link(classes, texts_of, k, wide, t)
     known = classes.select("c", "s1", "s2", "n", "doc")
-    known = _with_root(known, stars, "c", "root")
+    known = _with_root(known, link(classes, texts_of, k, wide, t, sigmas), "c", "root")
     least = known.groupBy("root").agg(F.min("doc").alias("component_id"))
-    known = known.join(least, "root").select("s1", "s2", "n", "component_id")
+    return known.join(least, "root").select("s1", "s2", "n", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE,
+                    t: float = 0.75, sigmas: float | None = SIGMAS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row for each row of docs.
+    ``sigmas=None`` compares all classes that share a retained value.
+
+    Defined results: null or wordless texts have no shingles and stay alone;
+    rows with a null id take no part in links and are kept with a null
+    component; rows that share an id are compared by their texts and kept or
+    not by that id; an empty table gives none; other columns are not read.
+    """
+    rows = saved(sketches(docs, id_col, text, k), "sketches")
+    known = _linked(docs, rows, id_col, text, k, wide, t, sigmas).drop("root")
     linked = rows.select("doc", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return linked.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -333,9 +361,31 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with its columns as they came."""
-    kept = near_duplicates(docs, id_col, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component, with its columns as they came: the one with
+    the smallest id.
+
+    Defined results: of rows that share the smallest id in a component, one
+    text stays; rows equal in id and text stand once; wordless texts stay
+    alone; a row without an id goes where any other row has the same shingles,
+    and of several such rows without an id one stays.
+    """
+    name, key = fresh(docs, "_id", "_key")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    rows = saved(sketches(docs, id_col, text, K, digest), "sketches")
+    known = saved(_linked(docs, rows, id_col, text, K, WIDE, 0.75, SIGMAS), "known")
+    rows = rows.select("doc", "n", "s1", "s2", "key")
+    own, nameless = rows.where("n > 0 AND doc IS NOT NULL"), rows.where("n > 0 AND doc IS NULL")
+    first = own.join(known, ["s1", "s2", "n"]).groupBy("root").agg(F.min(F.struct("doc", "key")).alias("x"))
+    other = (nameless.join(known.select("s1", "s2", "n"), ["s1", "s2", "n"], "left_anti")
+             .groupBy("s1", "s2", "n").agg(F.min("key").alias("key")))
+    alone = rows.where("n = 0").select("doc", "key").distinct()
+    kept = first.select("x.doc", "x.key").unionAll(other.select(F.lit(None).cast("long"), "key")).unionAll(alone)
+    kept = kept.select(F.col("doc").alias("_l"), F.col("key").alias("_r"))
+    marked = docs.withColumns({name: F.col(id_col).cast("long"), key: digest})
+    out = marked.join(kept, marked[name].eqNullSafe(kept["_l"]) & (marked[key] == kept["_r"]), "left_semi")
+    again = rows.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    out = out if again.isEmpty() else out.dropDuplicates([name, key])
+    return out.select(*docs.columns)
 
 
 ORACLE = r"""
