@@ -1,8 +1,9 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Every document is factored against all documents with a smaller id: a factor
-is a stretch of words that stands, word for word, in one of them.  Factors of
-at least ``span`` (50) words are duplicate spans and are removed.
+is a stretch of words that stands, word for word, at one place of one of them.
+Factors do not overlap; each has at least ``span`` (50) words, a source (the
+smallest such document, and the first place in it) and is a duplicate span.
 
 The reference is never scanned per document.  It is indexed in blocks: each
 window of 50 words belongs to the 10-gram in it with the smallest hash, its
@@ -11,14 +12,20 @@ one anchor, wherever they stand, are one reference block; equal windows
 always lie in the same block, so a document is looked up in just the blocks of
 its own anchors, one in about twenty words.
 
- * In a block whose runs are all equal, the whole run is one factor of the
-   smallest document there.
+ * In a block whose runs are all equal, the whole run stands at one place of
+   the smallest document there.
  * Otherwise factors end inside the runs (the copied stretches differ at their
    boundaries).  Then each distinct run of the block is cut into its windows,
    and each window is looked up by its own hash.
- * The parser goes through a document's matched windows from left to right
-   and extends a factor as long as the next window has the same source; where
-   the source changes, the window at the boundary starts the next factor.
+ * The parser goes through a document from left to right.  A factor starts at
+   the next window that has a source, takes its place there, and grows by a
+   word as long as the following window stands at the following place of the
+   same source; the next factor starts where it ends.
+ * At the boundary of two factors, windows that begin in one and end beyond it
+   are checked on their own: those that stand in a smaller document are
+   duplicates as well.  So a word is removed exactly where a factor or such a
+   window covers it, that is, where any window of 50 words that also starts in
+   a smaller document covers it.
 
 Groups of copies are never brought together: runs are pre-aggregated to
 minima, and only these come back to the documents.  Words and runs are
@@ -96,8 +103,9 @@ def _index(rows: DataFrame, span: int, anchor: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, span: int) -> DataFrame:
-    """The windows of the listed runs: a, c, j (place in the run), w1, w2, doc."""
-    names = ["a", "c", "j", "w1", "w2", "doc"]
+    """The windows of the listed runs: a, c, j (place in the run), w1, w2, doc and
+    pos (first word in the document)."""
+    names = ["a", "c", "j", "w1", "w2", "doc", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,45 +118,48 @@ def _windows(rows: DataFrame, span: int) -> DataFrame:
                 size = q[lo:hi] - p[lo:hi] + 1
                 run_of = np.repeat(np.arange(hi - lo), size)
                 j = np.arange(len(run_of)) - np.repeat(np.cumsum(size) - size, size)
-                at = (part.words_of()[doc] + p[lo:hi])[run_of] + j
+                pos = p[lo:hi][run_of] + j
+                at = part.words_of()[doc][run_of] + pos
                 w = [W.spans_hash(part.hash, at, at + span, x).view(np.int64) for x in W.BASES] if len(at) \
                     else [np.zeros(0, np.int64)] * 2
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a[lo:hi][run_of]), pa.array(c[lo:hi][run_of]), pa.array(j.astype(np.int32)),
                      pa.array(w[0]), pa.array(w[1]),
-                     batch.column(0).take(pa.array(part.row + doc[run_of]))], names=names)
+                     batch.column(0).take(pa.array(part.row + doc[run_of])), pa.array(pos.astype(np.int32))],
+                    names=names)
 
     return rows.select("doc", "text", "runs").mapInArrow(
-        run, "a bigint, c bigint, j int, w1 bigint, w2 bigint, doc bigint")
+        run, "a bigint, c bigint, j int, w1 bigint, w2 bigint, doc bigint, pos int")
 
 
 def matches(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """For each (doc, rid) with a copied window: ``at``, the windows that stand
-    in a smaller document, and ``ref``, the smallest such document of each."""
-    index = saved(_index(rows, span, anchor), "runs")
-    blocks = index.groupBy("a").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"),
-                                    (F.min("c") != F.max("c")).alias("differ")).where("d0 < d1")
-    blocks = saved(blocks, "blocks")     # a plain side, so that hot anchors can be split in the join
-    met = saved(index.join(blocks.select("a", "d0", "differ"), "a"), "met-runs")
+    in a smaller document, ``ref``, the smallest such document of each, and
+    ``src``, the first word of its first place there."""
+    source = rows.dropDuplicates(["doc", "rid"]) if _repeated(rows) else rows
+    index = saved(_index(source, span, anchor), "runs")
+    blocks = index.groupBy("a").agg(F.min(F.struct("doc", "rid", "p")).alias("first"), F.max("doc").alias("d1"),
+                                    (F.min("c") != F.max("c")).alias("differ")).where("first.doc < d1")
+    # Plain sides, so that hot anchors and runs can be split in the joins.
+    blocks = saved(blocks.select("a", F.col("first.doc").alias("d0"), F.col("first.p").alias("p0"), "differ"), "blocks")
+    met = saved(index.join(blocks, "a"), "met-runs")
     alike = met.where("NOT differ AND doc > d0").select(
-        "doc", "rid", F.sequence("p", "q").alias("at"),
-        F.array_repeat("d0", F.col("q") - F.col("p") + 1).alias("ref"))
+        "doc", "rid", F.sequence("p", "q").alias("at"), F.array_repeat("d0", F.col("q") - F.col("p") + 1).alias("ref"),
+        F.sequence("p0", F.col("p0") + F.col("q") - F.col("p")).alias("src"))
 
     distinct = met.where("differ").groupBy("a", "c").agg(F.min(F.struct("doc", "rid", "p", "q")).alias("x"))
     listed = distinct.groupBy("x.doc", "x.rid").agg(      # no more than a document has runs
         F.collect_list(F.struct("x.p", "x.q", "a", "c")).alias("runs"))
-    source = rows.dropDuplicates(["doc", "rid"]) if _repeated(rows) else rows
     windows = saved(_windows(source.join(listed, ["doc", "rid"]), span), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("m"))
-    known = windows.join(least, ["w1", "w2"]).groupBy("a", "c").agg(   # windows of one run
-        F.sort_array(F.collect_list(F.struct("j", "m"))).alias("x"))
-    cut = (met.where("differ").join(known, ["a", "c"])
-           .withColumn("x", F.filter("x", lambda w: w["m"] < F.col("doc"))).where(F.size("x") > 0)
+    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "pos")).alias("m"))
+    known = saved(windows.join(least, ["w1", "w2"]).groupBy("a", "c").agg(   # windows of one run
+        F.sort_array(F.collect_list(F.struct("j", "m.doc", "m.pos"))).alias("x")), "known")
+    cut = (met.where("differ").select("a", "c", "doc", "rid", "p").join(known, ["a", "c"])
+           .withColumn("x", F.filter("x", lambda w: w["doc"] < F.col("doc"))).where(F.size("x") > 0)
            .select("doc", "rid", F.transform("x", lambda w: F.col("p") + w["j"]).alias("at"),
-                   F.transform("x", lambda w: w["m"]).alias("ref")))
+                   F.transform("x", lambda w: w["doc"]).alias("ref"), F.transform("x", lambda w: w["pos"]).alias("src")))
     both = alike.unionAll(cut)
-    return both.groupBy("doc", "rid").agg(F.flatten(F.collect_list("at")).alias("at"),
-                                          F.flatten(F.collect_list("ref")).alias("ref"))
+    return both.groupBy("doc", "rid").agg(*[F.flatten(F.collect_list(x)).alias(x) for x in ("at", "ref", "src")])
 
 
 def _repeated(rows: DataFrame) -> bool:
@@ -157,41 +168,54 @@ def _repeated(rows: DataFrame) -> bool:
         F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def parse(at: np.ndarray, ref: np.ndarray, span: int) -> list[dict]:
-    """Factors of a document from its matched windows, from left to right."""
-    order = np.lexsort((ref, at))
-    at, ref = at[order], ref[order]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (np.diff(at) > 1) | (ref[1:] != ref[:-1])
+def parse(at: np.ndarray, ref: np.ndarray, src: np.ndarray, span: int) -> list[dict]:
+    """Factors of a document, from left to right, from its matched windows in order."""
+    new = np.ones(len(at), dtype=bool)      # windows that do not continue the one before at its source
+    new[1:] = (np.diff(at) != 1) | (np.diff(ref) != 0) | (np.diff(src) != 1)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(at)) - 1
-    return [{"start": int(at[i]), "words": int(at[j] - at[i]) + span, "ref": int(ref[i])}
-            for i, j in zip(heads, tails)]
+    out, free = [], 0
+    for i, j in zip(heads, tails):
+        start = max(int(at[i]), free)       # where the last factor ended, if that is inside this stretch
+        if start <= at[j]:
+            out.append({"start": start, "words": int(at[j]) - start + span, "ref": int(ref[i]),
+                        "src": int(src[i]) + start - int(at[i])})
+            free = int(at[j]) + span
+    return out
+
+
+def covered(at: np.ndarray, n: int, span: int) -> np.ndarray:
+    """Which of n words a matched window covers."""
+    step = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + span, -1)
+    return np.cumsum(step[:n]) > 0
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN,
                 anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256 (of the kept words,
-    joined by one space), factors (start, words, ref) and, if asked, kept_text."""
+    joined by one space), factors (start, words, ref, src: the first word in ref)
+    and, if asked, kept_text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc", "text")).select("doc", "rid", "text")
     found = matches(rows, span, anchor)
     schema = ("doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
-              "factors array<struct<start: int, words: int, ref: bigint>>")
+              "factors array<struct<start: int, words: int, ref: bigint, src: int>>")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "factors"]
     if with_text:
         schema, names = schema + ", kept_text string", [*names, "kept_text"]
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref", pa.int64()),
+                              ("src", pa.int32())]))
 
-    def one(content: str | None, at: np.ndarray | None, ref: np.ndarray | None) -> tuple:
+    def one(content: str | None, *found: np.ndarray | None) -> tuple:
         words = (content or "").encode().split()
         n, factors = len(words), []
-        if at is not None:
-            keep = np.ones(n, dtype=bool)
-            factors = parse(at, ref, span)
-            for f in factors:
-                keep[f["start"]:f["start"] + f["words"]] = False
-            words = list(compress(words, keep))
+        if found[0] is not None:
+            order = np.argsort(found[0], kind="stable")
+            at, ref, src = (x[order] for x in found)
+            factors = parse(at, ref, src, span)
+            words = list(compress(words, ~covered(at, n, span)))
         left = b" ".join(words)
         return n, n - len(words), hashlib.sha256(left).hexdigest(), factors, left
 
@@ -199,9 +223,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", spa
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 some = batch.slice(row, 512)
-                out = [one(t.as_py(), np.asarray(a.values) if a.is_valid else None,
-                           np.asarray(r.values) if r.is_valid else None)
-                       for t, a, r in zip(some.column(1), some.column(2), some.column(3))]
+                out = [one(t.as_py(), *[np.asarray(x.values) if x.is_valid else None for x in found])
+                       for t, *found in zip(*some.columns[1:])]
                 n, gone, sha, factors, left = zip(*out)
                 arrays = [some.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                           pa.array(sha), pa.array(factors, kind)]
@@ -209,7 +232,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", spa
                     arrays.append(pa.array([x.decode() for x in left], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.join(found, ["doc", "rid"], "left").select("doc", "text", "at", "ref").mapInArrow(run, schema)
+    return rows.join(found, ["doc", "rid"], "left").select("doc", "text", "at", "ref", "src").mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
