@@ -7,11 +7,13 @@ size passes ``roll_bytes``.  All headers, lengths and digests are computed
 anew from the payload; record ids and dates are fixed functions of the rows,
 so the same table gives the same bytes.
 
-A task writes under ``_temporary`` with a name of its own attempt and reports
-its files; only the files of successful attempts are renamed, and the
-manifest, written last and under a temporary name too, is what readers go by.
-A lost executor or a repeated task leaves nothing but files that no manifest
-names, and they are deleted with ``_temporary``.
+A task writes each file under ``_temporary`` with a name of its own attempt,
+renames it to its final name when it is whole, and reports it.  A file's name
+and bytes follow from the rows alone, so a repeated task replaces it by the
+same bytes.  The reports are the parts of the manifest, a table that Spark
+writes; the manifest itself, written last and under a temporary name too, names
+that table and is what readers go by.  A lost executor leaves nothing but files
+that the repeated task replaces, and ``_temporary`` is deleted in the end.
 
 Duplicate payloads: of the records with equal payloads of at least
 ``min_bytes`` bytes, those with the largest page id are responses, the others
@@ -47,8 +49,12 @@ from tabtune.llm.frames import saved, scratch
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bins into which a range of ids is split while borders are sought.
-BINS = 64
+#: Bits by which a range of ids is split while borders are sought.
+BIN_BITS = 6
+
+
+#: Files share tasks beyond this number.
+MOST_TASKS = 1 << 15
 
 
 def _sha1(data: bytes) -> str:
@@ -86,26 +92,30 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def borders(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """Last ids of all shards but the last, from columns id and bytes."""
+    """Last ids of all shards but the last, from columns id and bytes (null ids
+    count as the smallest).
+
+    Ids are counted by their leading bits; only bins that are still too heavy
+    are split by the next ones, found by an equal prefix."""
     low, high, total = sizes.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
     if low is None or total <= shard_bytes:
         return []
+    shift = max(0, ((low ^ high) & ((1 << 64) - 1)).bit_length() - BIN_BITS)
     done: list[tuple[int, int]] = []        # (last id, bytes) of bins
-    todo = [(low, high)]
-    while todo:
-        # Each range is split into BINS; bins that are still too heavy again.
-        ranges = sizes.sparkSession.createDataFrame(
-            [(a, b, -(-(b - a + 1) // BINS)) for a, b in todo], "a bigint, b bigint, w bigint")
-        bins = (sizes.join(F.broadcast(ranges), F.col("id").between(F.col("a"), F.col("b")))
-                .groupBy("a", "b", "w", F.expr("(id - a) div w").alias("i"))
-                .agg(F.sum("bytes").alias("bytes")).collect())   # BINS for each heavy range
-        todo = []
+    rows = sizes.where("id IS NOT NULL")
+    while True:
+        bins = rows.groupBy(F.shiftright("id", shift).alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()
+        heavy = []                          # 2^BIN_BITS bins for each heavy one before
         for r in bins:
-            first, last = r.a + r.i * r.w, min(r.b, r.a + (r.i + 1) * r.w - 1)
-            if r.bytes > shard_bytes and last > first:
-                todo.append((first, last))
+            if r.bytes > shard_bytes and shift:
+                heavy.append((r.bin,))
             else:
-                done.append((last, r.bytes))
+                done.append((((r.bin + 1) << shift) - 1, r.bytes))
+        if not heavy:
+            break
+        again = sizes.sparkSession.createDataFrame(heavy, "_bin bigint")
+        rows = rows.join(F.broadcast(again), F.shiftright("id", shift) == F.col("_bin"), "left_semi")
+        shift = max(0, shift - BIN_BITS)
     cuts, held = [], 0
     for last, size in sorted(done):
         if held and held + size > shard_bytes:
@@ -149,6 +159,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
             if out is not None:
                 out.close()
                 files[-1][6] = seal.hexdigest()
+                _rename(where, f"{base}/{files[-1][3]}", f"{base}/{files[-1][2]}")
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -179,28 +190,46 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
                 files[-1][4] += 1
                 files[-1][5] += len(record)
         close()
-        columns = zip(*files) if files else [[]] * 7
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                         names=["shard", "seq", "name", "temp", "records", "bytes", "sha256"])
+        columns = [[f[i] for f in files] for i in (2, 4, 5, 6)]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                         names=["name", "records", "bytes", "sha256"])
 
     where, base = pafs.FileSystem.from_uri(path)
     where.create_dir(f"{base}/_temporary", recursive=True)
-    # A row a file.  Sorted here: a sort in Spark would first sample its input,
-    # which runs the writer a second time.
-    written = stream.select("shard", "id", "order", "sha", "refers_to", "url", "html").mapInArrow(
-        run, "shard int, seq int, name string, temp string, records bigint, bytes bigint, sha256 string").collect()
-    written.sort(key=lambda f: f.name)
-    for f in written:
-        where.move(f"{base}/{f.temp}", f"{base}/{f.name}")
-    manifest = {"files": [{k: f[k] for k in ("name", "records", "bytes", "sha256")} for f in written]}
+    parts = f"manifest-{uuid.uuid4().hex}.parquet"
+    stream.select("shard", "id", "order", "sha", "refers_to", "url", "html").mapInArrow(
+        run, PARTS).write.parquet(f"{path}/{parts}")
+    totals = pages.sparkSession.read.schema(PARTS).parquet(f"{path}/{parts}").agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    manifest = {"parts": parts, **dict(zip(("files", "records", "bytes"), totals))}
     with where.open_output_stream(f"{base}/_temporary/manifest.json", compression=None) as out:
         out.write(json.dumps(manifest, indent=1).encode())
-    where.move(f"{base}/_temporary/manifest.json", f"{base}/manifest.json")
+    _rename(where, f"{base}/_temporary/manifest.json", f"{base}/manifest.json")
     where.delete_dir(f"{base}/_temporary")
     return f"{path}/manifest.json"
 
 
+#: A row of the manifest's parts for each file.
+PARTS = "name string, records bigint, bytes bigint, sha256 string"
+
+
+def _rename(where: pafs.FileSystem, temp: str, name: str) -> None:
+    """Also where an earlier attempt has left the same file."""
+    if where.get_file_info(name).type != pafs.FileType.NotFound:
+        where.delete_file(name)
+    where.move(temp, name)
+
+
+def manifest_parts(spark: SparkSession, manifest: str) -> DataFrame:
+    """name, records, bytes and sha256 of the archive's files."""
+    path = manifest.rpartition("/")[0]
+    where, base = pafs.FileSystem.from_uri(path)
+    with where.open_input_stream(f"{base}/manifest.json", compression=None) as f:
+        parts = json.loads(f.read())["parts"]
+    return spark.read.schema(PARTS).parquet(f"{path}/{parts}")
+
+
 def _headers(stream: io.BufferedReader) -> tuple[str, dict[str, str]] | None:
     line = stream.readline()
     if not line:
@@ -229,9 +258,6 @@ def read_warc(spark: SparkSession, manifest: str, with_payload: bool = False) ->
     """The pages of an archive; lengths and digests are those of the blocks
     that were read, for a revisit those that its headers state."""
     path = manifest.rpartition("/")[0]
-    where, base = pafs.FileSystem.from_uri(path)
-    with where.open_input_stream(f"{base}/manifest.json", compression=None) as f:
-        names = [(x["name"],) for x in json.loads(f.read())["files"]]
     schema = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, "
               "record_type string, refers_to bigint") + ", payload binary" * with_payload
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -265,8 +291,8 @@ def read_warc(spark: SparkSession, manifest: str, with_payload: bool = False) ->
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=columns)
 
-    files = spark.createDataFrame(names, "name string")
-    return files.repartition(max(1, len(names)), "name").mapInArrow(run, schema)
+    files = manifest_parts(spark, manifest).select("name")
+    return files.repartition(max(1, min(files.count(), MOST_TASKS)), "name").mapInArrow(run, schema)
 
 
 def query(pages: DataFrame) -> DataFrame:
