@@ -154,12 +154,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     verdicts = host_verdicts(measured, columns, host, max_rate)
     if keep_text:
         measured, columns = measure(docs, text)
-    names = dict(zip(["base_failed", "host_rejected", "kept"],
-                     fresh(measured, "base_failed", "host_rejected", "kept")))
-    verdicts = verdicts.select(F.col("host").alias("_host"),
+    *new, key = fresh(measured, "base_failed", "host_rejected", "kept", "_host")
+    names = dict(zip(["base_failed", "host_rejected", "kept"], new))
+    verdicts = verdicts.select(F.col("host").alias(key),
                                F.col("rejected").alias(names["host_rejected"]))
-    out = (measured.join(verdicts, measured[host].eqNullSafe(verdicts["_host"]), "left")
-           .drop("_host")
+    out = (measured.join(verdicts, measured[host].eqNullSafe(verdicts[key]), "left")
+           .drop(key)
            .withColumn(names["base_failed"], base_failed(columns)))
     out = out.withColumn(names["kept"], ~F.col(names["base_failed"]) & ~F.col(names["host_rejected"]))
     return out, columns | names
