@@ -12,7 +12,10 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +101,23 @@ def numbered(df: DataFrame, order: list[str], number: str) -> DataFrame:
     starts = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (rows.join(F.broadcast(starts), part)
             .withColumn(number, F.col("_start") + F.col(pos)).drop(part, pos, "_start"))
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of a partition that is sorted by two integer columns, its first
+    ones, pair by pair."""
+    key, some = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(2)]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)]))
+        for at, to in zip(heads, np.append(heads[1:], batch.num_rows)):
+            own = (int(cols[0][at]), int(cols[1][at]))
+            if own != key and some:
+                yield key, pa.Table.from_batches(some)
+                some = []
+            key = own
+            some.append(batch.slice(at, to - at))
+    if some:
+        yield key, pa.Table.from_batches(some)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtune.llm.frames import numbered, saved
+from tabtune.llm.frames import grouped, numbered, saved
 from tabtune.session import shuffle_partitions
 
 #: Anchors of one tree; candidates that a task holds, and those bounded at once.
@@ -133,25 +133,6 @@ def _held(score) -> int:
     return max(-LARGEST - 1, min(LARGEST, int(score)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
-    """The sorted rows of a partition, block by block and group by group."""
-    key, some = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch.column(i)) for i in range(2)]
-        heads = np.flatnonzero(np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)]))
-        for at, to in zip(heads, np.append(heads[1:], batch.num_rows)):
-            own = (int(cols[0][at]), int(cols[1][at]))
-            if own != key and some:
-                yield key, pa.Table.from_batches(some)
-                some = []
-            key = own
-            some.append(batch.slice(at, to - at))
-    if some:
-        yield key, pa.Table.from_batches(some)
-
-
 def _pass(cands: DataFrame, anchors: DataFrame, blocks: int, scale: int, schema: str,
           search: Callable) -> DataFrame:
     """``search`` for each group of anchors and each chunk of candidates.
@@ -169,7 +150,7 @@ def _pass(cands: DataFrame, anchors: DataFrame, blocks: int, scale: int, schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
-        for (b, g), table in _groups(batches):
+        for (b, g), table in grouped(batches):
             if g < 0:
                 block = (b, np.asarray(table["id"]), np.array(table["label"].to_pylist()), matrix(table["x"], scale))
                 continue

@@ -2,15 +2,16 @@
 
 Vectors become sparse integer rows (a dimension is a term).  Candidates form
 blocks with one posting list for each term: the rows that have the term, and
-their weights.  For a block of queries, each term's postings are scattered
-into a dense array of scores; the best k of each block are partitioned out,
+their weights.  For some queries at a time, each term's postings are scattered
+into dense arrays of scores; the best k of each block are partitioned out,
 and the blocks' winners are merged.  Every query meets every block.
 
-A task holds one block of each kind (``cand_block`` x ``query_block`` scores),
-whatever the number of vectors.
+A task holds one block of candidates, whole and once, and the groups of
+queries pass through it one by one, so candidates are shuffled once and queries
+once for each block; a task's memory does not depend on either number.
 
 Defined results: vectors that are null, empty, or hold nulls or non-finite
-components, and rows with a null id, take no part; a query's own row is every
+components (also after scaling), and rows with a null id, take no part; a query's own row is every
 row with its id; repeated candidates count as often as they stand; ties go to
 the smaller id; vectors of different lengths meet in the dimensions that both
 have; scores beyond 64 bits are held at the largest one; other columns are not
@@ -27,20 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtune.llm.frames import saved
+from tabtune.llm.frames import grouped, saved
+from tabtune.session import shuffle_partitions
 
 LIMIT = np.iinfo(np.int64).max
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors (scaled components as floats, short ones filled with 0)."""
+def _matrix(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (scaled whole components as floats, short ones filled with 0)."""
     vectors = table.column("x").combine_chunks()
     vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) and vectors.num_chunks else vectors
     offs = np.asarray(vectors.offsets)
     size = np.diff(offs)
     out = np.zeros((len(size), int(size.max(initial=0))))
     out[np.arange(out.shape[1]) < size[:, None]] = np.asarray(vectors.values)[offs[0]:offs[-1]]
-    return table.column("id").to_numpy(), out
+    return table.column("id").to_numpy(), np.floor(out * scale)
 
 
 def postings(rows: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
@@ -93,49 +95,60 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 20, scale: int = 64,
-           cand_block: int = 8192, query_block: int = 512, width: int = 8) -> DataFrame:
+           cand_block: int = 1 << 16, query_block: int = 512, width: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``queries``."""
     def whole(df: DataFrame) -> DataFrame:
-        x = F.transform(F.col(vector).cast("array<double>"), lambda v: F.floor(v * scale).cast("double"))
-        good = F.coalesce(F.forall(F.col(vector).cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v) & (
-            F.abs(v) < F.lit(math.inf))), F.lit(False)) & (F.size(vector) > 0)
+        x = F.col(vector).cast("array<double>")
+        good = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < F.lit(math.inf))),
+                          F.lit(False)) & (F.size(vector) > 0)
         return df.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
 
     cands, asked = saved(whole(vectors), "candidates"), saved(whole(queries), "queries")
-    blocks = max(1, math.ceil(cands.count() / cand_block))
+    n = cands.count()
+    few = min(math.ceil(n / 1024), shuffle_partitions(vectors.sparkSession))      # small tables use all cores
+    blocks = max(1, math.ceil(n / cand_block), few)
     groups = max(1, math.ceil(asked.count() / query_block))
 
     def dealt(n: int):          # evenly, whatever the ids are
         return F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
-    cands = cands.withColumn("b", dealt(blocks)).withColumn("g", F.explode(F.expr(f"sequence(0, {groups - 1})")))
-    asked = asked.withColumn("g", dealt(groups)).withColumn("b", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    each = asked.withColumn("g", dealt(groups)).withColumn("b", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    rows = cands.select(dealt(blocks).alias("b"), F.lit(-1).alias("g"), "id", "x").unionAll(
+        each.select("b", "g", "id", "x"))
+    rows = rows.repartition(blocks, "b").sortWithinPartitions("b", "g")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, q = _matrix(left)
-        ids, rows = _matrix(right)
+    def found(block: tuple, q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        _, ids, rows, held = block
         dims = min(q.shape[1], rows.shape[1])
         q, rows = q[:, :dims], rows[:, :dims]
         kind = _exact(q, rows)
         if kind == object:
             q, rows = (np.vectorize(int, otypes=[object])(x) if x.size else x.astype(object) for x in (q, rows))
-        q, rows = q.astype(kind, copy=False), rows.astype(kind, copy=False)
-        lists = postings(rows)
+        q = q.astype(kind, copy=False)
+        if (kind, dims) not in held:      # the block's posting lists, for all groups of this kind
+            held[kind, dims] = postings(rows.astype(kind, copy=False))
         out: list[tuple] = []
         for at in range(0, len(q_ids), width):
-            scores = accumulate(lists, len(ids), q[at:at + width])
+            scores = accumulate(held[kind, dims], len(ids), q[at:at + width])
             for own, row in zip(q_ids[at:at + width], scores.T):
-                found, score = best(row, ids, own, k)
+                near, score = best(row, ids, own, k)
                 score = np.array([max(-LIMIT - 1, min(LIMIT, int(s))) for s in score], dtype=np.int64) \
                     if kind == object else score.astype(np.int64)
-                out.append((np.full(len(found), own), found, score))
-        arrays = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, arrays))))
-
-    found = asked.groupBy("b", "g").cogroup(cands.groupBy("b", "g")).applyInArrow(
-        run, "query_id bigint, vec_id bigint, score bigint")
+                out.append((np.full(len(near), own), near, score))
+        arrays = [np.concatenate(x) for x in zip(*out)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for (b, g), table in grouped(batches):
+            if g < 0:
+                block = (b, *_matrix(table, scale), {})
+            elif block is not None and block[0] == b:
+                yield found(block, *_matrix(table, scale))
+
+    met = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
