@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -109,6 +110,13 @@ def test_quality_keeps_rows_and_columns(docs, rows, none):
     assert quality.query(none).count() == 0
 
 
+def test_quality_with_clashing_names(spark):
+    rows = [(i, f"text {i} " * 40, "h", "a", True, 5) for i in range(6)] + [(6, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, _host string, rejected boolean, n_docs int")
+    out = quality.keep_good(docs)
+    assert out.columns == docs.columns and quality.judge(docs)[0].count() == 7
+
+
 def test_bad_host_is_rejected_and_small_host_shrunk(spark):
     good = " ".join(f"g{i}" for i in range(80))
     rows = [(i, good if i % 10 else "short", "en", f"h{i % 6}") for i in range(600)]
@@ -127,7 +135,40 @@ def test_near_duplicates_repeats_and_nulls(docs, rows, none):
     assert neardup.near_duplicates(none).count() == 0
     one = neardup.keep_one(docs)
     assert one.columns == docs.columns
-
+    texts = collections.Counter((r.doc_id, r.text) for r in one.collect())
+    assert max(texts.values()) == 1
+
+
+def test_keep_one_of_repeated_rows_and_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    c, d = " ".join(f"c{i}" for i in range(30)), " ".join(f"d{i}" for i in range(30))
+    rows = [(1, a), (1, a), (None, a), (2, a), (3, b), (3, c), (None, d), (None, d), (None, d.upper()),
+            (4, b), (5, None), (5, None), (6, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id bigint, text string, doc string, key int")
+    out = neardup.keep_one(docs)
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    nameless = [x for x in got if x[0] is None and x[1]]
+    assert len(nameless) == 1 and nameless[0][1].lower() == d
+    assert {x: n for x, n in got.items() if x not in nameless} == {
+        (1, a): 1, (3, b): 1, (3, c): 1, (5, None): 1, (6, ""): 1, (None, ""): 1}
+
+
+def test_near_duplicates_without_chance(spark):
+    """Every shared value counts: the same links as by the sketch bounds."""
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(900)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(vocab) for _ in range(120)]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(120)] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = [tuple(r) for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()]
+    assert plain == [tuple(r) for r in neardup.near_duplicates(docs, sigmas=None).orderBy("doc_id").collect()]
 
 def test_near_duplicates_of_a_large_group(spark):
     """A chain of edits, a group with one hub, and a passage in many others."""
@@ -275,7 +316,11 @@ def test_warc_round_trip(spark, tmp_path):
     for _ in range(2):
         path = scratch(spark, "warc-test")
         manifest = warc.write_warc(pages.repartition(3), path, shard_bytes=4000, roll_bytes=300)
-        seen.append({x: open(f"{path[7:]}/{x}", "rb").read() for x in __import__("os").listdir(path[7:])})
+        seen.append({x: open(f"{path[7:]}/{x}", "rb").read() for x in os.listdir(path[7:]) if x.endswith(".warc.gz")})
+        parts = {r.name: r for r in warc.manifest_parts(spark, manifest).collect()}
+        assert {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in seen[-1].items()} == {
+            n: (r.bytes, r.sha256) for n, r in parts.items()}
+        assert sum(r.records for r in parts.values()) == len(rows) and not os.path.exists(f"{path[7:]}/_temporary")
     assert seen[0] == seen[1] and len(seen[0]) > 3          # the same bytes, several files
     out = warc.read_warc(spark, manifest, with_payload=True).collect()
     payload = {0: b"<p>a</p>", 1: b"", 2: b"", 3: ("é" * 3000).encode(), 6: LONG.encode()}
@@ -293,6 +338,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.query(pages.limit(0)).count() == 0
 
 
+def test_warc_borders(spark):
+    """Ids of any size; every shard but single ids keeps within the bytes."""
+    rng = random.Random(9)
+    for ids in ([-9 * 10 ** 18, 9 * 10 ** 18, None], [-2 ** 63, 2 ** 63 - 1, 0, -1, 1], list(range(-50, 300)) + [10 ** 15],
+                [rng.randrange(-2 ** 63, 2 ** 63) for _ in range(200)], [7] * 50, [3]):
+        size = {i: rng.randint(1, 30) for i in ids}
+        sizes = spark.createDataFrame([(i, size[i]) for i in ids], "id bigint, bytes bigint")
+        cuts = warc.borders(sizes, 100)
+        assert cuts == sorted(set(cuts)) and all(-2 ** 63 <= c < 2 ** 63 for c in cuts)
+        total, kinds = collections.Counter(), collections.defaultdict(set)
+        for i in ids:
+            shard = int(np.searchsorted(np.array(cuts), -2 ** 63 if i is None else i))
+            total[shard] += size[i]
+            kinds[shard].add(i)
+        assert all(total[x] <= 100 or len(kinds[x] - {None}) == 1 for x in total)
+    wide = spark.createDataFrame([(-9 * 10 ** 18, "u", "a" * 90), (9 * 10 ** 18, "u", "b" * 90), (None, "u", "c")],
+                                 "page_id bigint, url string, html string")
+    manifest = warc.write_warc(wide, scratch(spark, "warc-test"), shard_bytes=100)
+    assert {r.page_id for r in warc.read_warc(spark, manifest).collect()} == {-9 * 10 ** 18, 9 * 10 ** 18, None}
+
+
 def test_warc_small_payloads_are_not_revisited(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")],
                                   "page_id bigint, url string, html string")
@@ -305,7 +371,8 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.1, 5).round(1).tolist(), 1.0) for i in range(120)]
     rows += [rows[7], (200, None, 1.0), (220, [], 1.0), (240, [1.0, None], 1.0), (260, [float("nan")] * 5, 1.0),
-             (None, [0.1] * 5, 1.0), (280, [1e30, 1e30, 0.0, 0.0, 0.0], 1.0)]
+             (None, [0.1] * 5, 1.0), (280, [1e30, 1e30, 0.0, 0.0, 0.0], 1.0),
+             (300, [2 / 64, -1 / 64], 1.0), (301, [1e18, 2e18], 1.0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score double")
     got = topk.search(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", k=9, cand_block=50, query_block=3).collect()
     good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in rows
@@ -344,35 +411,83 @@ def test_classifier_trains_on_all_features(spark, monkeypatch):
     seen, train = {}, classifier.train
 
     def spy(rows, share, **other):
-        seen["rows"] = [rows[i] for i in range(len(rows))]
+        seen["rows"] = {r.doc_id: r for r in rows.rows.collect()}
         return train(rows, share, **other)
 
     monkeypatch.setattr(classifier, "train", spy)
     classifier.classify(docs_, labels).count()
     known = sorted(r.doc_id for r in labels.collect())
-    assert len(seen["rows"]) == len(known) >= 2
-    for key, (y, found, times) in zip(known, seen["rows"]):
+    assert sorted(seen["rows"]) == known and len(known) >= 2
+    for key in known:
+        r = seen["rows"][key]
+        found, times = (np.frombuffer(x, dtype="<i4").tolist() for x in (r.f, r.m))
         part = next(classifier.W.parts(classifier.pa.array([texts[key - 10]])))
         want = collections.Counter()
         for _, bucket in classifier.features(part):
             want.update(bucket.tolist())
-        assert y == (key - 10) % 2 and dict(zip(found.tolist(), times.tolist())) == dict(want)
-    assert max(len(f) for _, f, _ in seen["rows"]) > 1024
+        assert r.y == (key - 10) % 2 and dict(zip(found, times)) == dict(want)
+    assert max(len(r.f) // 4 for r in seen["rows"].values()) > 1024
 
 
 def test_classifier_steps_follow_the_counts():
-    class Rows(list):
-        labels = np.array([1])
+    class Rows:
+        seen = np.array([0, 1])
+
+        def epoch(self, seed):
+            yield 1, found, np.array([1.0, 5.0, 40.0])
 
     found = np.array([3, 7, 9])
-    rows = Rows([(1, found, np.array([1.0, 5.0, 40.0]))])
-    weights, _ = classifier.train(rows, np.array([0, 1]), epochs=3)
+    weights, _ = classifier.train(Rows(), np.array([0, 1]), epochs=3)
     start = np.random.default_rng(42).uniform(-1 / 8, 1 / 8, (1 << classifier.BITS, 8))
     layer = np.linalg.lstsq(start[10:1000], weights[10:1000], rcond=None)[0]
     moved = weights[found] - start[found] @ layer
     assert moved[0] > 0 and np.allclose(moved / moved[0], [1, 5, 40], rtol=1e-3)
 
 
+def test_classifier_score_against_plain_recomputation(spark, rows, monkeypatch):
+    """Words and character grams of each text, one by one."""
+    texts = [r[1] for r in rows[:40]] + ["日本語", "a\u00e9\u4e16🙂 b", "x", " ", "né\tà", "🙂" * 5 + "\n\u3000z"]
+    weights, bias = np.random.default_rng(1).normal(size=1 << classifier.BITS), 0.3
+
+    def plain(text):
+        own = next(classifier.W.parts(classifier.pa.array([text or ""]))).hash
+        buckets = classifier._bucket(classifier.W.mix(own + classifier.W._GOLD)).tolist()
+        chars = [" " if c in "\t\n\v\f\r" else c for c in text or ""]
+        for n in (3, 4):
+            for i in range(len(chars) - n + 1):
+                if " " not in chars[i + 1:i + n - 1]:
+                    code = np.array([ord(c) for c in chars[i:i + n]], dtype=np.uint64)
+                    buckets.append(int(classifier._bucket(classifier.gram_hashes(code, n))[0]))
+        return 1 / (1 + np.exp(-((weights[buckets].mean() if buckets else 0.0) + bias)))
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(classifier.W, "PART_BYTES", size)
+        some = [t for t in texts if t != LONG and t != LONG + " end"]
+        z = np.zeros(len(some))
+        for part in classifier.W.parts(classifier.pa.array(some, classifier.pa.string())):
+            total, n = np.zeros(part.rows), np.zeros(part.rows)
+            for text, bucket in classifier.features(part):
+                total += np.bincount(text, weights=weights[bucket], minlength=part.rows)
+                n += np.bincount(text, minlength=part.rows)
+            z[part.row:part.row + part.rows] = total / np.maximum(n, 1)
+        assert np.allclose(1 / (1 + np.exp(-(z + bias))), [plain(t) for t in some])
+    docs_ = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in classifier.score(docs_, weights, bias).collect()}
+    assert np.allclose([got[i] for i in range(len(some))], [plain(t) for t in some])
+
+
+def test_classifier_with_conflicting_labels_and_texts(spark):
+    docs_ = [(1, "zeta good words here", 0), (1, "alpha other", 0), (2, "bad bad", 0), (3, "good", 0), (6, "more text", 0)]
+    labels = [(1, 1), (2, 0), (2, 0), (3, 0), (3, 1), (6, 0)]
+    got = []
+    for n in (1, 3):
+        d = spark.createDataFrame(docs_, "doc_id bigint, text string, y int").repartition(n)
+        rows, share = classifier.training_rows(
+            d, spark.createDataFrame(labels, "doc_id bigint, quality int").repartition(n), "quality", 10, 42)
+        got.append(sorted((r.doc_id, r.y, bytes(r.f)) for r in rows.rows.collect()))
+        assert share.sum() == len(got[-1]) and {r[0] for r in got[-1]} <= {1, 2, 6}
+    assert got[0] == got[1]
+
+
 def test_pii_columns_and_mask(docs, rows, none):
     out = pii.query(docs).collect()
     assert len(out) == len(rows)

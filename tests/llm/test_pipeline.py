@@ -1,4 +1,5 @@
 import collections
+import random
 
 import corpus_pipeline as P
 from tabtune.llm import neardup, packing, quality
@@ -30,6 +31,36 @@ def test_stages_chain_and_match_run(spark):
     assert last == collections.Counter(P.run(spark, SF).collect())
 
 
+def test_stages_chain_over_odd_rows(spark):
+    """Nulls, repeats, ties, a long text and clashing names through all stages."""
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(500)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocab) for _ in range(n))
+    twin, far = prose(90), prose(20000)
+    rows = [(i, prose(rng.randint(60, 200)) + f" mail a{i}@b.com", rng.choice(["en", "fr", None]),
+             rng.choice(["s1", "s2", None]), 10) for i in range(60)]
+    rows += [(100, twin, "en", "s1", 1), (100, twin, "en", "s1", 1), (101, twin, "en", "s1", 1), (None, twin, "en", "s1", 1),
+             (102, None, "en", "s1", None), (103, "", None, None, 0), (104, far, "fr", "s2", None),
+             (None, prose(80), None, None, 3), (105, prose(70), "en", "s1", 4), (105, prose(75), "en", "s1", 4)]
+    docs = spark.createDataFrame([(*r, "h", 7, "k", True) for r in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars int, "
+                                 "_host string, n_words int, key string, kept boolean").repartition(3)
+    before, seen = docs, {}
+    for name, stage in P.STAGES:
+        out = saved(stage(spark, before, SF), name)
+        if name != P.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        seen[name] = out.collect()
+        before = out
+    kept = collections.Counter((r.doc_id, r.text) for r in seen["near_duplicates"])
+    assert max(kept.values()) == 1 and kept[100, twin] == 1 and (101, twin) not in kept and (None, twin) not in kept
+    assert len([r for r in seen["near_duplicates"] if r.doc_id == 105]) == 2
+    assert not any("@" in r.text for r in seen["personal_data"] if r.doc_id is not None and r.doc_id < 60)
+    assert len(seen["personal_data"]) == len(seen["near_duplicates"]) and seen["length_buckets"]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
