@@ -340,10 +340,13 @@ def q_clustering_report(spark, sf):
 from tabtune.operators import importance as I  # noqa: E402
 from tabtune.operators import models as M  # noqa: E402
 from tabtune.plans import search as G  # noqa: E402
+from tabtune.plans.strategies import AntColony  # noqa: E402
 
-#: What the registered forest searches spend on each of the four strategies; the
-#: default (10 epochs of 10) is measured in the README.
-FOREST_BUDGET = {"epochs": 1, "pop_size": 3}
+def _budget(ants: int, epochs: int, pop: int) -> dict:
+    """What a registered search spends on each of the four strategies; ants are
+    the samples of a colony's epoch (its own default is 25).  The default budget
+    (10 epochs of 10) is measured in the README."""
+    return {"strategies": (AntColony(pop, sample_count=ants), "ga", "pso", "sa"), "epochs": epochs, "pop_size": pop}
 
 
 def _orders_prepared(spark, sf):
@@ -397,7 +400,7 @@ def q_cluster_views(spark, sf):
 def q_search_classification(spark, sf):
     prep, st = _orders_prepared(spark, sf)
     board, _, _ = G.compare_strategies(prep, "classification", st.features, st.label, "o_orderkey",
-                                       **FOREST_BUDGET)
+                                       **_budget(2, 1, 2))
     return board
 
 
@@ -409,20 +412,19 @@ def _emb_search(spark, sf):
 
 def q_search_clustering(spark, sf):
     prep, st = _emb_search(spark, sf)
-    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id")
+    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id", **_budget(5, 2, 5))
     return G.best_model(board, "clustering")
 
 
 def q_search_history(spark, sf):
     prep, st = _emb_search(spark, sf)
-    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id")
+    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id", **_budget(5, 2, 5))
     return G.search_history(hist, "clustering")
 
 
 def q_search_regression(spark, sf):
-    prep, st = _lineitem_prepared(spark, sf)
-    board, _, _ = G.compare_strategies(prep, "regression", st.features, st.label, "l_orderkey",
-                                       **FOREST_BUDGET)
+    prep, st = P.transform(_t(spark, sf, "part"), "regression", "p_retailprice", key="p_partkey", unseen="keep")
+    board, _, _ = G.compare_strategies(prep, "regression", st.features, st.label, "p_partkey", **_budget(2, 1, 2))
     return board
 
 

@@ -8,6 +8,7 @@ floating NaN is treated as missing by every operator.
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,27 +57,35 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
     return nan_to_null(inferred)
 
 
+def _same(uri: str) -> str:
+    """A file's URI in one spelling: file:/x and file:///x are the same."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(uri))
+
+
 def _csv_text(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; quoted fields may hold line breaks and doubled quotes.
 
     A file with a quoted line break has to be read as a whole.  Such a break
     leaves a line with an odd number of quotes, so the lines are counted first,
     with the splittable text reader; all other files are read in splits."""
-    reader = (spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
-              .option("inferSchema", False))
+    def reader(whole: bool):      # options change a reader in place, so each read has its own
+        return (spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
+                .option("inferSchema", False).option("multiLine", whole))
+
     lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     # one row a file with such a line reaches the driver
     broken = sorted(r[0] for r in lines.where(quotes % 2 == 1).select(
         F.col("_metadata.file_path")).distinct().collect())
     if not broken:
-        return reader.csv(path)
-    whole = reader.option("multiLine", True)
-    plain = sorted({unquote(f) for f in lines.inputFiles()} - {unquote(f) for f in broken})
+        return reader(False).csv(path)
+    odd = {_same(f) for f in broken}
+    plain = sorted(unquote(f) for f in lines.inputFiles() if _same(f) not in odd)
     if not plain:
-        return whole.csv(path)
-    names = whole.csv(path).schema          # of the first file, as in one read
-    return reader.schema(names).csv(plain).unionAll(whole.schema(names).csv([unquote(f) for f in broken]))
+        return reader(True).csv(path)
+    names = reader(True).csv(path).schema          # of the first file, as in one read
+    return reader(False).schema(names).csv(plain).unionAll(
+        reader(True).schema(names).csv([unquote(f) for f in broken]))
 
 
 def _infer_types(df: DataFrame) -> DataFrame:
