@@ -400,7 +400,7 @@ def q_cluster_views(spark, sf):
 def q_search_classification(spark, sf):
     prep, st = _orders_prepared(spark, sf)
     board, _, _ = G.compare_strategies(prep, "classification", st.features, st.label, "o_orderkey",
-                                       **_budget(2, 1, 2))
+                                       **_budget(1, 1, 2))
     return board
 
 
@@ -412,19 +412,19 @@ def _emb_search(spark, sf):
 
 def q_search_clustering(spark, sf):
     prep, st = _emb_search(spark, sf)
-    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id", **_budget(5, 2, 5))
+    board, _, _ = G.compare_strategies(prep, "clustering", st.features, None, "vec_id", **_budget(4, 2, 4))
     return G.best_model(board, "clustering")
 
 
 def q_search_history(spark, sf):
     prep, st = _emb_search(spark, sf)
-    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id", **_budget(5, 2, 5))
+    _, _, hist = G.compare_strategies(prep, "clustering", st.features, None, "vec_id", **_budget(4, 2, 4))
     return G.search_history(hist, "clustering")
 
 
 def q_search_regression(spark, sf):
     prep, st = P.transform(_t(spark, sf, "part"), "regression", "p_retailprice", key="p_partkey", unseen="keep")
-    board, _, _ = G.compare_strategies(prep, "regression", st.features, st.label, "p_partkey", **_budget(2, 1, 2))
+    board, _, _ = G.compare_strategies(prep, "regression", st.features, st.label, "p_partkey", **_budget(1, 1, 2))
     return board
 
 

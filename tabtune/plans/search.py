@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -87,10 +88,12 @@ class Scorer:
     wide: bool = False
     silhouette_sample: float = 1.0
     memo: dict = field(default_factory=dict)
+    kept: dict = field(default_factory=dict)     # the model of the best forest so far
     n_fits: int = 0
     n_asked: int = 0
 
     def __post_init__(self):
+        self.lock, self.best = threading.Lock(), math.inf
         if self.task == "clustering" and not self.key:
             raise ValueError("a clustering search needs `key`: the column that identifies a row")
         self.parallelism = _fit_parallelism(self.prepared.sparkSession, self.parallelism)
@@ -145,6 +148,9 @@ class Scorer:
         if self.task == "clustering":
             return M.kmeans_pipeline(self.features, self._restarts([p])[0].model)
         self.n_asked += 1
+        key = self._memo_key(p)
+        if key in self.kept:
+            return self.kept[key]
         self.n_fits += 1
         if self.task == "regression":
             return M.fit_forest_regressor(self.train, self.features, self.label, p, placed=True, n_rows=self.n_rows)
@@ -165,9 +171,19 @@ class Scorer:
         model = self.fit(p)
         pred = M.predict(model, self.test, "prediction")
         if self.task == "regression":
-            return float(K.regression_report(pred, self.label, "prediction", len(self.features))
-                         .select("mse").first()[0])
-        return float(K.macro_f1(pred, self.label, "prediction").first()[0])
+            got = float(K.regression_report(pred, self.label, "prediction", len(self.features))
+                        .select("mse").first()[0])
+        else:
+            got = float(K.macro_f1(pred, self.label, "prediction").first()[0])
+        self._keep(p, model, got)
+        return got
+
+    def _keep(self, p, model, fitness: float) -> None:
+        """Holds the best model, which the report of a strategy needs again."""
+        sign = 1.0 if self.task == "regression" else -1.0
+        with self.lock:
+            if fitness == fitness and sign * fitness < self.best:
+                self.best, self.kept = sign * fitness, {self._memo_key(p): model}
 
     def score(self, units) -> list[float]:
         params = [self.params_of(u) for u in units]
@@ -267,6 +283,7 @@ def compare_strategies(prepared: DataFrame, task: str, features, label: str | No
     try:
         for spec in strategies:
             scorer.memo.clear()
+            scorer.kept, scorer.best = {}, math.inf
             before = (scorer.n_asked, scorer.n_fits)
             t0 = time.perf_counter()
             params, fitness, h = run_search(scorer, spec, epochs, pop_size, seed)

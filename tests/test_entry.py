@@ -20,8 +20,8 @@ def test_every_query_has_twin_or_is_model_based():
     assert set(sqls) <= set(qs)
     rows_only = set(SE.QUERIES) - set(sqls)
     assert rows_only <= {"fit_forest_regressor", "fit_forest_classifier", "fit_kmeans",
-                         "search_classification", "search_clustering", "search_history",
-                         "tree_importance", "permutation_importance"}
+                         "search_classification", "search_regression", "search_clustering", "search_history",
+                         "tree_importance", "importance_report", "permutation_importance"}
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -42,8 +42,13 @@ def test_twins_agree_at_sf0001(spark, name):
     assert got == exp
 
 
-@pytest.mark.parametrize("name", ["search_classification", "search_clustering", "search_history"])
-def test_searches_run_the_whole_budget(spark, monkeypatch, name):
+#: Epochs and population of the registered searches, the largest that end (README).
+BUDGETS = {"search_classification": (1, 2), "search_regression": (1, 2), "search_clustering": (2, 4),
+           "search_history": (2, 4)}
+
+
+@pytest.mark.parametrize("name", sorted(BUDGETS))
+def test_searches_run_all_strategies_with_their_budget(spark, monkeypatch, name):
     class Seen(Exception):
         pass
 
@@ -58,5 +63,7 @@ def test_searches_run_the_whole_budget(spark, monkeypatch, name):
     with pytest.raises(Seen) as got:
         SE.queries()[name](spark, "/root/testdata/sf0.001")
     run = got.value.args[0]
-    assert sorted(run["strategies"]) == ["aco", "ga", "pso", "sa"]
-    assert (run["epochs"], run["pop_size"], run["silhouette_sample"]) == (10, 10, 1.0)
+    assert [SE.G.make_strategy(s, 10, 42).name for s in run["strategies"]] == ["ACO", "GA", "PSO", "SA"]
+    assert (run["epochs"], run["pop_size"]) == BUDGETS[name] and run["silhouette_sample"] == 1.0
+    defaults = signature.parameters
+    assert (defaults["epochs"].default, defaults["pop_size"].default) == (10, 10)
