@@ -164,12 +164,12 @@ def query(docs: DataFrame) -> DataFrame:
     return taken.withColumnRenamed("id", "doc_id")
 
 
-def mix_documents(docs: DataFrame, fraction: tuple[int, int] = (9, 10), max_epochs: int = 1,
+def mix_documents(docs: DataFrame, fraction: tuple[int, int] = FRACTION, max_epochs: int = EPOCHS,
                   seed: int = 42) -> DataFrame:
     """A mixture as documents with their columns: a row stands as often as
-    epochs take it, and whole where the budget ends.  One epoch of 9/10 takes
-    nearly all of each leaf and so misses the weights; ``FRACTION`` and
-    ``EPOCHS``, as in ``query``, leave room to reach them."""
+    epochs take it, and whole where the budget ends.  A budget of nearly all
+    tokens in one epoch takes each leaf almost whole and so misses the weights;
+    the defaults, as in ``query``, leave room to reach them."""
     name, mark = fresh(docs, "domain", "_mixed")
     rows = saved(docs.withColumn(mark, F.monotonically_increasing_id()), "mixing-docs")
     taken = select(with_domain(rows, name), [name, "lang", "source"], [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}],
