@@ -400,7 +400,7 @@ def q_cluster_views(spark, sf):
 def q_search_classification(spark, sf):
     prep, st = _orders_prepared(spark, sf)
     board, _, _ = G.compare_strategies(prep, "classification", st.features, st.label, "o_orderkey",
-                                       **_budget(1, 1, 2))
+                                       **_budget(1, 1, 1))
     return board
 
 

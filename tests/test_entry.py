@@ -43,7 +43,7 @@ def test_twins_agree_at_sf0001(spark, name):
 
 
 #: Epochs and population of the registered searches, the largest that end (README).
-BUDGETS = {"search_classification": (1, 2), "search_regression": (1, 2), "search_clustering": (2, 4),
+BUDGETS = {"search_classification": (1, 1), "search_regression": (1, 2), "search_clustering": (2, 4),
            "search_history": (2, 4)}
 
 
