@@ -23,6 +23,8 @@ from tabtune.operators.split import hash_unit
 #: A column whose squared deviations from its mean are this small a share of its
 #: squares does not vary, up to rounding.
 FLAT = 1e-12
+#: Bins of a histogram that a row stands for before they are listed, at least.
+BIN_RUN = 1 << 16
 
 
 def _gram(width: int):
@@ -132,21 +134,34 @@ def histogram_params(df: DataFrame, cols=None, bins="auto") -> DataFrame:
     return spark.createDataFrame(rows, "column string, n long, lo double, hi double, bins long")
 
 
+def _grid(params: DataFrame) -> DataFrame:
+    """(column, lo, hi, bins, bin) of every bin: runs of bins are dealt to the
+    tasks, which list them, so no array holds more than a run."""
+    step = F.greatest(F.lit(BIN_RUN), F.ceil(F.sqrt("bins"))).cast("long")
+    last = F.col("bins") - 1
+    runs = params.select("column", "lo", "hi", "bins", step.alias("step"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), last, step)).alias("start"))
+    return (runs.repartition("column", "start")
+            .select("column", "lo", "hi", "bins", F.explode(F.sequence(
+                F.col("start"), F.least(F.col("start") + F.col("step") - 1, last))).alias("bin")))
+
+
 def histograms(df: DataFrame, cols=None, bins="auto") -> DataFrame:
-    """D3: (column, bin, lo, hi, count) of the bins that hold values; the last
-    bin is closed on the right.  A far outlier makes many empty bins, which
-    have no row, so the number of bins needs no limit."""
+    """D3: (column, bin, lo, hi, count) including empty bins, whatever their
+    number (a far outlier makes many); the last bin is closed on the right."""
     cols = cols or numeric_columns(df)
     params = histogram_params(df, cols, bins)
     long = unpivot_numeric(df, cols)
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     place = F.floor((F.col("value") - F.col("lo")) * (F.col("bins") / (F.col("hi") - F.col("lo"))))
-    return (long.join(F.broadcast(params), "column")  # one row per column
-            .withColumn("bin", F.least(place, F.col("bins") - 1).cast("long"))
-            .groupBy("column", "bin", "lo", "hi", "bins").agg(F.count(F.lit(1)).alias("count"))
+    binned = (long.join(F.broadcast(params), "column")  # one row per column
+              .withColumn("bin", F.least(place, F.col("bins") - 1).cast("long"))
+              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    return (_grid(params).join(binned, ["column", "bin"], "left")
             .select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("lo"),
                     F.when(F.col("bin") == F.col("bins") - 1, F.col("hi"))
-                    .otherwise(F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), "count"))
+                    .otherwise(F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
+                    F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
 def pair_points(df: DataFrame, cols=None, key=None, fraction: float = 1.0,
