@@ -200,3 +200,18 @@ def test_davies_bouldin_in_blocks(spark, monkeypatch):
     want = CM.davies_bouldin(df, ["x", "y"], "l").first()[0]
     monkeypatch.setattr(CM, "CLUSTER_BLOCK", 2)
     assert abs(CM.davies_bouldin(df, ["x", "y"], "l").first()[0] - want) < 1e-9
+
+
+def test_silhouette_carries_each_point_a_bounded_number_of_times(spark):
+    """More points make larger blocks, not more of them; the value stays."""
+    from tabtune.operators import cluster_metrics as CM
+    assert CM.n_blocks(10_000, 2048, 64) == 5 and CM.n_blocks(2048, 2048, 64) == 1
+    assert CM.n_blocks(100_000, 2048, 64) == CM.n_blocks(600_000, 2048, 64) == CM.BLOCKS
+    assert CM.n_blocks(10 ** 7, 2048, 64) * CM.MOST_ROWS >= 10 ** 7          # memory of a task is bounded
+    assert CM.n_blocks(600_000, 2048, 4096) * CM.MOST_VALUES >= 600_000 * 4096
+    rng = np.random.default_rng(3)
+    x, lab = rng.normal(size=(400, 3)) + 1e5, rng.integers(0, 3, 400)
+    rows = [(i, int(k), [float(v) for v in p]) for i, (p, k) in enumerate(zip(x, lab))]
+    df = spark.createDataFrame(rows, "id long, l int, f array<double>")
+    got = CM.silhouette(df, "f", "l", "id", block_rows=5).first()[0]         # 80 blocks before
+    assert got == pytest.approx(brute_silhouette(x, lab), rel=1e-6)
