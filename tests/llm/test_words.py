@@ -81,9 +81,10 @@ def test_best_and_accumulate():
 
 
 def test_factors():
-    at, ref = np.array([7, 3, 4, 5, 9]), np.array([1, 1, 1, 2, 1])
-    assert parse(at, ref, 50) == [{"start": 3, "words": 51, "ref": 1}, {"start": 5, "words": 50, "ref": 2},
-                                  {"start": 7, "words": 50, "ref": 1}, {"start": 9, "words": 50, "ref": 1}]
+    at, ref, src = np.array([3, 4, 60, 120, 180]), np.array([1, 1, 2, 1, 1]), np.array([0, 1, 0, 9, 4])
+    assert parse(at, ref, src, 50) == [
+        {"start": 3, "words": 51, "ref": 1, "src": 0}, {"start": 60, "words": 50, "ref": 2, "src": 0},
+        {"start": 120, "words": 50, "ref": 1, "src": 9}, {"start": 180, "words": 50, "ref": 1, "src": 4}]
 
 
 def brute_spans(text):
