@@ -145,6 +145,53 @@ def test_restart_cache_equals_plain_fits(spark):
         assert np.array_equal(got.model.clusterCenters(), best.clusterCenters())
 
 
+def test_restarts_run_together_equal_plain_fits(spark):
+    """Cut, resumed and converged fits; one job an iteration for all of them."""
+    from tabtune.operators import models as M
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.8, (60, 2)) for c in ((0, 0), (4, 0), (0, 4), (5, 5))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    df = df.persist()
+    data = M.vectors(df, ["a", "b"]).persist()
+    plain, cache = M.RestartCache(data), M.RestartCache(data)
+    jobs = []
+    for wanted in ([(3, 2, 2), (3, 5, 1), (6, 40, 2)], [(3, 60, 2), (3, 1, 1), (6, 3, 3)]):
+        while todo := cache.missing(wanted):
+            jobs += todo
+            cache.fit_many(todo, wanted)
+        while todo := plain.missing(wanted):
+            for job in todo:
+                plain.fit(job)
+        for k, m, n in wanted:
+            a, b = plain.best(k, m, n), cache.best(k, m, n)
+            assert a.name == b.name and a.cost == pytest.approx(b.cost, rel=1e-9)
+            assert np.allclose(a.centers, b.centers, rtol=0, atol=1e-9)
+            assert np.allclose(cache.model(b).clusterCenters(), b.centers, rtol=0, atol=1e-9)
+            labelled, (name,) = M.label_many([b], df, ["a", "b"])
+            alone = M.predict(M.kmeans_pipeline(["a", "b"], a.model), labelled, "Cluster")
+            assert alone.where(f"Cluster <> {name}").count() == 0 and labelled.count() == 240
+    assert set(plain.converged) == set(cache.converged) and set(plain.cut) == set(cache.cut)
+    assert len(cache.starts) == len({j[:2] for j in jobs})
+
+
+def test_report_takes_the_known_silhouette(spark, monkeypatch):
+    from tabtune.operators import cluster_metrics as CM
+    from tabtune.operators import models as M
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.5, (30, 2)) for c in ((0, 0), (4, 4))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double")
+    scorer = G.Scorer(df, "clustering", ["a", "b"], key="id")
+    units = [[0.0, 0.5, 0.0], [0.2, 0.5, 0.3]]
+    fitness = scorer.score(units)
+    lab = M.predict(scorer.fit(scorer.params_of(units[0])), scorer.data, "Cluster")
+    full = CM.clustering_report(lab, ["a", "b"], "Cluster", "id").first()
+    monkeypatch.setattr(CM, "silhouette", lambda *a, **k: pytest.fail("computed again"))
+    got, _ = scorer.report(scorer.params_of(units[0]))
+    scorer.close()
+    assert list(got.values()) == pytest.approx(list(full), rel=1e-9)
+    assert fitness[0] == pytest.approx(full["silhouette"], rel=1e-9)
+
+
 def test_wide_space_domains():
     space = {p.name: p for p in SPC.space_for("RandomForestClassifier", wide=True)}
     assert (space["n_estimators"].lb, space["n_estimators"].ub) == (1, 100)
