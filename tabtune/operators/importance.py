@@ -9,6 +9,8 @@
   times inside the blocks, by permutations keyed with seed, feature, repeat and
   block.  The copies are made and scored where the block is, so the shuffles
   carry each test row twice whatever the number of features and repeats is.
+  Where there are fewer blocks than cores, a block goes to several tasks, each
+  of which makes the copies of a share of the features.
 """
 
 from __future__ import annotations
@@ -59,9 +61,10 @@ def permutation(seed: int, feature: int, repeat: int, block: int, size: int) ->
     return np.random.default_rng([seed, feature, repeat, block]).permutation(size)
 
 
-def numbered_blocks(test: DataFrame, order: list, block_rows: int) -> DataFrame:
+def numbered_blocks(test: DataFrame, order: list, block_rows: int) -> tuple[DataFrame, int]:
     """``test`` with its number ``_i`` (from 0) in the given order and its block
-    ``_blk``; each block stands whole and in order in one partition.
+    ``_blk``, and the number of blocks; each block stands whole and in order in one
+    partition.
 
     Range partitions are sorted one by one, a count of each makes the places
     inside them global; no more than one row a partition is collected."""
@@ -82,21 +85,29 @@ def numbered_blocks(test: DataFrame, order: list, block_rows: int) -> DataFrame:
         StorageLevel.MEMORY_AND_DISK)
     out.count()
     rows.unpersist()
-    return out
+    return out, blocks
 
 
 #: Blocks share partitions beyond this number.
 MOST_PARTITIONS = 1 << 15
 
 
-def _copies(width: int, n_repeats: int, seed: int):
-    """The permuted copies of each block: feature, repeat, label, vector."""
-    def block_copies(blk: int, some: list) -> Iterator[pa.RecordBatch]:
+def shares(blocks: int, width: int, slots: int) -> int:
+    """Tasks that make the copies of one block, each those of a share of the features:
+    as many as keep ``slots`` busy, one where the blocks do so themselves."""
+    return max(1, min(width, math.ceil(slots / max(1, blocks))))
+
+
+def _copies(width: int, n_repeats: int, seed: int, n_shares: int = 1):
+    """The permuted copies of each block and share of the features: feature, repeat,
+    label, vector.  The first column is block x shares + share."""
+    def block_copies(at: int, some: list) -> Iterator[pa.RecordBatch]:
+        blk, share = divmod(at, n_shares)
         table = pa.Table.from_batches(some)
         x = np.array(table["_x"].combine_chunks().flatten()).reshape(-1, width)
         label, n = table["_label"].combine_chunks(), len(x)
         offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
-        for f in range(width):
+        for f in range(share, width, n_shares):
             kept = x[:, f].copy()
             for r in range(n_repeats):
                 x[:, f] = kept[permutation(seed, f, r, blk, n)]
@@ -144,9 +155,15 @@ def permutation_importance(df: DataFrame, features, label: str = "Cluster", key=
     kt = key_text(test, key)
     test = test.select(F.xxhash64(kt, F.lit(seed)).alias("_h"), kt.alias("_key"),
                        F.col(q(label)).cast("double").alias("_label"), x.alias("_x"))
-    test = numbered_blocks(test, ["_h", "_key", "_x", "_label"], BLOCK_ROWS).select("_blk", "_label", "_x")
-    copies = test.mapInArrow(_copies(len(features), n_repeats, seed),
-                             "_f int, _r int, _label double, _x array<double>")
+    test, blocks = numbered_blocks(test, ["_h", "_key", "_x", "_label"], BLOCK_ROWS)
+    slots = test.sparkSession.sparkContext.defaultParallelism
+    n_shares = shares(blocks, len(features), slots)
+    dealt = test.select((F.col("_blk").cast("long") * n_shares).alias("_at"), "_i", "_label", "_x")
+    if n_shares > 1:     # few blocks: several tasks get the same one, for other features
+        dealt = dealt.withColumn("_at", F.explode(F.sequence(F.col("_at"), F.col("_at") + (n_shares - 1))))
+        dealt = dealt.repartitionByRange(blocks * n_shares, "_at").sortWithinPartitions("_at", "_i")
+    copies = dealt.select("_at", "_label", "_x").mapInArrow(
+        _copies(len(features), n_repeats, seed, n_shares), "_f int, _r int, _label double, _x array<double>")
 
     def hits(rows: DataFrame) -> DataFrame:
         vectors = rows.withColumn("features", array_to_vector("_x"))

@@ -192,6 +192,41 @@ def test_report_takes_the_known_silhouette(spark, monkeypatch):
     assert fitness[0] == pytest.approx(full["silhouette"], rel=1e-9)
 
 
+def test_copies_of_one_block_are_made_in_several_tasks(spark, monkeypatch):
+    """Whatever number of tasks shares a block, the copies are the same ones."""
+    import pyarrow as pa
+    from tabtune.operators import importance as I
+    from tabtune.operators import models as M
+    assert I.shares(1, 64, 12) == 12 and I.shares(1, 3, 12) == 3
+    assert I.shares(5, 64, 12) == 3 and I.shares(100, 64, 12) == 1 and I.shares(0, 0, 12) == 1
+    rng = np.random.default_rng(6)
+    x, label = rng.normal(size=(20, 5)), rng.integers(0, 2, 20).astype(float)
+
+    def copies(n_shares):
+        got = {}
+        for at in range(2 * n_shares):
+            blk = at // n_shares
+            some = pa.RecordBatch.from_arrays([pa.array([at] * 10, pa.int64()), pa.array(label[blk * 10:blk * 10 + 10]),
+                                               pa.array(list(x[blk * 10:blk * 10 + 10]))], names=["_at", "_label", "_x"])
+            for out in I._copies(5, 3, 42, n_shares)(iter([some])):
+                f, r = out["_f"][0].as_py(), out["_r"][0].as_py()
+                assert (f, r, blk) not in got
+                got[f, r, blk] = out["_label"].to_pylist(), out["_x"].to_pylist()
+        return got
+    assert len(copies(1)) == 5 * 3 * 2 and copies(1) == copies(2) == copies(5)
+
+    x = rng.normal(size=(150, 3))
+    df = spark.createDataFrame([(i, int(r[0] > 0), *map(float, r)) for i, r in enumerate(x)],
+                               "id int, Cluster int, a double, b double, c double")
+    model = M.fit_forest_classifier(df, ["a", "b", "c"], "Cluster", {"n_estimators": 3, "max_depth": 4})
+    seen = []
+    for n in (3, 1):
+        monkeypatch.setattr(I, "shares", lambda *a, n=n: n)
+        rows = I.permutation_importance(df, ["a", "b", "c"], "Cluster", "id", model=model).orderBy("Feature").collect()
+        seen.append([(r[0], round(r[1], 12), round(r[2], 12)) for r in rows])
+    assert len(seen[0]) == 3 and seen[0] == seen[1] and seen[0][0][1] > 0.1
+
+
 def test_wide_space_domains():
     space = {p.name: p for p in SPC.space_for("RandomForestClassifier", wide=True)}
     assert (space["n_estimators"].lb, space["n_estimators"].ub) == (1, 100)
