@@ -305,3 +305,48 @@ def test_linear_importance(spark):
                              LinearRegression(labelCol="y")]).fit(df)
     got = {r["Feature"]: r["Importance"] for r in I.linear_importance(model, ["a", "b"]).collect()}
     assert got["a"] == pytest.approx(2.0, abs=1e-6) and got["b"] == pytest.approx(5.0, abs=1e-6)
+
+
+def test_forest_strategies_search_side_by_side(spark):
+    """Each waits for the others to begin; rows and models are those of a search alone."""
+    import threading
+
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, r), float(r[0] * 3 + r[1]), "test" if i % 5 == 0 else "train")
+            for i, r in enumerate(rng.normal(size=(80, 3)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double, split string")
+
+    class Fixed(ST.Strategy):
+        def __init__(self, name, trees, begun=None):
+            super().__init__(2)
+            self.name, self.trees, self.begun = name, trees, begun
+
+        def init(self, rng, dim, evaluate):
+            if self.begun is not None:
+                self.begun.wait(120)
+            x = np.full((2, dim), 0.3)      # of depth 10
+            x[:, 0] = self.trees
+            return ST.Population(x, np.asarray(evaluate(x)))
+
+        def step(self, rng, pop, gen, evaluate):
+            return pop
+
+    def plain(board):
+        return [{k: v for k, v in r.asDict().items() if k != G.TIME_COL} for r in board.collect()]
+
+    made = {"one": (0.0, 0.05), "two": (0.02, 0.0), "three": (0.0, 0.05)}
+    begun = threading.Barrier(3)
+    board, models, hist = G.compare_strategies(df, "regression", ["a", "b", "c"], "y", "id", epochs=1, pop_size=2,
+                                               strategies=[Fixed(n, t, begun) for n, t in made.items()])
+    got, tried = plain(board), [tuple(r) for r in hist.collect()]
+    assert [r[G.LEADER_NAME] for r in got] == list(models) == list(made)
+    assert [r["Fits run"] for r in got] == [2, 2, 2] and [r["Fits asked"] for r in got] == [3, 3, 3]
+    alone, alone_tried = [], []
+    for n, t in made.items():
+        board, _, hist = G.compare_strategies(df, "regression", ["a", "b", "c"], "y", "id", epochs=1, pop_size=2,
+                                              strategies=[Fixed(n, t)])
+        alone += plain(board)
+        alone_tried += [tuple(r) for r in hist.collect()]
+    assert tried == alone_tried
+    for a, b in zip(got, alone):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
