@@ -62,6 +62,41 @@ def test_save_load_model_same_predictions(spark):
     assert spark.read.parquet(out).count() == a.count()
 
 
+def _forest_rows(spark):
+    rows = [(i, i * 37 % 101 / 10.0, i * i % 89, "abc"[i * 7 % 3], float(i * 13 % 97), "xyz"[i * i % 3])
+            for i in range(600)]
+    return spark.createDataFrame(rows + rows[:20], "id int, a double, b int, c string, v double, y string").repartition(3)
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_counted_fit_holds_one_narrow_copy(spark, monkeypatch, task):
+    """The rows counted with the scaler give the layout, and so the trees, of a fit that counts
+    them itself; the train rows are cached once, without keys and split."""
+    df, label, fit = (_forest_rows(spark).drop("y"), "v", M.fit_forest_regressor) if task == "regression" else (
+        _forest_rows(spark).drop("v"), "y", M.fit_forest_classifier)
+    prep, st = P.transform(df, task, label, key="id")
+    train = prep.where("split = 'train'")
+    assert st.n_train == train.count()
+    monkeypatch.setattr(M, "FIT_ROWS", 64)        # several partitions
+    held, persist = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: (held.append(self.columns), persist(self, *a))[1])
+    params = {"n_estimators": 4, "max_depth": 4}
+    plain = fit(train, st.features, st.label, params).stages[-1].toDebugString
+    held.clear()
+    counted = fit(train, st.features, st.label, params, n_rows=st.n_train).stages[-1].toDebugString
+    assert held == [[*st.features, st.label]]
+    assert counted.split("\n", 1)[1] == plain.split("\n", 1)[1]
+
+
+def test_balanced_fit_keeps_its_weights(spark):
+    prep, st = P.transform(_forest_rows(spark).drop("v"), "classification", "y", key="id")
+    train = prep.where("split = 'train'")
+    params = {"n_estimators": 3, "max_depth": 3, "class_weight": "balanced"}
+    a, b = (M.fit_forest_classifier(train, st.features, st.label, params, n_rows=n).stages[-1].toDebugString
+            for n in (None, st.n_train))
+    assert a.split("\n", 1)[1] == b.split("\n", 1)[1]
+
+
 def test_regression_search_and_importance(spark):
     from tabtune.operators import importance as I
     from tabtune.plans import search as G
