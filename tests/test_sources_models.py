@@ -97,6 +97,20 @@ def test_balanced_fit_keeps_its_weights(spark):
     assert a.split("\n", 1)[1] == b.split("\n", 1)[1]
 
 
+def test_walked_trees_equal_cached_ones(spark, monkeypatch):
+    prep, st = P.transform(_forest_rows(spark).drop("v"), "classification", "y", key="id")
+    train, trees = prep.where("split = 'train'"), []
+    for most in (M.NODE_NUMBERS, 100):
+        monkeypatch.setattr(M, "NODE_NUMBERS", most)
+        model = M.fit_forest_classifier(train, st.features, st.label, {"n_estimators": 5, "max_depth": 6}, n_rows=st.n_train)
+        trees.append(model.stages[-1].toDebugString.split("\n", 1)[1])
+    assert trees[0] == trees[1]
+    shallow, deep = {"n_estimators": 20, "max_depth": 10}, {"n_estimators": 20, "max_depth": None}
+    monkeypatch.setattr(M, "NODE_NUMBERS", 2**29)
+    assert [M.forest_params(p, 4, "classification", n_rows=n)["cacheNodeIds"] for p, n in (
+        (shallow, None), (shallow, 10**6), (shallow, 10**8), (deep, 10**8))] == [True, True, False, True]
+
+
 def test_regression_search_and_importance(spark):
     from tabtune.operators import importance as I
     from tabtune.plans import search as G
