@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as SE
 
-WHOLE = ["search_classification", "search_regression"]
+WHOLE = ["search_classification", "search_clustering", "search_regression"]
 CANDIDATES = {"ACO": 10 + 10 * 25, "GA": 10 + 10 * 10, "PSO": 10 + 10 * 10, "SA": 10 + 10 * 10}
 
 
