@@ -46,3 +46,47 @@ def test_search_scores_every_candidate_of_the_whole_budget(spark, monkeypatch, n
         SE.G.run_search(stub, spec, run["epochs"], run["pop_size"], run["seed"])
         seen[SE.G.make_strategy(spec, run["pop_size"], run["seed"]).name] = stub.seen
     assert seen == CANDIDATES and run["silhouette_sample"] == 1.0
+
+
+def _points(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.7, (30, 2)) for c in ((0, 0), (4, 0), (0, 4), (5, 5))])
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double").repartition(2)
+
+
+def test_clustering_strategies_search_in_step(spark, monkeypatch):
+    """One silhouette job a generation for all strategies; rows, counts of fits and history are those of strategies that search one after the other."""
+    from tabtune.operators import cluster_metrics as CM
+    from tabtune.operators import models as M
+    G, jobs, many = SE.G, [], CM.silhouette_many
+    df = _points(spark)
+    monkeypatch.setattr(CM, "silhouette_many", lambda *a, **k: (jobs.append(len(a[3])), many(*a, **k))[1])
+    board, models, hist = G.compare_strategies(df, "clustering", ["a", "b"], key="id", epochs=1, pop_size=3)
+    assert len(jobs) <= 2 and max(jobs) > 3
+    jobs.clear()
+    shared = G.Scorer(df, "clustering", ["a", "b"], key="id")
+    rows, tried = [], []
+    for name in ("aco", "ga", "pso", "sa"):
+        own = shared.view()
+        params, _, some = G.run_search(own, name, 1, 3)
+        metrics, _ = own.report(params)
+        rows.append((list(metrics.values()), own.n_asked, own.n_fits))
+        tried += some
+    shared.close()
+    assert len(jobs) > 3
+    got = board.collect()
+    assert [r[G.LEADER_NAME] for r in got] == list(models) == ["ACO", "GA", "PSO", "SA"]
+    names = list(G._metric_names("clustering").values())
+    for r, (metrics, asked, fits) in zip(got, rows):
+        assert [r[n] for n in names] == pytest.approx(metrics, rel=1e-9)
+        assert (r["Fits asked"], r["Fits run"]) == (asked, fits)
+    history = [tuple(r) for r in hist.collect()]
+    assert [h[:3] + h[4:] for h in history] == [h[:3] + h[4:] for h in tried]
+    assert [h[3] for h in history] == pytest.approx([h[3] for h in tried], rel=1e-9)
+
+
+def test_a_failing_round_fails_the_search(spark, monkeypatch):
+    from tabtune.operators import cluster_metrics as CM
+    monkeypatch.setattr(CM, "silhouette_many", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        SE.G.compare_strategies(_points(spark), "clustering", ["a", "b"], key="id", epochs=1, pop_size=2)
